@@ -328,11 +328,12 @@ def grouped_median(
     )
     if big.isEmpty():
         return _direct_median(rows, keys, metric)
-    small_groups = rows.join(
-        _sendable(big.select(*names), names), _same_group(keys, names), "left_anti"
+    small = _is_small(big, names)
+    other_groups = rows.join(
+        _sendable(big.select(*names), small), _same_group(keys, names), "left_anti"
     )
-    return _direct_median(small_groups, keys, metric).unionByName(
-        _narrowed_median(rows, keys, names, metric, big, group_values)
+    return _direct_median(other_groups, keys, metric).unionByName(
+        _narrowed_median(rows, keys, names, metric, big, small, group_values)
     )
 
 
@@ -346,15 +347,19 @@ def _same_group(keys: Sequence[str], names: Sequence[str]) -> Column:
     )
 
 
-def _sendable(table: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Broadcast a helper table only if it is measured to be small.
+def _is_small(table: DataFrame, names: Sequence[str]) -> bool:
+    """Measure whether a helper table may be sent to every executor."""
+    rows, size = table.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct(*names)))), F.lit(0))
+    ).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def _sendable(table: DataFrame, small: bool) -> DataFrame:
+    """Broadcast a table known to be small.
 
     Otherwise the join shuffles and adaptive execution splits the hot keys.
     """
-    measured = table.agg(
-        F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*names))))
-    ).first()
-    small = measured[0] <= BROADCAST_ROWS and (measured[1] or 0) <= BROADCAST_BYTES
     return F.broadcast(table) if small else table
 
 
@@ -364,8 +369,13 @@ def _narrowed_median(
     names: Sequence[str],
     metric: str,
     big: DataFrame,
+    small: bool,
     group_values: int,
 ) -> DataFrame:
+    """Medians of the groups in ``big``; ``small`` says that it may be broadcast.
+
+    Every helper table made below has at most two rows per group of ``big``.
+    """
     dtype = data_type(rows, metric)
     value = col(metric)
     slot = [*names, "rank"]
@@ -390,7 +400,7 @@ def _narrowed_median(
             & (F.col("low").isNull() | (value > F.col("low")))
             & (F.col("high").isNull() | (value < F.col("high")))
         )
-        return rows.join(_sendable(intervals, names), _same_group(keys, names)).where(inside)
+        return rows.join(_sendable(intervals, small), _same_group(keys, names)).where(inside)
 
     while True:
         undecided = F.col("answer").isNull() & (F.col("size") > group_values)

@@ -80,5 +80,5 @@ def _count_copies_by_hash(df: DataFrame) -> DataFrame:
         return _count_copies(df)
     suspected = hashed.join(F.broadcast(suspects), "__hash", "left_semi").drop("__hash")
     return _count_copies(suspected).select(
-        F.lit(df.count()).alias("row_count"), "duplicate_row_count"
+        F.lit(df.count()).cast("bigint").alias("row_count"), "duplicate_row_count"
     )

@@ -113,9 +113,16 @@ def iqr_quartiles(
 
 
 def iqr_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, *, held_values: int = HELD_VALUES
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    keep_all: bool = False,
+    held_values: int = HELD_VALUES,
 ) -> DataFrame:
-    """``column, q1, q3, lower, upper, outlier_count, row_count`` of columns with outliers."""
+    """``column, q1, q3, lower, upper, outlier_count, row_count`` of columns with outliers.
+
+    ``keep_all`` keeps the tested columns that turn out to have none.
+    """
     quartiles = iqr_quartiles(df, columns, held_values=held_values)
     entries = []
     for c, (q1, q3) in quartiles.items():
@@ -138,11 +145,8 @@ def iqr_outliers(
             "column string, q1 double, q3 double, lower double, upper double, "
             "outlier_count bigint, row_count bigint",
         )
-    return (
-        df.agg(F.array(*entries).alias("rows"))
-        .select(F.inline("rows"))
-        .where(F.col("outlier_count") > 0)
-    )
+    counted = df.agg(F.array(*entries).alias("rows")).select(F.inline("rows"))
+    return counted if keep_all else counted.where(F.col("outlier_count") > 0)
 
 
 # --- validity rules ----------------------------------------------------------
