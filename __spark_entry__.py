@@ -795,7 +795,7 @@ _series_query("time_quarter", "orders", "o_orderdate", "1q", "date_trunc('quarte
 _series_query("time_year", "orders", "o_orderdate", "1y", "date_trunc('year', o_orderdate)", "o_totalprice", "std")
 _series_query("time_2month", "orders", "o_orderdate", "2mo", _origin("2 months", "o_orderdate"), "o_totalprice", "min")
 _series_query("time_7day", "events", "ts", "7d", _origin("7 days", "ts"), "value", "count")
-_series_query("time_15min", "events", "ts", "15m", _origin("15 minutes", "ts"), "value", "mean")
+_series_query("time_15min", "events", "ts", "15m", _origin("15 minutes", "ts"), "value", "sum")
 _series_query("time_2week", "events", "ts", "2w", _origin("14 days", "ts", "1970-01-05"), None, "count")
 
 
@@ -884,7 +884,7 @@ _sql_query(
        from daily""",
     """with daily as (select o_orderpriority, o_orderdate, count(*) as n from {dataset} group by 1, 2)
        select o_orderpriority, o_orderdate, n,
-              rank() over (partition by o_orderpriority order by n desc) as place,
+              (rank() over (partition by o_orderpriority order by n desc))::int as place,
               (sum(n) over (partition by o_orderpriority order by o_orderdate
                            rows between 6 preceding and current row))::bigint as week_total
        from daily""",

@@ -18,6 +18,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _SKETCH_ACCURACY = 10_000
 _HALF_BAND = 2.0 / _SKETCH_ACCURACY
 _GRID = 2_000
+# Columns whose aggregates share one pass.  The passes of a job run side by
+# side and read only their own columns, so the bytes read stay the same, while
+# the generated code stays small enough for the JVM to compile well.
+COLUMNS_PER_PASS = 4
 _AGGREGATES_PER_JOB = 64
 
 
@@ -121,13 +126,24 @@ def _inside(df: DataFrame, column: str, low: Any, high: Any) -> Column:
     return condition
 
 
-def _any_inside(df: DataFrame, intervals: Sequence[tuple]) -> DataFrame:
+def _rows_inside(df: DataFrame, intervals: Sequence[tuple]) -> DataFrame:
     """Rows that lie in one of the intervals; the test reaches the file scan."""
     if any(low is None and high is None for _, low, high in intervals):
         return df
     return df.where(reduce(lambda a, b: a | b, [_inside(df, *i) for i in intervals]))
 
 
+def passes(items: Sequence, size: int = COLUMNS_PER_PASS) -> list[Sequence]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
+def _collect_arrays(frames: Sequence[DataFrame]) -> list[Any]:
+    """Run one-row frames with an array ``found`` as one job; join the arrays."""
+    tagged = [f.select(F.lit(i).alias("part"), "found") for i, f in enumerate(frames)]
+    rows = reduce(DataFrame.unionAll, tagged).collect()
+    return [v for row in sorted(rows, key=lambda r: r["part"]) for v in row["found"]]
+
+
 def one_row(df: DataFrame, expressions: Sequence[Column]) -> list[Any]:
     """Evaluate global aggregates, a bounded number of them per job."""
     values: list[Any] = []
@@ -153,26 +169,39 @@ def _narrow(df: DataFrame, slots: Sequence[_Slot]) -> None:
     by_interval: dict[tuple, list[_Slot]] = {}
     for slot in slots:
         by_interval.setdefault(slot.interval, []).append(slot)
-    intervals = list(by_interval)
-    rows = _any_inside(df, intervals)
-
-    sketches = one_row(
-        rows,
-        [
-            F.percentile_approx(
-                F.when(_inside(df, *i), col(i[0])), _bands(by_interval[i]), _SKETCH_ACCURACY
-            )
-            for i in intervals
-        ],
-    )
-    splits = [sorted(set(found)) for found in sketches]
-    counts = _count_pieces(rows, intervals, splits)
+    # Neighbours of one type can share the array that carries their sketches.
+    intervals = sorted(by_interval, key=lambda i: data_type(df, i[0]).simpleString())
+    splits = [sorted(set(found)) for found in _sketch(df, by_interval, intervals)]
+    counts = _count_pieces(df, intervals, splits)
     for i, (interval, cuts) in enumerate(zip(intervals, splits)):
         pieces = [counts.get(_code(i, piece), 0) for piece in range(2 * len(cuts))]
         for slot in by_interval[interval]:
             _place(slot, cuts, pieces)
 
 
+def _sketch(
+    df: DataFrame, by_interval: Mapping[tuple, list[_Slot]], intervals: Sequence[tuple]
+) -> list[list[Any]]:
+    """Approximate values around the wanted ranks, in the type of each column."""
+
+    def one_pass(chunk: Sequence[tuple]) -> DataFrame:
+        return _rows_inside(df, chunk).agg(
+            F.array(
+                *[
+                    F.percentile_approx(
+                        F.when(_inside(df, *i), col(i[0])), _bands(by_interval[i]), _SKETCH_ACCURACY
+                    )
+                    for i in chunk
+                ]
+            ).alias("found")
+        )
+
+    found: list[list[Any]] = []
+    for _, same_type in groupby(intervals, key=lambda i: data_type(df, i[0]).simpleString()):
+        found += _collect_arrays([one_pass(chunk) for chunk in passes(list(same_type))])
+    return found
+
+
 # Pieces of an interval are numbered between, on, between, on, ... its splits.
 _CODES_PER_INTERVAL = 100_000
 
@@ -182,20 +211,24 @@ def _code(interval: int, piece: int) -> int:
 
 
 def _count_pieces(
-    rows: DataFrame, intervals: Sequence[tuple], splits: Sequence[Sequence[Any]]
+    df: DataFrame, intervals: Sequence[tuple], splits: Sequence[Sequence[Any]]
 ) -> dict[int, int]:
-    """Exact row counts of every piece; one small histogram for all columns."""
+    """Exact row counts of every piece, as one small histogram."""
 
     def piece_of(i: int) -> Column:
-        value, dtype = col(intervals[i][0]), data_type(rows, intervals[i][0])
-        code = F.when(~_inside(rows, *intervals[i]), F.lit(None))
+        value, dtype = col(intervals[i][0]), data_type(df, intervals[i][0])
+        code = F.when(~_inside(df, *intervals[i]), F.lit(None))
         for j, cut in enumerate(splits[i]):
             at = F.lit(cut).cast(dtype)
             code = code.when(value < at, _code(i, 2 * j)).when(value == at, _code(i, 2 * j + 1))
         return code.cast("long")
 
-    codes = rows.select(F.explode(F.array(*[piece_of(i) for i in range(len(intervals))])).alias("code"))
-    counted = codes.where(F.col("code").isNotNull()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    def one_pass(chunk: Sequence[int]) -> DataFrame:
+        rows = _rows_inside(df, [intervals[i] for i in chunk])
+        codes = rows.select(F.explode(F.array(*[piece_of(i) for i in chunk])).alias("code"))
+        return codes.where(F.col("code").isNotNull()).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+    counted = reduce(DataFrame.unionAll, [one_pass(c) for c in passes(range(len(intervals)))])
     return {row["code"]: row["n"] for row in counted.collect()}
 
 
@@ -218,21 +251,23 @@ def _place(slot: _Slot, cuts: Sequence[Any], pieces: Sequence[int]) -> None:
 def _select_exactly(df: DataFrame, slots: Sequence[_Slot]) -> None:
     if not slots:
         return
-    intervals = list(dict.fromkeys(s.interval for s in slots))
-    names = {interval: f"v{i}" for i, interval in enumerate(intervals)}
-    values = _any_inside(df, intervals).select(
-        *[F.when(_inside(df, *i), col(i[0])).alias(names[i]) for i in intervals]
-    )
-    found = one_row(
-        values,
-        [
-            F.expr(
-                f"percentile_disc({s.fraction!r}D) WITHIN GROUP (ORDER BY {names[s.interval]})"
-            )
-            for s in slots
-        ],
-    )
-    for slot, answer in zip(slots, found):
+    by_interval: dict[tuple, list[_Slot]] = {}
+    for slot in slots:
+        by_interval.setdefault(slot.interval, []).append(slot)
+
+    def one_pass(chunk: Sequence[tuple]) -> DataFrame:
+        values = _rows_inside(df, chunk).select(
+            *[F.when(_inside(df, *i), col(i[0])).alias(f"v{n}") for n, i in enumerate(chunk)]
+        )
+        wanted = [
+            F.expr(f"percentile_disc({s.fraction!r}D) WITHIN GROUP (ORDER BY v{n})").cast("double")
+            for n, i in enumerate(chunk)
+            for s in by_interval[i]
+        ]
+        return values.agg(F.array(*wanted).alias("found"))
+
+    found = _collect_arrays([one_pass(chunk) for chunk in passes(list(by_interval))])
+    for slot, answer in zip([s for same in by_interval.values() for s in same], found):
         slot.answer = answer
 
 

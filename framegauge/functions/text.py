@@ -30,19 +30,24 @@ def has_any_phrase(text: Column, phrases: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
-def has_any_word(text: Column, words: Sequence[str]) -> Column:
-    return has_any_phrase(F.concat(F.lit(" "), text, F.lit(" ")), [f" {w} " for w in words])
+def spaced(text: Column) -> Column:
+    """Text with a space on both sides, so that every word has two neighbours."""
+    return F.concat(F.lit(" "), text, F.lit(" "))
 
 
-def phrases_in(text: Column, meanings: Mapping[str, Sequence[str]]) -> Column:
+def has_any_word(spaced_text: Column, words: Sequence[str]) -> Column:
+    return has_any_phrase(spaced_text, [f" {w} " for w in words])
+
+
+def phrases_in(spaced_text: Column, meanings: Mapping[str, Sequence[str]]) -> Column:
     """The meanings whose phrases occur as whole words, each once."""
     return F.array_compact(
-        F.array(*[F.when(has_any_word(text, words), F.lit(m)) for m, words in meanings.items()])
+        F.array(*[F.when(has_any_word(spaced_text, words), F.lit(m)) for m, words in meanings.items()])
     )
 
 
 class ColumnNames:
-    """Finds mentions of column names in normalised text."""
+    """Finds mentions of column names in normalised text with spaces around it."""
 
     def __init__(self, names: Sequence[str]):
         self.by_form: dict[str, list[str]] = {}
@@ -52,30 +57,30 @@ class ColumnNames:
             if name not in same:
                 same.append(name)
 
-    def _pattern(self, forms: Sequence[str]) -> str:
-        longest_first = sorted(forms, key=len, reverse=True)
-        return f"(?<![a-z0-9])({'|'.join(longest_first)})(?![a-z0-9])"
+    def _pattern(self) -> str:
+        longest_first = sorted(self.by_form, key=len, reverse=True)
+        return f" ({'|'.join(longest_first)})(?= )"
 
-    def found_in(self, text: Column) -> Column:
+    def found_in(self, spaced_text: Column) -> Column:
         """Mentioned names in order of first mention; longer names win."""
         if not self.by_form:
             return F.array().cast("array<string>")
         names = F.create_map(*[F.lit(x) for form, same in self.by_form.items() for x in (form, same[0])])
-        forms = F.regexp_extract_all(text, F.lit(self._pattern(list(self.by_form))), F.lit(1))
+        forms = F.regexp_extract_all(spaced_text, F.lit(self._pattern()), F.lit(1))
         return F.array_distinct(F.transform(forms, lambda form: F.try_element_at(names, form)))
 
-    def blanked(self, text: Column) -> Column:
+    def blanked(self, spaced_text: Column) -> Column:
         """The text with every mention replaced by a mark that is no word."""
         if not self.by_form:
-            return text
-        return F.regexp_replace(text, self._pattern(list(self.by_form)), "#")
+            return spaced_text
+        return F.regexp_replace(spaced_text, self._pattern(), " #")
 
-    def ambiguity(self, text: Column) -> Column:
+    def ambiguity(self, spaced_text: Column) -> Column:
         """An error text if a mention fits several names, else null."""
         clashes = [(f, same) for f, same in self.by_form.items() if len(same) > 1]
         found = [
             F.when(
-                has_any_word(text, [form]),
+                has_any_word(spaced_text, [form]),
                 F.lit(
                     f"Ambiguous column reference '{form}' matches multiple schema columns: "
                     f"{', '.join(same)}."

@@ -7,19 +7,18 @@ included; so is a constant column.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.quantiles import one_row
 from framegauge.schema import col, select_numeric
 
-# Up to this width the matrix is one aggregation of pairwise moments.
-_MOMENT_COLUMNS = 16
+# Up to this width the matrix is summed pair by pair.
+_PAIRWISE_COLUMNS = 16
 
 
 def correlation(
@@ -31,15 +30,13 @@ def correlation(
         raise ValueError(f"Pass another label; '{label}' is a selected column.")
     if not chosen:
         return df.sparkSession.createDataFrame([], f"{label} string")
-    matrix = _matrix(df, chosen)
     rows = [
         F.struct(
-            F.lit(a).alias(label),
-            *[matrix[min(i, j), max(i, j)].alias(b) for j, b in enumerate(chosen)],
+            F.lit(a).alias(label), *[F.col(_entry(i, j)).alias(b) for j, b in enumerate(chosen)]
         )
         for i, a in enumerate(chosen)
     ]
-    return _spread(df, chosen, rows)
+    return _entries(df, chosen).select(F.inline(F.array(*rows)))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -49,49 +46,70 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         return df.sparkSession.createDataFrame(
             [], "column_a string, column_b string, correlation double"
         )
-    matrix = _matrix(df, chosen)
     rows = [
         F.struct(
             F.lit(a).alias("column_a"),
             F.lit(b).alias("column_b"),
-            matrix[min(i, j), max(i, j)].alias("correlation"),
+            F.col(_entry(i, j)).alias("correlation"),
         )
         for i, a in enumerate(chosen)
         for j, b in enumerate(chosen)
     ]
-    return _spread(df, chosen, rows)
+    return _entries(df, chosen).select(F.inline(F.array(*rows)))
 
 
-def _spread(df: DataFrame, chosen: Sequence[str], rows: Sequence[Column]) -> DataFrame:
-    source = df if len(chosen) <= _MOMENT_COLUMNS else df.sparkSession.range(1)
-    return source.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+def _entry(i: int, j: int) -> str:
+    return f"r_{min(i, j)}_{max(i, j)}"
 
 
-def _matrix(df: DataFrame, chosen: Sequence[str]) -> dict[tuple[int, int], Column]:
-    if len(chosen) <= _MOMENT_COLUMNS:
-        return _moment_matrix(chosen)
-    return _vector_matrix(df, chosen)
+def _entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """One row with the upper triangle of the matrix."""
+    if len(chosen) <= _PAIRWISE_COLUMNS:
+        return _pairwise_entries(df, chosen)
+    return _vector_entries(df, chosen)
 
 
-def _moment_matrix(chosen: Sequence[str]) -> dict[tuple[int, int], Column]:
+def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """Means first, then sums of products around them: exact and cheap per row."""
+    width = len(chosen)
     values = [col(c).cast("double") for c in chosen]
-    deviation = [F.stddev_samp(v) for v in values]
-    usable = [(F.count_if(v.isNull()) == 0) & (d > 0) & ~F.isnan(d) for v, d in zip(values, deviation)]
-    undefined = F.lit(math.nan)
-    matrix = {
-        (i, i): F.when(usable[i], F.lit(1.0)).otherwise(undefined) for i in range(len(chosen))
-    }
-    for i, j in combinations(range(len(chosen)), 2):
-        ratio = F.try_divide(F.covar_samp(values[i], values[j]), deviation[i] * deviation[j])
-        bounded = F.greatest(F.least(ratio, F.lit(1.0)), F.lit(-1.0))
-        matrix[i, j] = F.when(
-            usable[i] & usable[j] & ~F.isnan(ratio), bounded
-        ).otherwise(undefined)
-    return matrix
-
-
-def _vector_matrix(df: DataFrame, chosen: Sequence[str]) -> dict[tuple[int, int], Column]:
-    """One pass whose state is a square matrix of the number of columns."""
+    found = one_row(
+        df,
+        [
+            measure
+            for v in values
+            for measure in (F.count_if(v.isNull()), F.min(v) < F.max(v), F.avg(v))
+        ],
+    )
+    nulls, varies, means = found[0::3], found[1::3], found[2::3]
+    usable = [
+        not nulls[i] and bool(varies[i]) and math.isfinite(means[i]) for i in range(width)
+    ]
+    around = [v - F.lit(m) for v, m in zip(values, means)]
+    pairs = [
+        (i, j) for i in range(width) for j in range(i, width) if usable[i] and usable[j]
+    ]
+    sums = dict(zip(pairs, one_row(df, [F.sum(around[i] * around[j]) for i, j in pairs])))
+
+    def value(i: int, j: int) -> float:
+        if (i, j) not in sums:
+            return math.nan
+        if i == j:
+            return 1.0
+        ratio = sums[i, j] / math.sqrt(sums[i, i]) / math.sqrt(sums[j, j])
+        return min(max(ratio, -1.0), 1.0)
+
+    return _literal_row(df, width, value)
+
+
+def _literal_row(df: DataFrame, width: int, value: Callable[[int, int], float]) -> DataFrame:
+    return df.sparkSession.range(1).select(
+        *[F.lit(value(i, j)).alias(_entry(i, j)) for i in range(width) for j in range(i, width)]
+    )
+
+
+def _vector_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """For wide data: the state per task is one square matrix of the columns."""
     doubles = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(chosen)])
     names = doubles.columns
     deviation = one_row(doubles, [F.stddev_samp(n) for n in names])
@@ -100,11 +118,9 @@ def _vector_matrix(df: DataFrame, chosen: Sequence[str]) -> dict[tuple[int, int]
     found = Correlation.corr(assembled, "v").first()[0].toArray()
     usable = [not n and d is not None and d > 0 for n, d in zip(nulls, deviation)]
 
-    def entry(i: int, j: int) -> Column:
-        if not (usable[i] and usable[j]):
-            return F.lit(math.nan)
-        if i == j:
-            return F.lit(1.0)
-        return F.lit(float(min(max(found[i, j], -1.0), 1.0)) if found[i, j] == found[i, j] else math.nan)
+    def value(i: int, j: int) -> float:
+        if not (usable[i] and usable[j]) or math.isnan(found[i, j]):
+            return math.nan
+        return 1.0 if i == j else float(min(max(found[i, j], -1.0), 1.0))
 
-    return {(i, j): entry(i, j) for i in range(len(chosen)) for j in range(i, len(chosen))}
+    return _literal_row(df, len(chosen), value)

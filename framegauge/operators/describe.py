@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from framegauge.functions.quantiles import (
     fits_in_one_task,
     linear_quantiles,
     nan_count,
+    passes,
     rankable_counts,
 )
 from framegauge.operators.distinct import distinct_counts
@@ -74,8 +76,18 @@ def describe_numeric(df: DataFrame, column: str, *, held_values: int = HELD_VALU
 
 def _statistics(df: DataFrame, columns: Sequence[str], held_values: int) -> DataFrame:
     quantiles = quantile_arrays(df, columns, _PROBABILITIES, held_values)
-    rows = [_column_row(df, c, quantiles[c]) for c in columns]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return one_row_per_column(df, columns, lambda c: _column_row(df, c, quantiles[c]))
+
+
+def one_row_per_column(
+    df: DataFrame, columns: Sequence[str], row_of: Callable[[str], Column]
+) -> DataFrame:
+    """One row per column from structs of aggregates, a few columns per pass."""
+    frames = [
+        df.agg(F.array(*[row_of(c) for c in chunk]).alias("rows")).select(F.inline("rows"))
+        for chunk in passes(list(columns))
+    ]
+    return reduce(DataFrame.unionAll, frames)
 
 
 def quantile_arrays(

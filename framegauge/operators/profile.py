@@ -11,14 +11,12 @@ from pyspark.sql import types as T
 
 from framegauge.functions.aggregates import largest, smallest
 from framegauge.functions.quantiles import HELD_VALUES
-from framegauge.operators.describe import quantile_arrays
+from framegauge.operators.describe import one_row_per_column, quantile_arrays
 from framegauge.operators.distinct import distinct_counts, duplicate_row_count
 from framegauge.operators.grouping import value_counts
 from framegauge.schema import NUMERIC, OTHER, TEMPORAL, col, columns_of, data_type, type_class
 
 TOP_VALUES = 5
-# Columns whose statistics share one aggregation; wider datasets use several.
-_COLUMNS_PER_PASS = 40
 
 
 def profile_columns(df: DataFrame, *, held_values: int = HELD_VALUES) -> DataFrame:
@@ -28,11 +26,7 @@ def profile_columns(df: DataFrame, *, held_values: int = HELD_VALUES) -> DataFra
     all types share a schema; ``mean`` and ``median`` are set for numeric
     columns and ``top_values`` for columns that are neither numeric nor dates.
     """
-    passes = [
-        _statistics(df, df.columns[i : i + _COLUMNS_PER_PASS], held_values)
-        for i in range(0, len(df.columns), _COLUMNS_PER_PASS)
-    ]
-    statistics = reduce(DataFrame.unionAll, passes)
+    statistics = _statistics(df, held_values)
     # The joined tables have one row per column of the schema.
     unique = distinct_counts(df).withColumnRenamed("column", "name")
     profile = statistics.join(F.broadcast(unique), "name")
@@ -88,11 +82,10 @@ def iso_text(value: Column, dtype: T.DataType) -> Column:
     return F.when(F.date_format(value, "SSSSSS") == "000000", whole).otherwise(exact)
 
 
-def _statistics(df: DataFrame, columns: Sequence[str], held_values: int) -> DataFrame:
-    numeric = [c for c in columns if type_class(data_type(df, c)) == NUMERIC]
+def _statistics(df: DataFrame, held_values: int) -> DataFrame:
+    numeric = columns_of(df, NUMERIC)
     medians = quantile_arrays(df, numeric, [0.5], held_values) if numeric else {}
-    rows = [_column_row(df, c, medians.get(c)) for c in columns]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return one_row_per_column(df, df.columns, lambda c: _column_row(df, c, medians.get(c)))
 
 
 def _column_row(df: DataFrame, name: str, median: Column | None) -> Column:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegauge.functions.text import ColumnNames, has_any_phrase, has_any_word, normalized, phrases_in
+from framegauge.functions.text import ColumnNames, has_any_phrase, has_any_word, normalized, phrases_in, spaced
 from framegauge.schema import col, require_columns
 
 # --- fixed values: the vocabulary and the texts of the answers ---------------
@@ -49,8 +49,8 @@ DESCRIBE_TERMS = [
     "statistics for",
     "distribution of",
 ]
-TOP_GROUPS = r"\b(?:top|bottom)\s+\d+\s+(.+?)\s+groups?\s+by\b"
-GROUP_CLAUSE = r"\b(?:group\s+by|grouped\s+by|by|per|each)\b(.*)$"
+TOP_GROUPS = " (?:top|bottom) [0-9]+ (.+?) groups? by "
+GROUP_CLAUSE = " (?:group by|grouped by|by|per|each)( .*)$"
 TOP_N = r"(?U)\b(?:top|bottom)\s+([0-9]+)\b"
 
 EMPTY_QUESTION = "Question cannot be empty."
@@ -76,7 +76,7 @@ UNSUPPORTED = (
 DEFAULT_COUNT = "No aggregation was specified; defaulted to count."
 DEFAULT_DAILY = "No time frequency was specified; defaulted to daily (1d)."
 
-_WORK = "__question"
+_WORK = "__question_"
 
 
 def tag_questions(
@@ -103,15 +103,12 @@ def tag_questions(
 
 
 def _part(name: str) -> Column:
-    return F.col(f"{_WORK}.{name}")
+    return F.col(_WORK + name)
 
 
 def _extended(df: DataFrame, **parts: Column) -> DataFrame:
-    """Add named parts to the working struct; each part is computed once."""
-    work = F.col(_WORK)
-    for name, value in parts.items():
-        work = work.withField(name, value)
-    return df.withColumn(_WORK, work)
+    """Add working columns that the next steps use several times."""
+    return df.withColumns({_WORK + name: value for name, value in parts.items()})
 
 
 def _mentions(
@@ -122,28 +119,42 @@ def _mentions(
     temporal: ColumnNames,
 ) -> DataFrame:
     raw = col(question_column)
-    text = F.coalesce(normalized(raw), F.lit(""))
-    read = questions.withColumn(_WORK, F.struct(text.alias("text")))
+    read = _extended(questions, text=F.coalesce(normalized(raw), F.lit("")))
     text = _part("text")
-    clause = F.regexp_extract(text, TOP_GROUPS, 1)
-    clause = F.when(clause != "", clause).otherwise(F.regexp_extract(text, GROUP_CLAUSE, 1))
-    outside = everything.blanked(text)
-    ascending, descending = has_any_word(text, ASCENDING_WORDS), has_any_word(text, DESCENDING_WORDS)
+    read = _extended(read, words=spaced(text))
+    words = _part("words")
     read = _extended(
         read,
-        blank=F.coalesce(raw.rlike(r"(?U)^[\s\x1c-\x1f]*$"), F.lit(True)),
-        numeric=numeric.found_in(text),
-        temporal=temporal.found_in(text),
-        numeric_clash=numeric.ambiguity(text),
-        temporal_clash=temporal.ambiguity(text),
-        any_clash=everything.ambiguity(text),
-        aggregations=phrases_in(text, AGGREGATION_PHRASES),
+        outside=everything.blanked(words),
+        clause=spaced(
+            F.trim(
+                F.coalesce(
+                    F.nullif(F.regexp_extract(words, TOP_GROUPS, 1), F.lit("")),
+                    F.regexp_extract(words, GROUP_CLAUSE, 1),
+                )
+            )
+        ),
+        top_n=F.when(
+            has_any_word(words, ["top", "bottom"]), F.regexp_extract(F.lower(raw), TOP_N, 1)
+        ),
+    )
+    outside = _part("outside")
+    ascending, descending = has_any_word(words, ASCENDING_WORDS), has_any_word(words, DESCENDING_WORDS)
+    read = _extended(
+        read,
+        blank=(text == "") & F.coalesce(raw.rlike(r"(?U)^[\s\x1c-\x1f]*$"), F.lit(True)),
+        numeric=numeric.found_in(words),
+        temporal=temporal.found_in(words),
+        keys=everything.found_in(_part("clause")),
+        numeric_clash=numeric.ambiguity(words),
+        temporal_clash=temporal.ambiguity(words),
+        any_clash=everything.ambiguity(words),
+        aggregations=phrases_in(words, AGGREGATION_PHRASES),
         frequencies=phrases_in(outside, FREQUENCY_WORDS),
         refused=phrases_in(outside, {w: [w] for w in REFUSED_FREQUENCY_WORDS}),
-        keys=everything.found_in(F.trim(clause)),
         sort_clash=ascending & descending,
         sort=F.when(descending, F.lit("desc")).when(ascending, F.lit("asc")),
-        limit=F.nullif(F.regexp_extract(F.lower(raw), TOP_N, 1), F.lit("")).try_cast("bigint"),
+        limit=F.when(_part("top_n") != "", _part("top_n").try_cast("bigint")),
     )
     return _extended(
         read,
