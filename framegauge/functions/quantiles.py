@@ -138,10 +138,19 @@ def passes(items: Sequence, size: int = COLUMNS_PER_PASS) -> list[Sequence]:
 
 
 def _collect_arrays(frames: Sequence[DataFrame]) -> list[Any]:
-    """Run one-row frames with an array ``found`` as one job; join the arrays."""
-    tagged = [f.select(F.lit(i).alias("part"), "found") for i, f in enumerate(frames)]
-    rows = reduce(DataFrame.unionAll, tagged).collect()
-    return [v for row in sorted(rows, key=lambda r: r["part"]) for v in row["found"]]
+    """Run one-row frames with an array ``found`` as one job; join the arrays.
+
+    Arrays of different types travel in columns of their own.
+    """
+    tagged = [
+        f.select(F.lit(i).alias("part"), F.col("found").alias(f"found_{f.dtypes[0][1]}"))
+        for i, f in enumerate(frames)
+    ]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    found: list[Any] = []
+    for row in sorted(together.collect(), key=lambda r: r["part"]):
+        found += next(v for v in row[1:] if v is not None)
+    return found
 
 
 def one_row(df: DataFrame, expressions: Sequence[Column]) -> list[Any]:
@@ -170,7 +179,7 @@ def _narrow(df: DataFrame, slots: Sequence[_Slot]) -> None:
     for slot in slots:
         by_interval.setdefault(slot.interval, []).append(slot)
     # Neighbours of one type can share the array that carries their sketches.
-    intervals = sorted(by_interval, key=lambda i: data_type(df, i[0]).simpleString())
+    intervals = sorted(by_interval, key=lambda i: _sketch_type(data_type(df, i[0])))
     splits = [sorted(set(found)) for found in _sketch(df, by_interval, intervals)]
     counts = _count_pieces(df, intervals, splits)
     for i, (interval, cuts) in enumerate(zip(intervals, splits)):
@@ -185,21 +194,24 @@ def _sketch(
     """Approximate values around the wanted ranks, in the type of each column."""
 
     def one_pass(chunk: Sequence[tuple]) -> DataFrame:
-        return _rows_inside(df, chunk).agg(
-            F.array(
-                *[
-                    F.percentile_approx(
-                        F.when(_inside(df, *i), col(i[0])), _bands(by_interval[i]), _SKETCH_ACCURACY
-                    )
-                    for i in chunk
-                ]
-            ).alias("found")
-        )
+        kind = _sketch_type(data_type(df, chunk[0][0]))
+        sketches = [
+            F.percentile_approx(
+                F.when(_inside(df, *i), col(i[0])), _bands(by_interval[i]), _SKETCH_ACCURACY
+            ).cast(f"array<{kind}>")
+            for i in chunk
+        ]
+        return _rows_inside(df, chunk).agg(F.array(*sketches).alias("found"))
 
-    found: list[list[Any]] = []
-    for _, same_type in groupby(intervals, key=lambda i: data_type(df, i[0]).simpleString()):
-        found += _collect_arrays([one_pass(chunk) for chunk in passes(list(same_type))])
-    return found
+    by_kind = groupby(intervals, key=lambda i: _sketch_type(data_type(df, i[0])))
+    return _collect_arrays([one_pass(c) for _, same in by_kind for c in passes(list(same))])
+
+
+def _sketch_type(dtype: T.DataType) -> str:
+    """The widest type of its kind: values pass through it unchanged."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return "double" if is_floating(dtype) else dtype.simpleString()
 
 
 # Pieces of an interval are numbered between, on, between, on, ... its splits.

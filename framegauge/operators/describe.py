@@ -16,7 +16,7 @@ from framegauge.functions.quantiles import (
     linear_quantiles,
     nan_count,
     passes,
-    rankable_counts,
+    valid_value,
 )
 from framegauge.operators.distinct import distinct_counts
 from framegauge.schema import (
@@ -75,56 +75,97 @@ def describe_numeric(df: DataFrame, column: str, *, held_values: int = HELD_VALU
 
 
 def _statistics(df: DataFrame, columns: Sequence[str], held_values: int) -> DataFrame:
-    quantiles = quantile_arrays(df, columns, _PROBABILITIES, held_values)
-    return one_row_per_column(df, columns, lambda c: _column_row(df, c, quantiles[c]))
-
-
-def one_row_per_column(
-    df: DataFrame, columns: Sequence[str], row_of: Callable[[str], Column]
-) -> DataFrame:
-    """One row per column from structs of aggregates, a few columns per pass."""
-    frames = [
-        df.agg(F.array(*[row_of(c) for c in chunk]).alias("rows")).select(F.inline("rows"))
-        for chunk in passes(list(columns))
-    ]
-    return reduce(DataFrame.unionAll, frames)
-
+    measured = quantile_rows(
+        df, columns, lambda c: _column_row(df, c), _PROBABILITIES, held_values
+    )
 
-def quantile_arrays(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], held_values: int
-) -> dict[str, Column]:
-    """Arrays of exact linear quantiles, usable inside one ``df.agg``.
+    def percentile(i: int) -> Column:
+        return F.when(F.col("nans") > 0, F.lit(math.nan)).otherwise(F.get("quantiles", F.lit(i)))
 
-    While all values fit in one task they are aggregates of the same pass;
-    otherwise they are found beforehand and enter the plan as literals.
-    """
-    if fits_in_one_task(df.count(), len(columns), held_values):
-        return {c: F.percentile(col(c), list(probabilities)) for c in columns}
-    valid, nans = rankable_counts(df, columns)
-    found = linear_quantiles(df, probabilities, valid, nans, held_values)
-    return {
-        c: F.array(*[F.lit(v).cast("double") for v in found[c]]) for c in columns
-    }
+    return measured.select(
+        F.col("name").alias("column"),
+        "count",
+        "missing",
+        "mean",
+        F.get("quantiles", F.lit(1)).alias("median"),
+        "std",
+        "min",
+        percentile(0).alias("p25"),
+        percentile(1).alias("p50"),
+        percentile(2).alias("p75"),
+        percentile(3).alias("p95"),
+        "max",
+    )
 
 
-def _column_row(df: DataFrame, name: str, quantiles: Column) -> Column:
+def _column_row(df: DataFrame, name: str) -> list[Column]:
     value, dtype = col(name), data_type(df, name)
-    has_nan = nan_count(value, dtype) > 0
-
-    def percentile(i: int) -> Column:
-        return F.when(has_nan, F.lit(math.nan)).otherwise(F.get(quantiles, F.lit(i)))
-
-    return F.struct(
-        F.lit(name).alias("column"),
+    return [
         F.count(value).alias("count"),
         F.count_if(value.isNull()).alias("missing"),
         F.avg(value).cast("double").alias("mean"),
-        F.get(quantiles, F.lit(1)).alias("median"),
         F.stddev_samp(value).alias("std"),
         smallest(value).cast("double").alias("min"),
-        percentile(0).alias("p25"),
-        percentile(1).alias("p50"),
-        percentile(2).alias("p75"),
-        percentile(3).alias("p95"),
         largest(value, dtype).cast("double").alias("max"),
+    ]
+
+
+def quantile_rows(
+    df: DataFrame,
+    columns: Sequence[str],
+    measures: Callable[[str], list[Column]],
+    probabilities: Sequence[float],
+    held_values: int,
+) -> DataFrame:
+    """One row per column: ``name``, its measures, ``nans`` and exact ``quantiles``.
+
+    While all values fit in one task the quantiles are aggregates of the same
+    pass.  Otherwise that pass gives the counts the narrowing starts from, and
+    its rows, one per column, are completed on the driver.
+    """
+    numeric = [c for c in columns if type_class(data_type(df, c)) == NUMERIC]
+    direct = fits_in_one_task(df.count(), len(numeric), held_values)
+
+    def row(name: str) -> Column:
+        value, dtype = col(name), data_type(df, name)
+        fields = [F.lit(name).alias("name"), *measures(name)]
+        if name not in numeric:
+            nothing = F.lit(None).cast("array<double>")
+            return F.struct(*fields, _zero("valid"), _zero("nans"), nothing.alias("quantiles"))
+        if direct:
+            valid, quantiles = _zero("valid"), F.percentile(value, list(probabilities))
+        else:
+            valid = F.count_if(valid_value(value, dtype)).alias("valid")
+            quantiles = F.lit(None).cast("array<double>")
+        nans = nan_count(value, dtype).alias("nans")
+        return F.struct(*fields, valid, nans, quantiles.alias("quantiles"))
+
+    measured = one_row_per_column(df, columns, row)
+    if direct:
+        return measured
+    rows = measured.collect()
+    counted = [r for r in rows if r["name"] in numeric]
+    found = linear_quantiles(
+        df,
+        probabilities,
+        {r["name"]: r["valid"] for r in counted},
+        {r["name"]: r["nans"] for r in counted},
+        held_values,
     )
+    completed = [(*r[:-1], found.get(r["name"])) for r in rows]
+    return df.sparkSession.createDataFrame(completed, measured.schema)
+
+
+def _zero(name: str) -> Column:
+    return F.lit(0).cast("bigint").alias(name)
+
+
+def one_row_per_column(
+    df: DataFrame, columns: Sequence[str], row_of: Callable[[str], Column]
+) -> DataFrame:
+    """One row per column from structs of aggregates, a few columns per pass."""
+    frames = [
+        df.agg(F.array(*[row_of(c) for c in chunk]).alias("rows")).select(F.inline("rows"))
+        for chunk in passes(list(columns))
+    ]
+    return reduce(DataFrame.unionAll, frames)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from framegauge.functions.aggregates import largest, smallest
 from framegauge.functions.quantiles import HELD_VALUES
-from framegauge.operators.describe import one_row_per_column, quantile_arrays
+from framegauge.operators.describe import quantile_rows
 from framegauge.operators.distinct import distinct_counts, duplicate_row_count
 from framegauge.operators.grouping import value_counts
 from framegauge.schema import NUMERIC, OTHER, TEMPORAL, col, columns_of, data_type, type_class
@@ -83,34 +83,30 @@ def iso_text(value: Column, dtype: T.DataType) -> Column:
 
 
 def _statistics(df: DataFrame, held_values: int) -> DataFrame:
-    numeric = columns_of(df, NUMERIC)
-    medians = quantile_arrays(df, numeric, [0.5], held_values) if numeric else {}
-    return one_row_per_column(df, df.columns, lambda c: _column_row(df, c, medians.get(c)))
+    measured = quantile_rows(df, df.columns, lambda c: _column_row(df, c), [0.5], held_values)
+    return measured.withColumn("median", F.get("quantiles", F.lit(0)))
 
 
-def _column_row(df: DataFrame, name: str, median: Column | None) -> Column:
+def _column_row(df: DataFrame, name: str) -> list[Column]:
     value, dtype = col(name), data_type(df, name)
     kind = type_class(dtype)
     nulls, rows = F.count_if(value.isNull()), F.count(F.lit(1))
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    low = high = text
-    mean = middle = number
+    low = high = F.lit(None).cast("string")
+    mean = F.lit(None).cast("double")
     if kind == NUMERIC:
         low, high = smallest(value).cast("string"), largest(value, dtype).cast("string")
-        mean, middle = F.avg(value).cast("double"), F.get(median, F.lit(0))
+        mean = F.avg(value).cast("double")
     elif kind == TEMPORAL:
         low, high = iso_text(F.min(value), dtype), iso_text(F.max(value), dtype)
     percent = F.round(F.coalesce(F.try_divide(nulls * 100.0, rows), F.lit(0.0)), 4)
-    return F.struct(
-        F.lit(name).alias("name"),
+    return [
         F.lit(dtype.simpleString()).alias("dtype"),
         nulls.alias("null_count"),
         percent.alias("null_pct"),
         low.alias("min"),
         high.alias("max"),
         mean.alias("mean"),
-        middle.alias("median"),
-    )
+    ]
 
 
 def profile_summary(df: DataFrame) -> DataFrame:

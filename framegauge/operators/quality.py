@@ -40,7 +40,7 @@ def null_counts(df: DataFrame, *, only_missing: bool = False) -> DataFrame:
     rows = F.count(F.lit(1))
     entries = []
     for c in df.columns:
-        nulls = F.count_if(col(c).isNull())
+        nulls = rows - F.count(col(c))
         percent = F.round(F.coalesce(F.try_divide(nulls * 100.0, rows), F.lit(0.0)), 4)
         entries.append(
             F.struct(
