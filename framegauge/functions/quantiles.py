@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import localcontext
 from functools import reduce
 from itertools import groupby
 from typing import Any
@@ -180,7 +181,13 @@ def _narrow(df: DataFrame, slots: Sequence[_Slot]) -> None:
         by_interval.setdefault(slot.interval, []).append(slot)
     # Neighbours of one type can share the array that carries their sketches.
     intervals = sorted(by_interval, key=lambda i: _sketch_type(data_type(df, i[0])))
-    splits = [sorted(set(found)) for found in _sketch(df, by_interval, intervals)]
+    splits = [
+        [cut for cut in sorted(set(found)) if _strictly_inside(cut, interval)]
+        for interval, found in zip(intervals, _sketch(df, by_interval, intervals))
+    ]
+    for i, interval in enumerate(intervals):
+        if not splits[i]:
+            splits[i] = _halves(df, interval)
     counts = _count_pieces(df, intervals, splits)
     for i, (interval, cuts) in enumerate(zip(intervals, splits)):
         pieces = [counts.get(_code(i, piece), 0) for piece in range(2 * len(cuts))]
@@ -214,6 +221,21 @@ def _sketch_type(dtype: T.DataType) -> str:
     return "double" if is_floating(dtype) else dtype.simpleString()
 
 
+def _strictly_inside(cut: Any, interval: tuple) -> bool:
+    _, low, high = interval
+    return (low is None or cut > low) and (high is None or cut < high)
+
+
+def _halves(df: DataFrame, interval: tuple) -> list[Any]:
+    """Splits for whole numbers and decimals that a sketch of doubles cannot tell apart."""
+    inside = F.when(_inside(df, *interval), col(interval[0]))
+    low, high = df.agg(F.min(inside), F.max(inside)).first()
+    if isinstance(low, int):
+        return sorted({low, (low + high) // 2, high})
+    with localcontext(prec=60):
+        return sorted({low, ((low + high) / 2).quantize(low), high})
+
+
 # Pieces of an interval are numbered between, on, between, on, ... its splits.
 _CODES_PER_INTERVAL = 100_000
 
@@ -484,16 +506,22 @@ def _narrowed_median(
 def _narrow_groups(wide: DataFrame, members, slot: list[str], value: Column, dtype) -> DataFrame:
     grid = [i / _GRID for i in range(_GRID + 1)]
     sketches = members(wide).groupBy(*slot).agg(
-        F.percentile_approx(value, grid, _SKETCH_ACCURACY).alias("grid")
+        F.percentile_approx(value, grid, _SKETCH_ACCURACY).alias("grid"),
+        F.min(value).alias("lowest"),
+        F.max(value).alias("highest"),
     )
     steps = (F.col("rank") - F.col("below") + 0.5) / F.col("size") * _GRID
     left_step = F.greatest(F.floor(steps).cast("int") - 1, F.lit(0))
     right_step = F.least(F.ceil(steps).cast("int") + 1, F.lit(_GRID))
+    left, right = F.get("grid", left_step), F.get("grid", right_step)
+    low, high = F.col("low"), F.col("high")
+    # Whole numbers may be too close for a sketch of doubles; halve those.
+    splitting = (low.isNull() | (left > low)) & (high.isNull() | (right < high))
     bounds = pinned(
         _by_slot(wide, sketches, slot).select(
-            *[c for c in wide.columns],
-            F.get("grid", left_step).alias("a"),
-            F.get("grid", right_step).alias("b"),
+            *wide.columns,
+            F.when(splitting, left).otherwise(F.col("lowest")).alias("a"),
+            F.when(splitting, right).otherwise(_middle(dtype)).alias("b"),
         )
     )
     a, b = F.col("a"), F.col("b")
@@ -522,7 +550,7 @@ def _narrow_groups(wide: DataFrame, members, slot: list[str], value: Column, dty
         )
 
     none = F.lit(None)
-    size, below, low, high = (F.col(c) for c in ("size", "below", "low", "high"))
+    size, below = F.col("size"), F.col("below")
     return _by_slot(bounds, counts, slot).select(
         *slot,
         piece(F.col("under"), size, F.col("between"), size, size - to_b).alias("size"),
@@ -533,6 +561,16 @@ def _narrow_groups(wide: DataFrame, members, slot: list[str], value: Column, dty
     )
 
 
+def _middle(dtype: T.DataType) -> Column:
+    """A value between ``lowest`` and ``highest``; the sum of halves cannot overflow."""
+    lowest, highest = F.col("lowest"), F.col("highest")
+    if not isinstance(dtype, T.IntegralType):
+        half = (lowest + (highest - lowest) / 2).cast(dtype)
+        return F.least(highest, F.greatest(lowest, half))
+    half = F.shiftright(lowest.cast("bigint"), 1) + F.shiftright(highest.cast("bigint"), 1)
+    return F.greatest(lowest, half.cast(dtype))
+
+
 def _by_slot(left: DataFrame, right: DataFrame, slot: Sequence[str]) -> DataFrame:
     """Add the measures of ``right`` to ``left``; null group keys match."""
     renamed = right.select(
