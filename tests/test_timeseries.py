@@ -56,7 +56,7 @@ def test_types_are_kept(spark):
     for frequency in ("1mo", "1w", "1d"):
         assert fg.time_series(df, datetime_column="d", frequency=frequency).dtypes[0] == ("d", "date")
     assert [tuple(r) for r in fg.time_series(df, datetime_column="d", frequency="1mo").collect()] == [(date(2024, 5, 1), 2)]
-    zoned = df.selectExpr("cast(d as timestamp) as d")
+    zoned = df.selectExpr("cast(d as timestamp_ltz) as d")
     assert fg.time_series(zoned, datetime_column="d", frequency="1mo").dtypes[0] == ("d", "timestamp")
 
 
