@@ -531,6 +531,22 @@ def _profile_top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.select("name", F.inline("top_values"))
 
 
+@_query(
+    "distinct_texts_by_hash",
+    _union_sql(
+        [
+            f"""select '{c}' as "column", count(distinct {c}) + max(({c} is null)::int) as unique_count
+                from documents"""
+            for c in ("text", "lang", "source")
+        ]
+    ),
+)
+def _distinct_texts_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route long values take: texts are compared only behind repeated hashes."""
+    documents = _table(spark, sf_dir, "documents")
+    return fg.distinct_counts(documents, ["text", "lang", "source"], direct_rows=0)
+
+
 @_query(
     "profile_summary",
     """select count(*) as row_count, 6 as column_count,
@@ -847,13 +863,15 @@ _sql_query(
     "semi",
     "orders",
     """select a.o_orderkey from {dataset} a where exists
-         (select 1 from {dataset} b where b.o_custkey = a.o_custkey and b.o_totalprice > 400000)""",
+         (select 1 from (select o_custkey from {dataset} where o_totalprice > 400000 group by o_custkey) b
+          where b.o_custkey = a.o_custkey)""",
 )
 _sql_query(
     "anti",
     "orders",
     """select a.o_orderkey from {dataset} a where not exists
-         (select 1 from {dataset} b where b.o_custkey = a.o_custkey and b.o_totalprice > 400000)""",
+         (select 1 from (select o_custkey from {dataset} where o_totalprice > 400000 group by o_custkey) b
+          where b.o_custkey = a.o_custkey)""",
 )
 _sql_query(
     "grouping_sets",

@@ -10,17 +10,80 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framegauge.functions.quantiles import BROADCAST_ROWS
-from framegauge.schema import col
+from framegauge.schema import col, order_key
 from framegauge.storage import pinned
 
-# Below this many rows one shuffle of whole rows is cheaper than two passes.
-_DIRECT_ROWS = 5_000_000
+# Up to this many rows one shuffle of whole values is cheaper than two passes.
+DIRECT_ROWS = 5_000_000
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _NARROW_COLUMNS = 3
 
 
+class ColumnValues:
+    """The value histogram of one column: distinct values and most frequent ones.
+
+    Long values of large datasets are counted by hash first: a hash seen once is
+    one distinct value, and only the values behind repeated hashes are compared
+    and shuffled in full.  Both answers stay exact.
+    """
+
+    def __init__(self, df: DataFrame, column: str, direct_rows: int = DIRECT_ROWS):
+        self._dtype = df.schema[column].dataType
+        self._values = df.select(col(column).alias("v"))
+        self._repeated: DataFrame | None = None
+        if not isinstance(self._dtype, _FIXED_WIDTH) and column in _hash_columns(df):
+            rows = df.count()
+            if rows > direct_rows:
+                self._count_hashes(rows)
+        # Both answers read this one histogram, so its shuffle is planned once.
+        counted = self._values if self._repeated is None else self._with_hash("left_semi")
+        self._histogram = counted.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
+
+    def _with_hash(self, how: str) -> DataFrame:
+        hashed = self._values.withColumn("h", F.xxhash64("v"))
+        return hashed.join(F.broadcast(self._repeated), "h", how).select("v")
+
+    def _count_hashes(self, rows: int) -> None:
+        by_hash = self._values.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+        repeated = pinned(by_hash.where(F.col("n") > 1))
+        hashes, covered = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if hashes <= BROADCAST_ROWS:
+            self._repeated = repeated.select("h")
+            self._single_values = rows - covered
+
+    def unique(self, count_null: bool = True) -> DataFrame:
+        """One row ``unique_count``."""
+        # Counting by "copies" keeps the histogram the same as in ``top``.
+        counted = F.col("copies") > 0
+        if not count_null:
+            counted = counted & F.col("v").isNotNull()
+        unique = self._histogram.agg(F.count_if(counted).alias("unique_count"))
+        if self._repeated is None:
+            return unique
+        singles = self._single_values
+        if not count_null:
+            single_null = self._with_hash("left_anti").where("v is null").limit(1).count()
+            singles -= single_null
+        return unique.select((F.col("unique_count") + singles).alias("unique_count"))
+
+    def top(self, limit: int) -> DataFrame:
+        """At most ``limit`` rows ``v, copies``; ties go by value, nulls first."""
+        value = order_key(F.col("v"), self._dtype).asc_nulls_first()
+        order = [F.col("copies").desc(), value]
+        top = self._histogram.orderBy(*order).limit(limit)
+        if self._repeated is None:
+            return top
+        singles = self._with_hash("left_anti").orderBy(value).limit(limit)
+        singles = singles.withColumn("copies", F.lit(1).cast("bigint"))
+        return top.unionByName(singles).orderBy(*order).limit(limit)
+
+
 def distinct_counts(
-    df: DataFrame, columns: Sequence[str] | None = None, *, count_null: bool = True
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    count_null: bool = True,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """``column, unique_count`` for each column; null is a value if ``count_null``.
 
@@ -28,18 +91,16 @@ def distinct_counts(
     avoids the row expansion Spark uses for several distinct counts at once.
     """
     chosen = df.columns if columns is None else list(columns)
-    counted = F.count(F.lit(1)) if count_null else F.count(F.col("v"))
     branches = [
-        df.groupBy(col(c).alias("v"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .agg(counted.alias("unique_count"))
+        ColumnValues(df, c, direct_rows)
+        .unique(count_null)
         .select(F.lit(c).alias("column"), "unique_count")
         for c in chosen
     ]
     return reduce(DataFrame.unionAll, branches)
 
 
-def duplicate_row_count(df: DataFrame, *, direct_rows: int = _DIRECT_ROWS) -> DataFrame:
+def duplicate_row_count(df: DataFrame, *, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """``row_count, duplicate_row_count``; extra copies count, nulls are equal.
 
     Large inputs with wide rows shuffle a row hash first.  Only rows whose hash

@@ -16,11 +16,11 @@ from framegauge.functions.aggregates import (
     require_metric_type,
 )
 from framegauge.functions.quantiles import grouped_median, linear_quantiles, rankable_counts
+from framegauge.operators.distinct import ColumnValues
 from framegauge.schema import (
     NUMERIC,
     col,
     data_type,
-    order_key,
     require_column,
     require_columns,
     type_class,
@@ -163,10 +163,5 @@ def value_counts(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
     require_column(df, column)
     if column == "count":
         raise ValueError("Rename the column 'count' first; the result uses that name.")
-    value = order_key(col(column), data_type(df, column)).asc_nulls_first()
-    return (
-        df.groupBy(col(column))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.col("count").desc(), value)
-        .limit(limit)
-    )
+    top = ColumnValues(df, column).top(limit)
+    return top.select(F.col("v").alias(column), F.col("copies").alias("count"))

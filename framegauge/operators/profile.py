@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,27 +11,31 @@ from pyspark.sql import types as T
 from framegauge.functions.aggregates import largest, smallest
 from framegauge.functions.quantiles import HELD_VALUES
 from framegauge.operators.describe import quantile_rows
-from framegauge.operators.distinct import distinct_counts, duplicate_row_count
-from framegauge.operators.grouping import value_counts
+from framegauge.operators.distinct import DIRECT_ROWS, ColumnValues, duplicate_row_count
 from framegauge.schema import NUMERIC, OTHER, TEMPORAL, col, columns_of, data_type, type_class
 
 TOP_VALUES = 5
 
 
-def profile_columns(df: DataFrame, *, held_values: int = HELD_VALUES) -> DataFrame:
+def profile_columns(
+    df: DataFrame, *, held_values: int = HELD_VALUES, direct_rows: int = DIRECT_ROWS
+) -> DataFrame:
     """One row per column.
 
     ``min`` and ``max`` are text (ISO-8601 for date-times) so that columns of
     all types share a schema; ``mean`` and ``median`` are set for numeric
     columns and ``top_values`` for columns that are neither numeric nor dates.
     """
-    statistics = _statistics(df, held_values)
+    values = {c: ColumnValues(df, c, direct_rows) for c in df.columns}
+    unique = reduce(
+        DataFrame.unionAll,
+        [v.unique().select(F.lit(c).alias("name"), "unique_count") for c, v in values.items()],
+    )
     # The joined tables have one row per column of the schema.
-    unique = distinct_counts(df).withColumnRenamed("column", "name")
-    profile = statistics.join(F.broadcast(unique), "name")
-    others = columns_of(df, OTHER)
-    if others:
-        profile = profile.join(F.broadcast(_top_values(df, others)), "name", "left")
+    profile = _statistics(df, held_values).join(F.broadcast(unique), "name")
+    top = [_top_values(df, c, values[c]) for c in columns_of(df, OTHER)]
+    if top:
+        profile = profile.join(F.broadcast(reduce(DataFrame.unionAll, top)), "name", "left")
     else:
         profile = profile.withColumn("top_values", F.lit(None).cast(_TOP_TYPE))
     return profile.select(
@@ -44,23 +47,18 @@ def profile_columns(df: DataFrame, *, held_values: int = HELD_VALUES) -> DataFra
 _TOP_TYPE = "array<struct<value:string,count:bigint>>"
 
 
-def _top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    branches = []
-    for c in columns:
-        top = value_counts(df.select(col(c).alias("v")), "v", TOP_VALUES)
-        # At most TOP_VALUES entries are listed here.
-        ranked = F.struct(
-            (-F.col("count")).alias("order"),
-            value_text(F.col("v"), df, c).alias("value"),
-            F.col("count"),
-        )
-        branches.append(
-            top.agg(F.sort_array(F.collect_list(ranked)).alias("top")).select(
-                F.lit(c).alias("name"),
-                F.transform("top", lambda t: t.dropFields("order")).alias("top_values"),
-            )
-        )
-    return reduce(DataFrame.unionAll, branches)
+def _top_values(df: DataFrame, column: str, values: ColumnValues) -> DataFrame:
+    # At most TOP_VALUES entries are listed here.
+    entry = F.struct(
+        (-F.col("copies")).alias("order"),
+        value_text(F.col("v"), df, column).alias("value"),
+        F.col("copies").alias("count"),
+    )
+    listed = values.top(TOP_VALUES).agg(F.sort_array(F.collect_list(entry)).alias("top"))
+    return listed.select(
+        F.lit(column).alias("name"),
+        F.transform("top", lambda t: t.dropFields("order")).alias("top_values"),
+    )
 
 
 def value_text(value: Column, df: DataFrame, column: str) -> Column:

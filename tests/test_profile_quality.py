@@ -183,3 +183,18 @@ def test_duplicates_when_suspects_are_many(spark, monkeypatch):
     monkeypatch.setattr("framegauge.operators.distinct.BROADCAST_ROWS", 1)
     df = spark.createDataFrame([(f"s{i % 50}",) for i in range(120)], "s string")
     assert tuple(duplicate_row_count(df, direct_rows=0).first()) == (120, 70)
+
+
+def test_values_counted_by_hash_first(spark, monkeypatch):
+    texts = ["same"] * 9 + ["twice", "twice", None] + [f"only {i}" for i in range(20)]
+    df = spark.createDataFrame([(t, [t]) for t in texts], "s string, a array<string>")
+    direct = {r["name"]: r for r in fg.profile_columns(df).collect()}
+    hashed = {r["name"]: r for r in fg.profile_columns(df, direct_rows=0).collect()}
+    assert hashed == direct
+    assert [t["count"] for t in hashed["s"]["top_values"]] == [9, 2, 1, 1, 1]
+    assert hashed["s"]["top_values"][2]["value"] == "None"
+    for count_null, expected in [(True, 23), (False, 22)]:
+        counted = fg.distinct_counts(df, ["s"], count_null=count_null, direct_rows=0)
+        assert counted.first()["unique_count"] == expected
+    monkeypatch.setattr("framegauge.operators.distinct.BROADCAST_ROWS", 0)
+    assert {r["name"]: r for r in fg.profile_columns(df, direct_rows=0).collect()} == direct
