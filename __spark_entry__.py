@@ -1047,7 +1047,19 @@ _REQUESTS = {
     "profile": (
         "customer",
         fg.AnalysisRequest("profile"),
-        None,
+        _union_sql(
+            [
+                f"""select '{c}' as name, '{kind}' as dtype, count(*) - count({c}) as null_count,
+                           count(distinct {c}) as unique_count,
+                           {f"round(avg({c}), 4)" if kind != "string" else "null::double"} as mean,
+                           {f"round(median({c}), 4)" if kind != "string" else "null::double"} as median
+                    from customer"""
+                for c, kind in [
+                    ("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
+                    ("c_acctbal", "double"), ("c_mktsegment", "string"),
+                ]
+            ]
+        ),
     ),
 }
 
@@ -1057,7 +1069,10 @@ def _request_query(operation: str) -> None:
 
     @_query(f"run_request_{operation}", sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(fg.run_request(_table(spark, sf_dir, table), request), 4)
+        result = fg.run_request(_table(spark, sf_dir, table), request)
+        if operation == "profile":
+            result = result.drop("null_pct", "min", "max", "top_values")
+        return _rounded(result, 4)
 
 
 for _operation in _REQUESTS:
@@ -1139,6 +1154,92 @@ def _tag_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The rules for questions once more, as SQL over normalised text.
+_TAG_RULES_SQL = r"""
+with raw as (
+    select conv_id, turn,
+           case when role = 'user' then 'Average turn by role: ' else 'Describe conv_id, ' end || text as question
+    from conversations),
+w as (select *, ' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ' as w from raw),
+parts as (
+    select *, trim(w) as t,
+           regexp_replace(w, '\b(conv id|turn|role|text)\b', '#', 'g') as outside,
+           ' ' || trim(coalesce(nullif(regexp_extract(w, ' (?:top|bottom) [0-9]+ (.+?) groups? by ', 1), ''),
+                                regexp_extract(w, ' (?:group by|grouped by|by|per|each)( .*)$', 1))) || ' ' as clause
+    from w),
+flags as (
+    select *,
+        contains(w, ' conv id ')::int + contains(w, ' turn ')::int as numbers,
+        (contains(w, ' conv id ') and not contains(clause, ' conv id '))::int
+            + (contains(w, ' turn ') and not contains(clause, ' turn '))::int as metrics,
+        regexp_matches(clause, ' (conv id|turn|role|text) ') as has_key,
+        regexp_matches(w, ' (average|avg|mean) ')::int + regexp_matches(w, ' (sum|total) ')::int
+            + contains(w, ' median ')::int + regexp_matches(w, ' (minimum|min) ')::int
+            + regexp_matches(w, ' (maximum|max) ')::int + regexp_matches(w, ' (count|number) ')::int
+            + regexp_matches(w, ' (standard deviation|std) ')::int as aggregations,
+        regexp_matches(w, ' (count|number) ') as counting,
+        regexp_matches(outside, ' (hour|hourly) ')::int + regexp_matches(outside, ' (day|daily) ')::int
+            + regexp_matches(outside, ' (week|weekly) ')::int + regexp_matches(outside, ' (month|monthly) ')::int
+            + regexp_matches(outside, ' (year|yearly|annual|annually) ')::int as frequencies,
+        case when contains(outside, ' quarter ') then 'quarter'
+             when contains(outside, ' quarterly ') then 'quarterly' end as refused,
+        regexp_matches(t, 'data quality|quality check|quality report|missing values|duplicates') as is_quality,
+        t = 'profile' or regexp_matches(t, 'profile dataset|profile the dataset|dataset profile|profile the data')
+            as is_profile,
+        regexp_matches(t, 'correlation|correlated') as is_correlation,
+        regexp_matches(t, 'trend|over time|time series') as has_trend,
+        regexp_matches(t, ' by | per | each | grouped|group by') as has_grouping,
+        regexp_matches(t, 'describe|descriptive statistics|summary statistics|statistics for|distribution of')
+            as is_describe,
+        regexp_matches(w, ' (highest|largest|maximum|top) ') and regexp_matches(w, ' (lowest|smallest|minimum|bottom) ')
+            as sort_clash
+    from parts),
+tagged as (
+    select conv_id, turn,
+        case when is_quality then 'quality' when is_profile then 'profile'
+             when is_correlation then 'correlation' when frequencies > 0 or has_trend then 'time_series'
+             when aggregations > 0 and has_grouping then 'aggregate' when is_describe then 'describe' end as chosen,
+        case when is_quality or is_profile then null
+             when is_correlation and numbers < 2
+                 then 'Correlation requires at least two explicitly named numeric columns.'
+             when is_correlation then null
+             when refused is not null then 'Unsupported time frequency ''' || refused
+                 || '''. Supported frequencies are hourly, daily, weekly, monthly, and yearly.'
+             when frequencies > 1 then 'Conflicting time frequencies were requested.'
+             when frequencies > 0 or has_trend
+                 then 'Time-series analysis requires an explicitly named date/datetime column.'
+             when aggregations > 1 then 'Conflicting aggregation operations were requested.'
+             when aggregations > 0 and has_grouping then
+                 case when not has_key then 'Grouped analysis requires an explicitly named grouping column.'
+                      when metrics > 1 then 'Name exactly one numeric metric; found: '
+                          || case when strpos(w, ' turn ') < strpos(w, ' conv id ') then 'turn, conv_id.'
+                                  else 'conv_id, turn.' end
+                      when not counting and metrics = 0
+                          then 'Grouped metric analysis requires an explicitly named numeric metric.'
+                      when sort_clash then 'Conflicting sort directions were requested.' end
+             when is_describe and numbers = 0
+                 then 'Descriptive statistics require at least one explicitly named numeric column.'
+             when is_describe then null
+             else 'Unsupported analytical request. Supported intents: profile, quality, '
+                 || 'describe, grouped aggregation, correlation, and time-series analysis.' end as error
+    from flags)
+select conv_id, turn, case when error is null then chosen end as operation, error from tagged"""
+
+
+@_query("tag_conversations", _TAG_RULES_SQL)
+def _tag_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    names = fg.dataset_schema(spark, f"{sf_dir}/conversations.parquet")
+    opening = F.when(F.col("role") == "user", "Average turn by role: ").otherwise("Describe conv_id, ")
+    tagged = fg.tag_questions(
+        turns.withColumn("question", F.concat(opening, "text")),
+        columns=names.columns,
+        numeric_columns=names.numeric_columns,
+        datetime_columns=names.datetime_columns,
+    )
+    return tagged.select("conv_id", "turn", "operation", "error")
+
+
 # --- the driver's contract ---------------------------------------------------
 
 
