@@ -15,7 +15,7 @@ after every number.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import localcontext
 from functools import reduce
@@ -138,6 +138,20 @@ def passes(items: Sequence, size: int = COLUMNS_PER_PASS) -> list[Sequence]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def one_row_per_column(
+    df: DataFrame,
+    columns: Sequence[str],
+    row_of: Callable[[str], Column],
+    size: int = COLUMNS_PER_PASS,
+) -> DataFrame:
+    """One row per column from structs of aggregates, ``size`` columns per pass."""
+    frames = [
+        df.agg(F.array(*[row_of(c) for c in chunk]).alias("rows")).select(F.inline("rows"))
+        for chunk in passes(list(columns), size)
+    ]
+    return reduce(DataFrame.unionAll, frames)
+
+
 def _collect_arrays(frames: Sequence[DataFrame]) -> list[Any]:
     """Run one-row frames with an array ``found`` as one job; join the arrays.
 

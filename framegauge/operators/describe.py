@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from framegauge.functions.quantiles import (
     fits_in_one_task,
     linear_quantiles,
     nan_count,
-    passes,
+    one_row_per_column,
     valid_value,
 )
 from framegauge.operators.distinct import distinct_counts
@@ -158,14 +157,3 @@ def quantile_rows(
 
 def _zero(name: str) -> Column:
     return F.lit(0).cast("bigint").alias(name)
-
-
-def one_row_per_column(
-    df: DataFrame, columns: Sequence[str], row_of: Callable[[str], Column]
-) -> DataFrame:
-    """One row per column from structs of aggregates, a few columns per pass."""
-    frames = [
-        df.agg(F.array(*[row_of(c) for c in chunk]).alias("rows")).select(F.inline("rows"))
-        for chunk in passes(list(columns))
-    ]
-    return reduce(DataFrame.unionAll, frames)

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framegauge.functions.quantiles import BROADCAST_ROWS
 from framegauge.schema import col, order_key
 from framegauge.storage import pinned
 
 # Up to this many rows one shuffle of whole values is cheaper than two passes.
 DIRECT_ROWS = 5_000_000
+# Repeated hashes, of 8 bytes each, that may be sent to every executor.
+BROADCAST_HASHES = 2_000_000
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _NARROW_COLUMNS = 3
 
@@ -47,7 +48,7 @@ class ColumnValues:
         by_hash = self._values.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n"))
         repeated = pinned(by_hash.where(F.col("n") > 1))
         hashes, covered = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if hashes <= BROADCAST_ROWS:
+        if hashes <= BROADCAST_HASHES:
             self._repeated = repeated.select("h")
             self._single_values = rows - covered
 
@@ -135,7 +136,7 @@ def _count_copies_by_hash(df: DataFrame) -> DataFrame:
     hashed = df.select("*", F.xxhash64(*[col(c) for c in _hash_columns(df)]).alias("__hash"))
     by_hash = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__rows"))
     suspects = pinned(by_hash.where(F.col("__rows") > 1).select("__hash"))
-    if suspects.count() > BROADCAST_ROWS:
+    if suspects.count() > BROADCAST_HASHES:
         # Too many repeated rows to send around; equal rows still combine
         # before the shuffle, so a hot row costs one record per task.
         return _count_copies(df)

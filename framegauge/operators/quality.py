@@ -17,6 +17,7 @@ from framegauge.functions.quantiles import (
     HELD_VALUES,
     nearest_quantiles,
     one_row,
+    one_row_per_column,
     rankable_counts,
 )
 from framegauge.operators.distinct import duplicate_row_count
@@ -26,6 +27,8 @@ from framegauge.schema import col, data_type, numeric_columns, order_key, requir
 # Longest list of allowed values that is written into the plan.
 _INLINE_VALUES = 1_000
 _MIN_VALUES_FOR_IQR = 4
+# Columns per pass where each needs only one or two cheap counts.
+_LIGHT_COLUMNS_PER_PASS = 24
 _FINDING_SCHEMA = (
     "check string, severity string, target string, affected_rows bigint, "
     "affected_pct double, message string, examples array<string>"
@@ -38,27 +41,27 @@ _FINDING_SCHEMA = (
 def null_counts(df: DataFrame, *, only_missing: bool = False) -> DataFrame:
     """``column, row_count, null_count, null_pct`` for every column, in one pass."""
     rows = F.count(F.lit(1))
-    entries = []
-    for c in df.columns:
+
+    def entry(c: str) -> Column:
         nulls = rows - F.count(col(c))
         percent = F.round(F.coalesce(F.try_divide(nulls * 100.0, rows), F.lit(0.0)), 4)
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                rows.alias("row_count"),
-                nulls.alias("null_count"),
-                percent.alias("null_pct"),
-            )
+        return F.struct(
+            F.lit(c).alias("column"),
+            rows.alias("row_count"),
+            nulls.alias("null_count"),
+            percent.alias("null_pct"),
         )
-    counted = df.agg(F.array(*entries).alias("rows")).select(F.inline("rows"))
+
+    counted = one_row_per_column(df, df.columns, entry, _LIGHT_COLUMNS_PER_PASS)
     return counted.where("null_count > 0") if only_missing else counted
 
 
 def completeness(df: DataFrame) -> DataFrame:
     """``row_count, column_count, null_cells, completeness_pct`` in one row."""
     width = len(df.columns)
-    nulls = reduce(lambda a, b: a + b, [F.count_if(col(c).isNull()) for c in df.columns])
-    counted = df.agg(F.count(F.lit(1)).alias("row_count"), nulls.alias("null_cells"))
+    counted = null_counts(df).agg(
+        F.max("row_count").alias("row_count"), F.sum("null_count").alias("null_cells")
+    )
     share = F.try_divide(F.col("null_cells"), F.col("row_count") * width)
     return counted.select(
         "row_count",
@@ -124,28 +127,28 @@ def iqr_outliers(
     ``keep_all`` keeps the tested columns that turn out to have none.
     """
     quartiles = iqr_quartiles(df, columns, held_values=held_values)
-    entries = []
-    for c, (q1, q3) in quartiles.items():
-        lower, upper = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        value = col(c)
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(q1).alias("q1"),
-                F.lit(q3).alias("q3"),
-                F.lit(lower).alias("lower"),
-                F.lit(upper).alias("upper"),
-                F.count_if((value < lower) | (value > upper)).alias("outlier_count"),
-                F.count(F.lit(1)).alias("row_count"),
-            )
-        )
-    if not entries:
+    if not quartiles:
         return df.sparkSession.createDataFrame(
             [],
             "column string, q1 double, q3 double, lower double, upper double, "
             "outlier_count bigint, row_count bigint",
         )
-    counted = df.agg(F.array(*entries).alias("rows")).select(F.inline("rows"))
+
+    def entry(c: str) -> Column:
+        q1, q3 = quartiles[c]
+        lower, upper = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        value = col(c)
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.lit(q1).alias("q1"),
+            F.lit(q3).alias("q3"),
+            F.lit(lower).alias("lower"),
+            F.lit(upper).alias("upper"),
+            F.count_if((value < lower) | (value > upper)).alias("outlier_count"),
+            F.count(F.lit(1)).alias("row_count"),
+        )
+
+    counted = one_row_per_column(df, list(quartiles), entry, _LIGHT_COLUMNS_PER_PASS)
     return counted if keep_all else counted.where(F.col("outlier_count") > 0)
 
 

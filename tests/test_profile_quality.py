@@ -180,7 +180,7 @@ def test_duplicates_by_both_routes(spark):
 
 
 def test_duplicates_when_suspects_are_many(spark, monkeypatch):
-    monkeypatch.setattr("framegauge.operators.distinct.BROADCAST_ROWS", 1)
+    monkeypatch.setattr("framegauge.operators.distinct.BROADCAST_HASHES", 1)
     df = spark.createDataFrame([(f"s{i % 50}",) for i in range(120)], "s string")
     assert tuple(duplicate_row_count(df, direct_rows=0).first()) == (120, 70)
 
@@ -196,5 +196,5 @@ def test_values_counted_by_hash_first(spark, monkeypatch):
     for count_null, expected in [(True, 23), (False, 22)]:
         counted = fg.distinct_counts(df, ["s"], count_null=count_null, direct_rows=0)
         assert counted.first()["unique_count"] == expected
-    monkeypatch.setattr("framegauge.operators.distinct.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("framegauge.operators.distinct.BROADCAST_HASHES", 0)
     assert {r["name"]: r for r in fg.profile_columns(df, direct_rows=0).collect()} == direct
