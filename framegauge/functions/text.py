@@ -7,7 +7,7 @@ whatever stands between spaces.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,13 +39,6 @@ def has_any_word(spaced_text: Column, words: Sequence[str]) -> Column:
     return has_any_phrase(spaced_text, [f" {w} " for w in words])
 
 
-def phrases_in(spaced_text: Column, meanings: Mapping[str, Sequence[str]]) -> Column:
-    """The meanings whose phrases occur as whole words, each once."""
-    return F.array_compact(
-        F.array(*[F.when(has_any_word(spaced_text, words), F.lit(m)) for m, words in meanings.items()])
-    )
-
-
 class ColumnNames:
     """Finds mentions of column names in normalised text with spaces around it."""
 
@@ -62,12 +55,21 @@ class ColumnNames:
         return f" ({'|'.join(longest_first)})(?= )"
 
     def found_in(self, spaced_text: Column) -> Column:
-        """Mentioned names in order of first mention; longer names win."""
+        """Normalised names in order of first mention; longer names win."""
         if not self.by_form:
             return F.array().cast("array<string>")
-        names = F.create_map(*[F.lit(x) for form, same in self.by_form.items() for x in (form, same[0])])
         forms = F.regexp_extract_all(spaced_text, F.lit(self._pattern()), F.lit(1))
-        return F.array_distinct(F.transform(forms, lambda form: F.try_element_at(names, form)))
+        return F.array_distinct(forms)
+
+    def name_of(self, form: Column) -> Column:
+        """The column name behind a normalised name."""
+        if not self.by_form:
+            return F.lit(None).cast("string")
+        names = [F.lit(x) for form_, same in self.by_form.items() for x in (form_, same[0])]
+        return F.try_element_at(F.create_map(*names), form)
+
+    def names_of(self, forms: Column) -> Column:
+        return F.transform(forms, self.name_of)
 
     def blanked(self, spaced_text: Column) -> Column:
         """The text with every mention replaced by a mark that is no word."""

@@ -7,13 +7,13 @@ rows.  A question that cannot be mapped safely gets an ``error`` text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegauge.functions.text import ColumnNames, has_any_phrase, has_any_word, normalized, phrases_in, spaced
+from framegauge.functions.text import ColumnNames, has_any_phrase, has_any_word, normalized, spaced
 from framegauge.schema import col, require_columns
 
 # --- fixed values: the vocabulary and the texts of the answers ---------------
@@ -98,8 +98,8 @@ def tag_questions(
     temporal = everything if datetime_columns is None else ColumnNames(datetime_columns)
 
     read = _mentions(questions, question_column, everything, numeric, temporal)
-    decided = _decide(read, bool(columns))
-    return _answer(decided, questions.columns)
+    decided = _decide(read, bool(columns), numeric, temporal)
+    return _answer(decided, questions.columns, everything, numeric, temporal)
 
 
 def _part(name: str) -> Column:
@@ -111,6 +111,19 @@ def _extended(df: DataFrame, **parts: Column) -> DataFrame:
     return df.withColumns({_WORK + name: value for name, value in parts.items()})
 
 
+def _meaning_flags(spaced_text: Column, meanings: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """One boolean per meaning: one of its phrases occurs as whole words."""
+    return {f"means_{m}": has_any_word(spaced_text, phrases) for m, phrases in meanings.items()}
+
+
+def _meaning(meanings: Mapping[str, Sequence[str]]) -> Column:
+    return F.coalesce(*[F.when(_part(f"means_{m}"), F.lit(m)) for m in meanings])
+
+
+def _number_of(meanings: Mapping[str, Sequence[str]]) -> Column:
+    return reduce(lambda a, b: a + b, [_part(f"means_{m}").cast("int") for m in meanings])
+
+
 def _mentions(
     questions: DataFrame,
     question_column: str,
@@ -149,9 +162,11 @@ def _mentions(
         numeric_clash=numeric.ambiguity(words),
         temporal_clash=temporal.ambiguity(words),
         any_clash=everything.ambiguity(words),
-        aggregations=phrases_in(words, AGGREGATION_PHRASES),
-        frequencies=phrases_in(outside, FREQUENCY_WORDS),
-        refused=phrases_in(outside, {w: [w] for w in REFUSED_FREQUENCY_WORDS}),
+        **_meaning_flags(words, AGGREGATION_PHRASES),
+        **_meaning_flags(outside, FREQUENCY_WORDS),
+        refused=F.coalesce(
+            *[F.when(has_any_word(outside, [w]), F.lit(w)) for w in REFUSED_FREQUENCY_WORDS]
+        ),
         sort_clash=ascending & descending,
         sort=F.when(descending, F.lit("desc")).when(ascending, F.lit("asc")),
         limit=F.when(_part("top_n") != "", _part("top_n").try_cast("bigint")),
@@ -159,12 +174,14 @@ def _mentions(
     return _extended(
         read,
         candidates=F.array_except(_part("numeric"), _part("keys")),
-        agg=F.get(_part("aggregations"), F.lit(0)),
-        frequency=F.get(_part("frequencies"), F.lit(0)),
+        agg=_meaning(AGGREGATION_PHRASES),
+        frequency=_meaning(FREQUENCY_WORDS),
     )
 
 
-def _decide(read: DataFrame, has_columns: bool) -> DataFrame:
+def _decide(
+    read: DataFrame, has_columns: bool, numeric: ColumnNames, temporal: ColumnNames
+) -> DataFrame:
     """Choose the operation and the error; the first matching rule wins."""
     text = _part("text")
     is_quality = has_any_phrase(text, QUALITY_TERMS)
@@ -183,8 +200,8 @@ def _decide(read: DataFrame, has_columns: bool) -> DataFrame:
         .when(is_grouped, "aggregate")
         .when(is_describe, "describe")
     )
-    conflicting = F.size(_part("aggregations")) > 1
-    refused = F.get(_part("refused"), F.lit(0))
+    conflicting = _number_of(AGGREGATION_PHRASES) > 1
+    refused = _part("refused")
     error = _first_error(
         _part("blank"), F.lit(EMPTY_QUESTION),
         F.lit(not has_columns), F.lit(NO_COLUMNS),
@@ -195,17 +212,17 @@ def _decide(read: DataFrame, has_columns: bool) -> DataFrame:
         is_correlation, F.lit(None),
         _part("any_clash").isNotNull(), _part("any_clash"),
         refused.isNotNull(), F.replace(F.lit(REFUSED_FREQUENCY), F.lit("{}"), refused),
-        F.size(_part("frequencies")) > 1, F.lit(CONFLICTING_FREQUENCIES),
+        _number_of(FREQUENCY_WORDS) > 1, F.lit(CONFLICTING_FREQUENCIES),
         is_series, _first_error(
-            F.size(_part("temporal")) > 1, _too_many("date/datetime column", _part("temporal")),
+            F.size(_part("temporal")) > 1, _too_many("date/datetime column", temporal.names_of(_part("temporal"))),
             F.size(_part("temporal")) == 0, F.lit(NO_DATETIME),
-            F.size(_part("numeric")) > 1, _too_many("numeric metric", _part("numeric")),
+            F.size(_part("numeric")) > 1, _too_many("numeric metric", numeric.names_of(_part("numeric"))),
             conflicting, F.lit(CONFLICTING_AGGREGATIONS),
         ),
         conflicting, F.lit(CONFLICTING_AGGREGATIONS),
         is_grouped, _first_error(
             F.size(_part("keys")) == 0, F.lit(NO_GROUP),
-            F.size(_part("candidates")) > 1, _too_many("numeric metric", _part("candidates")),
+            F.size(_part("candidates")) > 1, _too_many("numeric metric", numeric.names_of(_part("candidates"))),
             (_part("agg") != "count") & (F.size(_part("candidates")) == 0), F.lit(NO_METRIC),
             _part("sort_clash"), F.lit(CONFLICTING_SORTS),
         ),
@@ -225,27 +242,36 @@ def _too_many(purpose: str, found: Column) -> Column:
     return F.concat(F.lit(f"Name exactly one {purpose}; found: "), F.array_join(found, ", "), F.lit("."))
 
 
-def _answer(decided: DataFrame, kept: Sequence[str]) -> DataFrame:
+def _answer(
+    decided: DataFrame,
+    kept: Sequence[str],
+    everything: ColumnNames,
+    numeric: ColumnNames,
+    temporal: ColumnNames,
+) -> DataFrame:
+    def first(names: ColumnNames, part: str) -> Column:
+        return names.name_of(F.get(_part(part), F.lit(0)))
+
     valid = _part("error").isNull()
     chosen = F.when(valid, _part("chosen"))
     none = F.array().cast("array<string>")
     series, grouped = chosen == "time_series", chosen == "aggregate"
-    assumed = F.array_compact(
-        F.array(
-            F.when(_part("agg").isNull(), DEFAULT_COUNT),
-            F.when(_part("frequency").isNull(), DEFAULT_DAILY),
-        )
+    assumed = F.concat(
+        F.when(_part("agg").isNull(), F.array(F.lit(DEFAULT_COUNT))).otherwise(none),
+        F.when(_part("frequency").isNull(), F.array(F.lit(DEFAULT_DAILY))).otherwise(none),
     )
     return decided.select(
         *[col(c) for c in kept],
         chosen.alias("operation"),
-        F.when(chosen.isin("correlation", "describe"), _part("numeric")).otherwise(none).alias("columns"),
-        F.when(grouped, _part("keys")).otherwise(none).alias("group_by"),
-        F.when(series, F.get(_part("numeric"), F.lit(0)))
-        .when(grouped, F.get(_part("candidates"), F.lit(0)))
+        F.when(chosen.isin("correlation", "describe"), numeric.names_of(_part("numeric")))
+        .otherwise(none)
+        .alias("columns"),
+        F.when(grouped, everything.names_of(_part("keys"))).otherwise(none).alias("group_by"),
+        F.when(series, first(numeric, "numeric"))
+        .when(grouped, first(numeric, "candidates"))
         .alias("metric"),
         F.when(series, F.coalesce(_part("agg"), F.lit("count"))).when(grouped, _part("agg")).alias("agg"),
-        F.when(series, F.get(_part("temporal"), F.lit(0))).alias("datetime_column"),
+        F.when(series, first(temporal, "temporal")).alias("datetime_column"),
         F.when(series, F.coalesce(_part("frequency"), F.lit("1d"))).alias("frequency"),
         F.when(grouped, _part("sort")).alias("sort_direction"),
         F.when(grouped, _part("limit")).alias("limit"),
