@@ -24,6 +24,13 @@ from framegauge.operators.distinct import duplicate_row_count
 from framegauge.operators.grouping import has_source_position, source_position
 from framegauge.schema import col, data_type, numeric_columns, order_key, require_rule_column
 
+# The texts of findings.
+NEGATIVE_TEXT = "Negative values found in '{}', which is configured as non-negative."
+ORDER_TEXT = "'{}' occurs after '{}' in some rows."
+CATEGORY_TEXT = "Unexpected categorical values found in '{}'."
+MAXIMUM_TEXT = "Values in '{}' exceed the configured maximum of {}."
+DATE_RANGE_TEXT = "Dates in '{}' fall outside the configured range."
+
 # Longest list of allowed values that is written into the plan.
 _INLINE_VALUES = 1_000
 _MIN_VALUES_FOR_IQR = 4
@@ -178,34 +185,32 @@ def _rules(
     rules: list[_Rule] = []
     for c in non_negative_columns:
         require_rule_column(df, c)
-        message = f"Negative values found in '{c}', which is configured as non-negative."
-        rules.append(_Rule("NON_NEGATIVE", "ERROR", c, message, col(c) < 0, c))
+        rules.append(_Rule("NON_NEGATIVE", "ERROR", c, NEGATIVE_TEXT.format(c), col(c) < 0, c))
     for start, end in datetime_order_pairs:
         require_rule_column(df, start)
         require_rule_column(df, end)
-        message = f"'{start}' occurs after '{end}' in some rows."
-        rules.append(
-            _Rule("DATETIME_ORDER", "ERROR", f"{start} <= {end}", message, col(start) > col(end))
-        )
+        text = ORDER_TEXT.format(start, end)
+        late = col(start) > col(end)
+        rules.append(_Rule("DATETIME_ORDER", "ERROR", f"{start} <= {end}", text, late))
     for c, values in expected_categories.items():
         require_rule_column(df, c)
         allowed = [v for v in dict.fromkeys(values) if v is not None]
-        message = f"Unexpected categorical values found in '{c}'."
-        rule = _Rule("EXPECTED_CATEGORY", "WARNING", c, message, None, c, True, allowed)
+        text = CATEGORY_TEXT.format(c)
+        rule = _Rule("EXPECTED_CATEGORY", "WARNING", c, text, None, c, True, allowed)
         if len(allowed) <= _INLINE_VALUES:
             unexpected = ~col(c).isin(allowed) if allowed else F.lit(True)
             rule.broken = col(c).isNotNull() & unexpected
         rules.append(rule)
     for c, maximum in maximum_values.items():
         require_rule_column(df, c)
-        message = f"Values in '{c}' exceed the configured maximum of {maximum}."
-        rules.append(_Rule("MAXIMUM_VALUE", "WARNING", c, message, col(c) > F.lit(maximum), c))
+        above = col(c) > F.lit(maximum)
+        rules.append(_Rule("MAXIMUM_VALUE", "WARNING", c, MAXIMUM_TEXT.format(c, maximum), above, c))
     for c, (minimum, maximum) in date_ranges.items():
         require_rule_column(df, c)
-        message = f"Dates in '{c}' fall outside the configured range."
         value, low = _comparable(df, c, minimum)
         _, high = _comparable(df, c, maximum)
-        rules.append(_Rule("DATE_RANGE", "WARNING", c, message, (value < low) | (value > high), c))
+        outside = (value < low) | (value > high)
+        rules.append(_Rule("DATE_RANGE", "WARNING", c, DATE_RANGE_TEXT.format(c), outside, c))
     return rules
 
 
