@@ -6,10 +6,10 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegauge.llm import bpe, merkle, packing, simple8b
+from framegauge.llm import blob_ledger, bpe, merkle, packing, simhash, simple8b, topk
 from framegauge.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,100 @@ def _simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(spark, folder, starts).withColumnRenamed("id", "doc_id")
 
 
+@_query("op3_simhash")
+def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+# The kinds of secrets in their order, the pattern of each, and the
+# condition on a match (DuckDB names; `m` is the match).
+_SECRET_SQL_KINDS = {
+    "assign": (
+        """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|"""
+        """[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "length(regexp_extract(m, '{pattern}', 2)) >= 12",
+    ),
+    "access": ("AKIA[A-Z0-9]+", "length(m) >= 18"),
+    "hex": ("[0-9a-f]+", "length(m) >= 16"),
+}
+
+
+def _secret_sql() -> str:
+    parts = []
+    for order, (kind, (pattern, condition)) in enumerate(_SECRET_SQL_KINDS.items()):
+        parts.append(
+            f"""select doc_id, {order} as kind_order, '{kind}' as kind, m,
+                sum(length(gap) + length(m)) over (partition by doc_id, row_id order by pos) - length(m) as start
+            from (select doc_id, row_id, unnest(range(len(ms))) as pos, unnest(ms) as m, unnest(gaps[:len(ms)]) as gap
+                  from (select doc_id, row_id, regexp_extract_all(text, '{pattern}', 0) as ms,
+                            regexp_split_to_array(text, '{pattern}') as gaps from texts))
+            qualify {condition.format(pattern=pattern)}"""
+        )
+    found = "\nunion all\n".join(parts)
+    return f"""
+with texts as (select doc_id, row_number() over () as row_id, coalesce(text, '') as text from documents),
+found as ({found}),
+digests as (
+    select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+        count(*) filter (kind = 'hex') as n_hex,
+        string_agg(kind || ':' || start || ':' || (start + length(m)), ',' order by start, kind_order) as spans
+    from found group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
+    coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join digests using (doc_id)"""
+
+
+@_query("op5_secrets", _secret_sql())
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, through a new ledger."""
+    ledger = new_path(spark, "secret-ledger")
+    versions = _documents(spark, sf_dir).select(
+        F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content")
+    )
+    found = blob_ledger.scan_versions(spark, versions, ledger)
+
+    def joined(findings: Column) -> Column:
+        spans = F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["first"], f["last"]))
+        return F.array_join(spans, ",")
+
+    def counted(kind: str) -> Column:
+        own = F.filter("findings", lambda f: f["kind"] == kind)
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *[counted(kind) for kind in _SECRET_SQL_KINDS],
+        F.sha2(joined(F.col("findings")), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+    )
+
+
+_TOPK_SQL = """
+with vectors as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+    where vec_id is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (
+    select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+    from vectors q join vectors v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 20"""
+
+
+@_query("op6_topk", _TOPK_SQL)
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = topk.top_k(vectors, F.col("id") % 20 == 0, k=20, scale=64)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @_query("op7_bpe")
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents with the transducer, then decode the ids."""
