@@ -1248,9 +1248,15 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["top_groups_mean"](spark, "/root/testdata/sf0.001")
 
 
+try:
+    from framegauge.llm import catalogue as _llm
+except ModuleNotFoundError:
+    _llm = None  # the subpackage may be absent; nothing else needs it
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | (_llm.QUERIES if _llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | (_llm.SQL if _llm else {})
