@@ -240,12 +240,14 @@ def _coder(ranks_path: str, pattern: str) -> tuple[ChunkEncoder, StreamDecoder]:
     transducer = BpeTransducer(ranks)
     pieces = regex.compile(pattern).findall
 
-    def encode(chunks: list[str]) -> Iterator[list[int]]:
-        for chunk in chunks:
-            yield [i for piece in pieces(chunk) for i in transducer.encode_piece(piece.encode())]
+    def encode(chunk: str) -> bytes:
+        ids = array("I")
+        for piece in pieces(chunk):
+            ids.extend(transducer.encode_piece(piece.encode()))
+        return ids.tobytes()
 
     decoder = StreamDecoder({rank: token for token, rank in ranks.items()})
-    return ChunkEncoder(encode, split_before_spaces, max_chunks=300_000), decoder
+    return ChunkEncoder(encode, split_before_spaces, lead=" "), decoder
 
 
 def encode_documents(

@@ -11,14 +11,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MAX_CHUNKS = 400_000  # chunks kept per worker and vocabulary
+MAX_CHUNKS = 600_000  # chunks kept per worker and vocabulary
+MAX_PIECES = 300_000  # pieces of chunks kept likewise
 MAX_KEPT_CHARS = 64  # longer chunks are encoded anew each time
-GROUP_CHARS = 1_000_000  # texts are tokenised in groups of about this size
 
 _SPACES = r"\s\x1c-\x1f᠎​﻿"
 _SPACE_RUN = re.compile(f"[{_SPACES}] ")
@@ -27,7 +28,7 @@ _BEFORE_SPACE = re.compile(f"(?<=[^{_SPACES}])(?= )")
 
 
 def split_before_spaces(text: str) -> list[str]:
-    """Chunks that start at a space and keep it, for byte-level vocabularies.
+    """Chunks for byte-level vocabularies: each but the first had a space before it.
 
     A run of white space is never cut: the patterns of these vocabularies treat
     the last space of a run differently from the others.
@@ -37,74 +38,124 @@ def split_before_spaces(text: str) -> list[str]:
     else:
         runs = _SPACE_RUN.search(text) is not None
     if runs:
-        return _BEFORE_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + part for part in rest]]
+        first, *rest = _BEFORE_SPACE.split(text)
+        return [first, *[chunk[1:] for chunk in rest]]
+    return text.split(" ")
 
 
 def split_at_spaces(text: str) -> list[str]:
-    """Chunks without their spaces, for vocabularies that drop white space."""
+    """Chunks for vocabularies that drop white space."""
     return text.split(" ")
 
 
+class _Kept(dict):
+    """Packed ids by chunk, encoded when first asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes], lead: str) -> None:
+        super().__init__()
+        self._encode, self._lead = encode, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._encode(self._lead + chunk)
+        if len(chunk) <= MAX_KEPT_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """Packed ids (little-endian unsigned 32 bit) of texts, by distinct chunk."""
+    """Packed ids (little-endian unsigned 32 bit) of texts, by distinct chunk.
+
+    ``lead`` goes before each chunk but a text's first.
+    """
 
     def __init__(
         self,
-        encode: Callable[[list[str]], Iterable[list[int]]],
-        split: Callable[[str], list[str]],
+        encode: Callable[[str], bytes],
+        split: Callable[[str], list],
+        lead: str | bytes = "",
         max_chunks: int = MAX_CHUNKS,
     ) -> None:
         self._encode, self._split, self._max = encode, split, max_chunks
-        self._kept: dict[str, bytes] = {}
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(text) for text in texts]
-        kept = self._kept
-        new = list(set().union(*split) - kept.keys()) if split else []
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            for chunk, ids in zip(part, self._encode(part)):
-                kept[chunk] = array("I", ids).tobytes()
-        found = [b"".join(map(kept.__getitem__, chunks)) for chunks in split]
-        for chunk in new:
-            if len(chunk) > MAX_KEPT_CHARS:
-                del kept[chunk]
-        if len(kept) > self._max:
-            kept.clear()
+        self._kept = _Kept(encode, lead)
+
+    def packed(self, text: str) -> bytes:
+        chunks = self._split(text)
+        if not chunks:
+            return b""
+        first = self._encode(chunks[0])
+        found = first + b"".join(map(self._kept.__getitem__, islice(chunks, 1, None)))
+        if len(self._kept) > self._max:
+            self._kept.clear()
         return found
 
 
-def in_groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive runs of texts of bounded total length, with their offset."""
-    first = size = 0
-    for at, text in enumerate(texts):
-        if at > first and size + len(text) > most:
-            yield first, texts[first:at]
-            first, size = at, 0
-        size += len(text)
-    if first < len(texts):
-        yield first, texts[first:]
+# How the byte-level and the word vocabularies cut a text before merging.
+_BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Characters on whose classes, case and normal form all Unicode versions agree.
+_MARKS = ".,|;:!?)"
+_PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u01c3\u01cd-\u01f0\u01f4-\u01ff]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str, drops_spaces: bool = False) -> ChunkEncoder:
-    """The encoder of a ``tokenizers`` file; special strings are ordinary text."""
+    """The encoder of a ``tokenizers`` file; special strings are ordinary text.
+
+    Plain chunks are cut into pieces here and each distinct piece goes to the library's
+    model; all other chunks go through the library as a whole.
+    """
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     tokenizer.no_padding()
     tokenizer.no_truncation()
-
-    def encode(chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    return ChunkEncoder(encode, split_at_spaces if drops_spaces else split_before_spaces)
+    merge, letters = tokenizer.model.tokenize, _byte_letters()
+    pieces = regex.compile(_WORD_PIECES if drops_spaces else _BYTE_LEVEL_PIECES).findall
+    kept: dict[str, bytes] = {}
+
+    def piece_ids(piece: str) -> bytes:
+        ids = kept.get(piece)
+        if ids is None:
+            shown = piece.encode().decode("latin-1").translate(letters)
+            ids = array("I", [token.id for token in merge(shown)]).tobytes()
+            if len(piece) <= MAX_KEPT_CHARS:
+                if len(kept) > MAX_PIECES:
+                    kept.clear()
+                kept[piece] = ids
+        return ids
+
+    def encode(chunk: str) -> bytes:
+        if not _PLAIN.fullmatch(chunk):
+            return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if drops_spaces:
+            chunk = chunk.lower()
+        body, last = chunk[:-1], chunk[-1:]
+        if body[:1].isalpha() or body[1:].isalpha():
+            # Most chunks are one word, with or without a mark after it.
+            word = body[1:] if body[0] == " " else body
+            if word.isalpha():
+                if last in _MARKS:
+                    return piece_ids(body) + piece_ids(last)
+                if last.isalpha():
+                    return piece_ids(chunk)
+        return b"".join(map(piece_ids, pieces(chunk)))
+
+    if drops_spaces:
+        return ChunkEncoder(encode, split_at_spaces)
+    return ChunkEncoder(encode, split_before_spaces, lead=" ")
 
 
 def encode_texts(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[bytes]:
     """Packed ids of each text in order; a null text is empty."""
-    for _, group in in_groups([text or "" for text in texts]):
-        yield from encoder.packed(group)
+    for text in texts:
+        yield encoder.packed(text or "")

@@ -19,6 +19,7 @@ through.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -110,10 +111,15 @@ def _encoder(model_path: str) -> tuple[ChunkEncoder, np.ndarray]:
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model.read())
     is_byte = np.array([pieces.is_byte(k) for k in range(pieces.get_piece_size())])
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return pieces.encode([word.decode() for word in words], num_threads=1)
+    def encode(word: bytes) -> bytes:
+        return array("I", pieces.encode(word.decode())).tobytes()
 
-    return ChunkEncoder(encode, lambda text: text.encode().split(), max_chunks=300_000), is_byte
+    return ChunkEncoder(encode, _words, lead=b""), is_byte
+
+
+def _words(text: str) -> list[bytes]:
+    """The words, which ASCII white space divides."""
+    return text.encode().split()
 
 
 def measures(ids: np.ndarray, word_chars: int, is_byte: np.ndarray) -> tuple[int, float, float, float]:
@@ -138,8 +144,8 @@ def _rows(texts: list[str | None], model_path: str) -> list[tuple]:
     rows = []
     for text in texts:
         text = text or ""
-        counts = word_statistics(text, text.encode().split())
-        ids = np.frombuffer(encoder.packed([text])[0], dtype="<u4")
+        counts = word_statistics(text, _words(text))
+        ids = np.frombuffer(encoder.packed(text), dtype="<u4")
         rows.append((script_of(text), *counts, *measures(ids, counts[1], is_byte)))
     return rows
 

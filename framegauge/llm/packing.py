@@ -33,7 +33,7 @@ from framegauge.storage import pinned
 
 SHARD_PIECES = 2_048
 FAN_IN = 8
-CARRIED = 256  # emptiest sequences of a group that take part in the next level
+CARRIED = 64  # emptiest sequences of a group that take part in the next level
 GIVE_UP = 8  # emptiest sequences that a group tries to empty in vain before it stops
 STEPS = 256  # moves and exchanges for one sequence
 PAIRED = 24  # longest pieces of a sequence that are exchanged in pairs
