@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framegauge.llm import blob_ledger, bpe, merkle, packing, simhash, simple8b, topk
+from framegauge.llm import (
+    blob_ledger,
+    bpe,
+    fertility,
+    langid,
+    merkle,
+    packing,
+    simhash,
+    simple8b,
+    topk,
+    toxicity,
+)
 from framegauge.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +59,47 @@ def _simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_token_files(spark, folder, starts).withColumnRenamed("id", "doc_id")
 
 
+def _remainder(column: str, divisor: int) -> Column:
+    """crc32 of an id's decimal text, modulo ``divisor``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+@_query("op2_toxicity")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents with a lexicon learned from labels that are not held out."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = toxicity.labelled_sample(docs, labels, _remainder("doc_id", 4) != 2)
+    scored = toxicity.score_documents(docs, toxicity.fit(sample))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(_remainder("id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@_query("op4_language")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of all documents from centroids of those not held out."""
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(langid.language_sample(docs, _remainder("doc_id", 3) != 1))
+    return langid.predict_languages(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(_remainder("id", 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
+@_query("op9_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics, fertility and verdict of all documents."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    judged = fertility.judge(fertility.document_measures(_documents(spark, sf_dir), model))
+    return judged.withColumnRenamed("id", "doc_id")
+
+
 @_query("op3_simhash")
 def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
