@@ -85,57 +85,102 @@ def find_spans(texts: DataFrame, key: str, text: str, rules: Sequence[Rule] = RU
     return found.drop("size")
 
 
-def scan_versions(
+def update_ledger(
     spark: SparkSession,
     versions: DataFrame,
     ledger: str,
     rules: Sequence[Rule] = RULES,
     rule_version: str = RULE_VERSION,
-) -> DataFrame:
-    """Every row's ``path``, ``version``, ``blob`` and ``findings``, scanning what is new.
+) -> None:
+    """Scan the blobs of ``versions`` that the ledger lacks for this rule version.
 
     ``versions`` has ``path``, ``version``, ``content``; ``ledger`` is the address of a
-    folder that all machines share.  ``findings`` is an array of (first, kind_order, last,
-    kind) in that order, empty where nothing was found.
+    folder that all machines share.
     """
-    content = F.coalesce("content", F.lit(""))
-    addressed = versions.select("path", "version", content.alias("content"), F.sha2(content, 256).alias("blob"))
-    keys = F.struct(F.col("path").cast("string").alias("path"), F.col("version").cast("string").alias("version"))
-    known = _table(spark, f"{ledger}/scanned", _LEDGER).where(F.col("rule_version") == rule_version)
-    unseen = pinned(
-        addressed.groupBy("blob").agg(F.min(keys).alias("source")).join(known, "blob", "left_anti")
+    addressed = versions.select(
+        F.col("path").cast("string").alias("path"),
+        F.col("version").cast("string").alias("version"),
+        F.coalesce("content", F.lit("")).alias("content"),
+        blob_of("content").alias("blob"),
     )
-    scan = uuid.uuid4().hex
-    # One version of each unseen blob; the key is as good as unique, so no task is hot.
-    source = unseen.select("blob", "source.path", "source.version")
-    texts = addressed.select(
-        "blob", F.col("path").cast("string").alias("p"), F.col("version").cast("string").alias("v"), "content"
+    source = F.min(F.struct("path", "version")).alias("source")
+    unseen = pinned(
+        addressed.groupBy("blob").agg(source).join(_scanned(spark, ledger, rule_version), "blob", "left_anti")
     )
+    # One version of each unseen blob; the keys differ, so no task is hot.
+    wanted = unseen.select("blob", "source.path", "source.version")
     same = (
-        (texts["blob"] == source["blob"])
-        & texts["p"].eqNullSafe(source["path"])
-        & texts["v"].eqNullSafe(source["version"])
+        (addressed["blob"] == wanted["blob"])
+        & addressed["path"].eqNullSafe(wanted["path"])
+        & addressed["version"].eqNullSafe(wanted["version"])
     )
-    fresh = find_spans(texts.join(source, same, "left_semi"), "blob", "content", rules)
-    marks = [F.lit(rule_version).alias("rule_version"), F.lit(scan).alias("scan")]
-    fresh.select("blob", *marks, "kind_order", "kind", "first", "last").distinct().write.mode(
-        "append"
-    ).parquet(f"{ledger}/findings")
+    fresh = find_spans(addressed.join(wanted, same, "left_semi"), "blob", "content", rules)
+    marks = [F.lit(rule_version).alias("rule_version"), F.lit(uuid.uuid4().hex).alias("scan")]
+    rows = fresh.select("blob", *marks, "kind_order", "kind", "first", "last").distinct()
+    rows.write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("blob", *marks).write.mode("append").parquet(f"{ledger}/scanned")
 
-    known = _table(spark, f"{ledger}/scanned", _LEDGER).where(F.col("rule_version") == rule_version)
-    findings = _table(spark, f"{ledger}/findings", _FINDINGS).join(
-        known, ["blob", "rule_version", "scan"], "left_semi"
+
+def blob_of(content: str) -> Column:
+    """The address of a text."""
+    return F.sha2(F.coalesce(F.col(content), F.lit("")), 256)
+
+
+def _scanned(spark: SparkSession, ledger: str, rule_version: str) -> DataFrame:
+    return _table(spark, f"{ledger}/scanned", _LEDGER).where(F.col("rule_version") == rule_version)
+
+
+def findings_by_blob(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """``blob``, ``findings``: (first, kind_order, last, kind) in that order."""
+    found = _table(spark, f"{ledger}/findings", _FINDINGS).join(
+        _scanned(spark, ledger, rule_version), ["blob", "rule_version", "scan"], "left_semi"
     )
-    by_blob = findings.groupBy("blob").agg(
+    return found.groupBy("blob").agg(
         F.sort_array(F.collect_list(F.struct("first", "kind_order", "last", "kind"))).alias("findings")
     )
-    return addressed.select("path", "version", "blob").join(by_blob, "blob", "left").select(
-        "path",
-        "version",
-        "blob",
-        F.coalesce("findings", F.array().cast(by_blob.schema["findings"].dataType)).alias("findings"),
+
+
+def scan_versions(
+    spark: SparkSession,
+    versions: DataFrame,
+    ledger: str,
+    rules: Sequence[Rule] = RULES,
+    rule_version: str = RULE_VERSION,
+) -> DataFrame:
+    """Every row's ``path``, ``version``, ``blob`` and ``findings``, scanning what is new.
+
+    ``findings`` is empty where nothing was found.
+    """
+    update_ledger(spark, versions, ledger, rules, rule_version)
+    found = findings_by_blob(spark, ledger, rule_version)
+    none = F.array().cast(found.schema["findings"].dataType)
+    rows = versions.select("path", "version", blob_of("content").alias("blob")).join(found, "blob", "left")
+    return rows.select("path", "version", "blob", F.coalesce("findings", none).alias("findings"))
+
+
+def redact(
+    spark: SparkSession, docs: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The documents with every secret replaced by its kind in brackets.
+
+    A column ``n_chars`` of lengths follows the change.
+    """
+    versions = docs.select(
+        F.col(id_column).alias("path"), F.lit(0).alias("version"), F.col(text_column).alias("content")
+    )
+    update_ledger(spark, versions, ledger)
+    found = findings_by_blob(spark, ledger).select(
+        F.col("blob").alias("_ledger_blob"), F.col("findings").alias("_ledger_findings")
     )
+    rows = docs.select("*", blob_of(text_column).alias("_ledger_blob")).join(found, "_ledger_blob", "left")
+    text = F.when(
+        F.col("_ledger_findings").isNotNull(), redacted(F.col(text_column), F.col("_ledger_findings"))
+    ).otherwise(F.col(text_column))
+    columns = {text_column: text}
+    if "n_chars" in docs.columns:
+        shorter = F.length(text) - F.length(text_column)
+        columns["n_chars"] = (F.col("n_chars") + F.coalesce(shorter, F.lit(0))).cast(docs.schema["n_chars"].dataType)
+    return rows.withColumns(columns).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:

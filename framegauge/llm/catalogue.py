@@ -252,3 +252,11 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_sha256",
         F.coalesce("marked", F.lit(False)).alias("damaged"),
     )
+
+
+@_query("pipeline")
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -5,11 +5,12 @@ tokens that are single fallback bytes, and the entropy of the tokens relative to
 most that a text of its length can have.  Prose of a script lies in a narrow band;
 tables of codes, foreign encodings and endless repetition lie outside.
 
-The bands of a script run around its median, as many times as far as its middle half
-reaches (``REACH``), and are computed over all documents.  A document is rejected
-if a rule on words fails or if a measure leaves the band of its script; short texts, of fewer
-than ``LEAST_TOKENS`` tokens, have measures too noisy to be held against them, and so
-have scripts with fewer than ``LEAST_DOCUMENTS`` documents that are long enough.
+The bands belong to a language, where a column names it, and else to a script.  They run
+around the median, ``REACH`` times as far as the middle half reaches, and are computed
+over all documents.  A document is rejected if a rule on words fails or if a measure
+leaves its band; short texts, of fewer than ``LEAST_TOKENS`` tokens, have measures too
+noisy to be held against them.  Only the ``MAX_GROUPS`` most frequent languages and scripts
+with at least ``LEAST_DOCUMENTS`` documents that are long enough have bands.
 
 A null or empty text has no word and fails the rule on word counts.  Repeated rows
 are judged alike; an empty table gives no row; other columns are ignored or passed
@@ -25,8 +26,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.llm.chunks import ChunkEncoder
@@ -35,9 +35,10 @@ from framegauge.storage import pinned
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of words in repeated windows
 WINDOW = 5
-REACH = 6.0
+REACH = 5.0
 LEAST_TOKENS = 50
 LEAST_DOCUMENTS = 50
+MAX_GROUPS = 1_000
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -74,9 +75,9 @@ def repeated_window_words(words: list[bytes], window: int = WINDOW) -> int:
     if count <= window:
         return 0
     numbers: dict[bytes, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
-    if len(numbers) == count:
+    if len(set(words)) == count:
         return 0
+    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
     windows = count - window + 1
     codes = ids[:windows]
     for k in range(1, window):
@@ -134,27 +135,36 @@ def measures(ids: np.ndarray, word_chars: int, is_byte: np.ndarray) -> tuple[int
 
 
 _ROW = (
-    "script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
 
 
-def _rows(texts: list[str | None], model_path: str) -> list[tuple]:
+def _rows(texts: list[str | None], languages: list[str | None], model_path: str) -> list[tuple]:
     encoder, is_byte = _encoder(model_path)
     rows = []
-    for text in texts:
+    for text, language in zip(texts, languages):
         text = text or ""
         counts = word_statistics(text, _words(text))
         ids = np.frombuffer(encoder.packed(text), dtype="<u4")
-        rows.append((script_of(text), *counts, *measures(ids, counts[1], is_byte)))
+        rows.append((language or script_of(text), *counts, *measures(ids, counts[1], is_byte)))
     return rows
 
 
 def document_measures(
-    docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    model_path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    language_column: str | None = "lang",
 ) -> DataFrame:
-    """``id``, script, word statistics and fertility of every document."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    """``id``, ``band`` (language or script), word statistics and fertility of every document."""
+    language = F.col(language_column) if language_column else F.lit(None)
+    rows = docs.select(
+        F.col(id_column).alias("id"),
+        F.col(text_column).alias("text"),
+        language.cast("string").alias("language"),
+    )
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(partial(_measure_batches, model_path=model_path), f"id {kind}, {_ROW}")
 
@@ -166,86 +176,92 @@ def _arrays(rows: list[tuple]) -> list[pa.Array]:
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
-    names = ["id", "script", *_COUNTS, "n_tokens", *MEASURES]
+    names = ["id", "band", *_COUNTS, "n_tokens", *MEASURES]
     for batch in batches:
-        arrays = _arrays(_rows(batch.column(1).to_pylist(), model_path))
+        arrays = _arrays(_rows(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model_path))
         yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
 
-Bands = dict[str, tuple[tuple[float, float], ...]]
+Ranges = tuple[tuple[float, float], ...]
 
 
-def rejection_bands(measured: DataFrame, reach: float = REACH) -> Bands:
-    """For each script the lowest and highest value of each measure that is kept.
+def rejection_bands(measured: DataFrame, reach: float = REACH) -> dict[str, Ranges]:
+    """For each language or script the range of each measure that is kept.
 
-    Over all documents of enough words; scripts are a fixed short list, so the result has
-    a few rows.
+    Over all documents with enough words; the result has at most ``MAX_GROUPS`` rows.
     """
     long_enough = measured.where((F.col("n_tokens") >= LEAST_TOKENS) & ~base_failed())
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    rows = long_enough.groupBy("script").agg(F.count(F.lit(1)).alias("n"), *quartiles).collect()
-    bands: Bands = {}
-    for row in rows:
-        if row.n >= LEAST_DOCUMENTS:
-            found = []
-            for measure in MEASURES:
-                low, middle, high = row[measure]
-                width = reach * max(high - low, 0.02 * abs(middle), 0.005)
-                found.append((middle - width, middle + width))
-            bands[row.script] = tuple(found)
+    grouped = long_enough.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *quartiles)
+    frequent = grouped.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "band").limit(MAX_GROUPS)
+    bands = {}
+    for row in frequent.collect():
+        ranges = []
+        for measure in MEASURES:
+            low, middle, high = row[measure]
+            width = reach * max(high - low, 0.01 * abs(middle), 0.005)
+            ranges.append((middle - width, middle + width))
+        bands[row.band] = tuple(ranges)
     return bands
 
 
-def base_failed() -> F.Column:
+def base_failed() -> Column:
     """The rules on words, as a condition on measured rows."""
     return (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
 
 
-def in_bands(bands: Bands) -> F.Column:
-    """Whether a measured row is short or lies in the bands of its script."""
-    inside = F.lit(True)
-    for script, ranges in bands.items():
-        own = F.lit(True)
-        for measure, (low, high) in zip(MEASURES, ranges):
-            own = own & F.col(measure).between(low, high)
-        inside = F.when(F.col("script") == script, own).otherwise(inside)
-    return (F.col("n_tokens") < LEAST_TOKENS) | inside
+def passes(row: tuple, bands: dict[str, Ranges]) -> bool:
+    """The verdict on one row of measures."""
+    band, n_words, _, _, _, n_repeat, n_tokens, *values = row
+    if n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words:
+        return False
+    if n_tokens < LEAST_TOKENS or band not in bands:
+        return True
+    return all(low <= value <= high for value, (low, high) in zip(values, bands[band]))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``."""
     measured = pinned(measured)
     bands = rejection_bands(measured)
-    failed = base_failed()
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & in_bands(bands))
+    schema = measured.withColumn("base_failed", base_failed()).withColumn("kept", F.lit(True)).schema
+    columns = ["band", *_COUNTS, "n_tokens", *MEASURES]
+    flagged = measured.withColumn("base_failed", base_failed())
+    return flagged.mapInArrow(partial(_judge_batches, bands=bands, columns=columns), schema)
+
+
+def _judge_batches(
+    batches: Iterator[pa.RecordBatch], bands: dict[str, Ranges], columns: list[str]
+) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*[batch.column(name).to_pylist() for name in columns])
+        kept = pa.array([passes(row, bands) for row in rows], pa.bool_())
+        yield batch.append_column("kept", kept)
 
 
-def keep_good(docs: DataFrame, model_path: str, text_column: str = "text") -> DataFrame:
+def keep_good(
+    docs: DataFrame, model_path: str, text_column: str = "text", language_column: str | None = "lang"
+) -> DataFrame:
     """The documents, with all their columns, that pass the rules.
 
     The bands need a pass over all documents before the pass that filters.
     """
-    first = docs.select(F.lit(0).alias("id"), F.col(text_column).alias("text"))
-    bands = rejection_bands(pinned(document_measures(first, model_path, "id", "text")))
-    place = docs.columns.index(text_column)
-    return docs.mapInArrow(partial(_keep_batches, model_path=model_path, place=place, bands=bands), docs.schema)
+    names = [text_column, *[language_column] * bool(language_column)]
+    first = docs.select(F.lit(0).alias("_row"), *names)
+    measured = document_measures(first, model_path, "_row", text_column, language_column)
+    bands = rejection_bands(pinned(measured))
+    places = [docs.columns.index(name) for name in names]
+    keep = partial(_keep_batches, model_path=model_path, places=places, bands=bands)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def _keep_batches(
-    batches: Iterator[pa.RecordBatch], model_path: str, place: int, bands: Bands
+    batches: Iterator[pa.RecordBatch], model_path: str, places: list[int], bands: dict[str, Ranges]
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [passes(row, bands) for row in _rows(batch.column(place).to_pylist(), model_path)]
+        columns = [batch.column(place).to_pylist() for place in places]
+        languages = columns[1] if len(columns) > 1 else [None] * batch.num_rows
+        kept = [passes(row, bands) for row in _rows(columns[0], languages, model_path)]
         yield batch.filter(pa.array(kept, pa.bool_()))
-
-
-def passes(row: tuple, bands: Bands) -> bool:
-    """The verdict on one row of measures, as ``judge`` gives it."""
-    script, n_words, _, _, _, n_repeat, n_tokens, *values = row
-    if n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words:
-        return False
-    if n_tokens < LEAST_TOKENS or script not in bands:
-        return True
-    return all(low <= value <= high for value, (low, high) in zip(values, bands[script]))

@@ -47,7 +47,15 @@ class Model(NamedTuple):
     idf: np.ndarray
 
 
-_kept: dict[str, bytes] = {}
+class _Grams(dict):
+    """Packed features by word, found when first asked for."""
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = grams = _word_grams(word)
+        return grams
+
+
+_kept = _Grams()
 
 
 def _word_grams(word: str) -> bytes:
@@ -61,10 +69,7 @@ def _word_grams(word: str) -> bytes:
 
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts of the hashed n-grams; None where there is no letter."""
-    words = (text or "").lower().split()
-    for word in set(words) - _kept.keys():
-        _kept[word] = _word_grams(word)
-    packed = b"".join(map(_kept.__getitem__, words))
+    packed = b"".join(map(_kept.__getitem__, (text or "").lower().split()))
     if len(_kept) > MAX_WORDS:
         _kept.clear()
     if not packed:

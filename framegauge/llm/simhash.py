@@ -25,13 +25,13 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegauge.llm.components import connected_components
@@ -68,16 +68,24 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 def fingerprints(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 4
 ) -> DataFrame:
-    """``id``, ``bits`` (the fingerprint as a signed long) of every document."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(partial(_fingerprint_batches, shingle_words=shingle_words), "id long, bits long")
+    """``id``, ``row`` (a hash of all columns), ``bits`` (the fingerprint as a signed long)."""
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("id"), _row_hash(docs).alias("row"), F.col(text_column).alias("text")
+    )
+    fingerprint_all = partial(_fingerprint_batches, shingle_words=shingle_words)
+    return rows.mapInArrow(fingerprint_all, "id long, row long, bits long")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprint(text, shingle_words) for text in batch.column(1).to_pylist()]
+        found = [fingerprint(text, shingle_words) for text in batch.column(2).to_pylist()]
         bits = np.array(found, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["id", "bits"])
+        arrays = [batch.column(0), batch.column(1), pa.array(bits)]
+        yield pa.RecordBatch.from_arrays(arrays, ["id", "row", "bits"])
 
 
 def segment_counts(bits: np.ndarray) -> np.ndarray:
@@ -155,15 +163,36 @@ def near_duplicates(
 ) -> DataFrame:
     """``id``, ``bits`` and ``component`` (smallest id reachable) of every document."""
     rows = pinned(fingerprints(docs, id_column, text_column, shingle_words))
-    return rows.join(component_ids(rows), "bits", "left").select("id", "bits", "component")
+    return rows.join(components_of(rows), "bits", "left").select("id", "bits", "component")
 
 
-def component_ids(rows: DataFrame) -> DataFrame:
-    """``bits``, ``component``: the smallest ``id`` of each fingerprint's component."""
+def components_of(rows: DataFrame) -> DataFrame:
+    """``bits``, ``centre`` (smallest fingerprint) and ``component`` (smallest id) of ``rows``."""
     distinct = pinned(rows.groupBy("bits").agg(F.min("id").alias("least")))
     linked = pinned(connected_components(near_links(distinct.select("bits"))))
     placed = distinct.join(linked.withColumnRenamed("vertex", "bits"), "bits", "left").select(
         "bits", "least", F.coalesce("component", "bits").alias("centre")
     )
     smallest = placed.groupBy("centre").agg(F.min("least").alias("component"))
-    return placed.join(smallest, "centre").select("bits", "component")
+    return placed.select("bits", "centre").join(smallest, "centre")
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 4
+) -> DataFrame:
+    """The documents, with all their columns, that come first in their component.
+
+    First is the smallest id, then the smallest hash of the row; of wholly equal rows one stays.
+    """
+    rows = pinned(fingerprints(docs, id_column, text_column, shingle_words))
+    placed = rows.join(components_of(rows), "bits")
+    first = placed.groupBy("centre").agg(F.min(F.struct("id", "row")).alias("first"))
+    kept = first.select(F.col("first.id").alias("_kept_id"), F.col("first.row").alias("_kept_row"))
+    marked = docs.select(
+        "*", F.col(id_column).cast("long").alias("_kept_id"), _row_hash(docs).alias("_kept_row")
+    )
+    keys = ["_kept_id", "_kept_row"]
+    same = (marked["_kept_row"] == kept["_kept_row"]) & marked["_kept_id"].eqNullSafe(kept["_kept_id"])
+    order = Window.partitionBy(*keys).orderBy(F.lit(0))
+    chosen = marked.join(kept, same, "left_semi").withColumn("_kept_copy", F.row_number().over(order))
+    return chosen.where("_kept_copy = 1").select(*[F.col(f"`{name}`") for name in docs.columns])

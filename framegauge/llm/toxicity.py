@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from framegauge.storage import pinned
 
 MAX_PER_CLASS = 15_000
-MAX_TERMS = 2_000
+MAX_TERMS = 500
 STEMS = range(3, 13)  # lengths of stems that may become terms
 LEAST_DOCUMENTS = 3
-LEAST_SHARE = 0.002  # of the toxic documents of the sample
+LEAST_SHARE = 0.005  # of the toxic documents of the sample
+LEAST_GAIN = 10.0  # log likelihood ratio by which a term tells the classes apart
 LEAST_LOG_ODDS = 0.4  # of toxic to other documents among those with the term
 WINDOW = 5
 THRESHOLD = 0.3
@@ -160,6 +161,7 @@ class _Scanner:
     def __init__(self, terms: tuple[tuple[str, bool], ...]) -> None:
         self._matcher = TermMatcher(terms) if terms else None
         self._hits: dict[str, tuple[int, int]] = {}
+        self._hit_words: set[str] = set()
         self._clean: set[str] = set()
 
     def hits(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -168,17 +170,19 @@ class _Scanner:
             return []
         words = text.lower().split()
         distinct = set(words)
-        for word in distinct - self._clean - self._hits.keys():
+        for word in (distinct - self._clean) - self._hit_words:
             hit = self._matcher.match(word.strip(_EDGES))
             if hit is None:
                 self._clean.add(word)
             else:
                 self._hits[word] = hit
-        found = distinct & self._hits.keys()
+                self._hit_words.add(word)
+        found = distinct & self._hit_words
         result = self._placed(words, found) if found else []
         if len(self._clean) + len(self._hits) > MAX_WORDS:
             self._clean.clear()
             self._hits.clear()
+            self._hit_words.clear()
         return result
 
     def _placed(self, words: list[str], found: set[str]) -> list[tuple[int, int, str]]:
@@ -323,7 +327,8 @@ def choose_terms(
         weight = _weight(n, clean.get(stem, 0), all_toxic, all_clean)
         if weight + prior >= LEAST_LOG_ODDS:
             gain = _gain(n, clean.get(stem, 0), all_toxic, all_clean)
-            ranked.append((-gain, -len(stem), stem, weight))
+            if gain >= LEAST_GAIN:
+                ranked.append((-gain, -len(stem), stem, weight))
     chosen: list[tuple[str, bool, float]] = []
     taken: set[str] = set()
     for _, _, stem, weight in sorted(ranked):
@@ -378,7 +383,26 @@ def fit(sample: DataFrame) -> Model:
         for (text, is_stem, weight), f in zip(chosen, fuzzy)
     )
     table = np.array([features(own, terms) for own in hits])
-    return Model(terms, tuple(_logistic(table, targets).tolist()))
+    return Model(terms, tuple(_coefficients(table, targets).tolist()))
+
+
+def _coefficients(table: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Logistic coefficients, none below zero but the constant.
+
+    A context that the sample lacks counts half of the plain one.
+    """
+    used = np.ones(table.shape[1], dtype=bool)
+    while True:
+        found = np.zeros(table.shape[1])
+        found[used] = _logistic(table[:, used], targets)
+        negative = (found < 0) & (np.arange(len(found)) > 0)
+        if not negative.any():
+            break
+        used &= ~negative
+    for at in range(1, len(found)):
+        if not table[:, at].any():
+            found[at] = found[1 + 3 * (at > 3)] / 2
+    return found
 
 
 def _logistic(table: np.ndarray, targets: np.ndarray, penalty: float = 0.1) -> np.ndarray:
