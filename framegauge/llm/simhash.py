@@ -9,7 +9,7 @@ The range join finds all embeddings within Manhattan distance ``DISTANCE``.  The
 counts are cut into ``BLOCKS`` runs.  Two embeddings within the distance differ in at
 most ``DISTANCE`` runs, so they agree in all coordinates of at least ``BLOCKS -
 DISTANCE`` runs and share one of the cells that these spell.  Each distinct
-fingerprint goes to its 35 cells; within a cell the Manhattan bound is tested first and
+fingerprint goes to its 70 cells; within a cell the Manhattan bound is tested first and
 the survivors are verified exactly.
 
 Copies have one fingerprint and count once.  A cell emits a spanning forest of its
@@ -39,7 +39,7 @@ from framegauge.storage import pinned
 
 DISTANCE = 4
 SEGMENTS = 32  # of two bits each
-BLOCKS = 7
+BLOCKS = 8
 CELL_ROWS = 2_000
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
