@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from framegauge.llm.chunks import ChunkEncoder, encode_texts, split_before_spaces
 
-MAX_STATES = 120_000
-MAX_PAIRS = 1_000_000
+MAX_STATES = 80_000
+MAX_PAIRS = 400_000
 _NONE = -1
 
 
@@ -247,7 +247,7 @@ def _coder(ranks_path: str, pattern: str) -> tuple[ChunkEncoder, StreamDecoder]:
         return ids.tobytes()
 
     decoder = StreamDecoder({rank: token for token, rank in ranks.items()})
-    return ChunkEncoder(encode, split_before_spaces, lead=" "), decoder
+    return ChunkEncoder(encode, split_before_spaces, lead=" ", max_chunks=300_000), decoder
 
 
 def encode_documents(
