@@ -241,9 +241,9 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, audit a replica with flipped bits, and mark the records that differ."""
     folder, replica = new_path(spark, "warc"), new_path(spark, "warc-replica")
     index = merkle.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    merkle.copy_archive(spark, folder, index, replica, _flip_some)
+    merkle.copy_archive(spark, folder, replica, _flip_some)
     damaged = merkle.damaged_records(
-        merkle.merkle_levels(spark, folder, index), merkle.merkle_levels(spark, replica, index), index
+        merkle.merkle_levels(spark, folder, folder), merkle.merkle_levels(spark, replica, folder), index
     )
     marks = damaged.select("file", "ordinal", F.lit(True).alias("marked"))
     return index.join(marks, ["file", "ordinal"], "left").select(

@@ -1,7 +1,7 @@
 """WARC archives and a Merkle audit of their replicas.
 
 ``write_warc`` writes records in order of their id into files of one gzip member per
-record, and an index of the byte range of each record.  ``merkle_levels`` hashes the
+record, and beside each an index of the byte ranges of its records.  ``merkle_levels`` hashes the
 byte range of every record of an archive (the leaves) and then, level by level, the
 hashes of ``FAN_OUT`` consecutive ranges of a file with the offset range they cover; a
 file's last hash is its root.  ``damaged_records`` compares the roots of two replicas
@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
 
     def close() -> pa.RecordBatch:
         nonlocal held, index, size, files
-        _put(folder, f"part-{partition:06d}-{files:05d}.warc.gz", b"".join(held))
+        name = f"part-{partition:06d}-{files:05d}.warc.gz"
+        places = np.array([(r[2], r[3], r[4] or 0, r[4] is not None) for r in index], dtype="<i8")
+        _put(folder, f"{name}.cdx", places.tobytes())
+        _put(folder, name, b"".join(held))
         batch = pa.RecordBatch.from_arrays(
             [pa.array(column, kind) for column, kind in zip(zip(*index), schema.types)], schema=schema
         )
@@ -114,6 +118,16 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
         yield close()
 
 
+def _places(folder: str, file: str) -> list[tuple[int, int, int | None]]:
+    """(offset, length, id) of the records of a file, from the index beside it."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/{file}.cdx") as stored:
+        rows = np.frombuffer(stored.read(), "<i8").reshape(-1, 4).tolist()
+    return [(offset, length, name if known else None) for offset, length, name, known in rows]
+
+
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
@@ -125,7 +139,6 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 def copy_archive(
     spark: SparkSession,
     folder: str,
-    index: DataFrame,
     target: str,
     change: Callable[[bytes, list[tuple[int, int, int | None]]], bytes | None] | None = None,
 ) -> None:
@@ -133,36 +146,34 @@ def copy_archive(
 
     It gets the bytes and the (offset, length, id) of the file's records.
     """
-    records = index.groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("offset", "length", "id"))).alias("records")
+    copied = _files(spark, folder).mapInArrow(
+        partial(_copy, folder=folder, target=target, change=change), "file string"
     )
-    paired = _files(spark, folder).join(records, "file").select("file", "content", "records")
-    paired.mapInArrow(partial(_copy, target=target, change=change), "file string").write.format(
-        "noop"
-    ).mode("overwrite").save()
+    copied.write.format("noop").mode("overwrite").save()
 
 
-def _copy(batches: Iterator[pa.RecordBatch], target: str, change) -> Iterator[pa.RecordBatch]:
+def _copy(
+    batches: Iterator[pa.RecordBatch], folder: str, target: str, change
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            places = [(r["offset"], r["length"], r["id"]) for r in row["records"]]
-            content = row["content"] if change is None else change(row["content"], places)
+            content = row["content"]
+            if change is not None:
+                content = change(content, _places(folder, row["file"]))
             if content is not None:
                 _put(target, row["file"], content)
         yield batch.select(["file"])
 
 
-def merkle_levels(spark: SparkSession, folder: str, index: DataFrame) -> list[DataFrame]:
+def merkle_levels(spark: SparkSession, folder: str, index_folder: str) -> list[DataFrame]:
     """Hash tree of each file: ``file, node, first, last, hash``; leaves first, roots last.
 
     ``node`` numbers the ranges of a level in a file, ``first`` and ``last`` are the offsets
-    that the range covers.  A file that the archive lacks has no node.
+    that the range covers.  A file that the archive lacks has no node.  The ranges are those
+    of the archive in ``index_folder``, of which ``folder`` is a replica or the same.
     """
-    ranges = index.groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges")
-    )
-    files = _files(spark, folder).join(ranges, "file").select("file", "content", "ranges")
-    leaves = files.mapInArrow(_leaves, "file string, node int, first long, last long, hash binary")
+    cut = partial(_leaves, index_folder=index_folder)
+    leaves = _files(spark, folder).mapInArrow(cut, "file string, node int, first long, last long, hash binary")
     levels = [pinned(leaves)]
     widest = levels[0].agg(F.max("node")).first()[0]
     while widest:
@@ -180,13 +191,14 @@ def merkle_levels(spark: SparkSession, folder: str, index: DataFrame) -> list[Da
     return levels
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], index_folder: str) -> Iterator[pa.RecordBatch]:
     names = ["file", "node", "first", "last", "hash"]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
-        for file, content, ranges in zip(*[batch.column(k) for k in range(3)]):
+        for file, content in zip(batch.column(0), batch.column(1)):
             content = memoryview(content.as_buffer())
-            places = [(r["offset"], r["offset"] + r["length"]) for r in ranges.as_py()]
+            ranges = _places(index_folder, file.as_py())
+            places = [(offset, offset + length) for offset, length, _ in ranges]
             places.append((places[-1][1], max(places[-1][1], len(content))))
             rows = [
                 (file.as_py(), k, first, last, hashlib.sha256(content[first:last]).digest())

@@ -89,8 +89,8 @@ def test_records_can_be_read_back(spark, archive):
 
 def _audit(spark, archive, name, change):
     folder, index, _ = archive
-    merkle.copy_archive(spark, f"{folder}/one", index, f"{folder}/{name}", change)
-    mine, theirs = (merkle.merkle_levels(spark, f"{folder}/{n}", index) for n in ("one", name))
+    merkle.copy_archive(spark, f"{folder}/one", f"{folder}/{name}", change)
+    mine, theirs = (merkle.merkle_levels(spark, f"{folder}/{n}", f"{folder}/one") for n in ("one", name))
     return {(r.file, r.ordinal) for r in merkle.damaged_records(mine, theirs, index).collect()}
 
 
@@ -118,7 +118,7 @@ def test_audit_finds_just_the_damage(spark, archive):
 
 def test_trees_have_roots_over_all_ranges(spark, archive):
     folder, index, _ = archive
-    levels = merkle.merkle_levels(spark, f"{folder}/one", index)
+    levels = merkle.merkle_levels(spark, f"{folder}/one", f"{folder}/one")
     roots = {r.file: (r.node, r.first, r.last) for r in levels[-1].collect()}
     sizes = {r.file: r.size for r in index.groupBy("file").agg(F.sum("length").alias("size")).collect()}
     assert roots == {file: (0, 0, size) for file, size in sizes.items()}
@@ -128,7 +128,7 @@ def test_empty_archive(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/none"
     index = merkle.write_warc(pages, folder)
-    levels = merkle.merkle_levels(spark, folder, index)
+    levels = merkle.merkle_levels(spark, folder, folder)
     assert index.count() == 0 and merkle.damaged_records(levels, levels, index).count() == 0
 
 
