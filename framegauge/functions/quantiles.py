@@ -342,7 +342,7 @@ def linear_quantiles(
         lower = found.get((column, math.floor(position)), math.nan)
         upper = found.get((column, math.ceil(position)), math.nan)
         share = position - math.floor(position)
-        return lower if share == 0 else (1 - share) * lower + share * upper
+        return lower if share == 0 or lower == upper else (1 - share) * lower + share * upper
 
     return {
         c: [at(c, h) for h in positions[c]] if c in positions else [None] * len(probabilities)

@@ -69,9 +69,8 @@ def _entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
     return _vector_entries(df, chosen)
 
 
-def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
-    """Means first, then sums of products around them: exact and cheap per row."""
-    width = len(chosen)
+def _usable(df: DataFrame, chosen: Sequence[str]) -> tuple[list[bool], list[float]]:
+    """Which columns vary and lack nothing, and the mean of each."""
     values = [col(c).cast("double") for c in chosen]
     found = one_row(
         df,
@@ -82,14 +81,25 @@ def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
         ],
     )
     nulls, varies, means = found[0::3], found[1::3], found[2::3]
-    usable = [
-        not nulls[i] and bool(varies[i]) and math.isfinite(means[i]) for i in range(width)
-    ]
+    usable = [not n and bool(v) and math.isfinite(m) for n, v, m in zip(nulls, varies, means)]
+    return usable, means
+
+
+def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
+    """Means first, then sums of products around them: exact and cheap per row."""
+    width = len(chosen)
+    values = [col(c).cast("double") for c in chosen]
+    usable, means = _usable(df, chosen)
     around = [v - F.lit(m) for v, m in zip(values, means)]
     pairs = [
         (i, j) for i in range(width) for j in range(i, width) if usable[i] and usable[j]
     ]
-    sums = dict(zip(pairs, one_row(df, [F.sum(around[i] * around[j]) for i, j in pairs])))
+    # A mean of large values is rounded; what is left of it is taken off the products.
+    products = one_row(df, [F.sum(around[i] * around[j]) for i, j in pairs])
+    used = [i for i in range(width) if usable[i]]
+    rows, *rest = one_row(df, [F.count(F.lit(1)), *[F.sum(around[i]) for i in used]])
+    left = dict(zip(used, rest))
+    sums = {(i, j): p - left[i] * left[j] / rows for (i, j), p in zip(pairs, products)}
 
     def value(i: int, j: int) -> float:
         if (i, j) not in sums:
@@ -110,13 +120,16 @@ def _literal_row(df: DataFrame, width: int, value: Callable[[int, int], float])
 
 def _vector_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
     """For wide data: the state per task is one square matrix of the columns."""
-    doubles = df.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(chosen)])
-    names = doubles.columns
-    deviation = one_row(doubles, [F.stddev_samp(n) for n in names])
-    nulls = one_row(doubles, [F.count_if(F.col(n).isNull()) for n in names])
-    assembled = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="keep").transform(doubles)
-    found = Correlation.corr(assembled, "v").first()[0].toArray()
-    usable = [not n and d is not None and d > 0 for n, d in zip(nulls, deviation)]
+    usable, means = _usable(df, chosen)
+    around = [
+        (col(c).cast("double") - F.lit(m) if u else F.lit(0.0)).alias(f"v{i}")
+        for i, (c, u, m) in enumerate(zip(chosen, usable, means))
+    ]
+    centred = df.select(*around)
+    assembled = VectorAssembler(
+        inputCols=centred.columns, outputCol="v", handleInvalid="keep"
+    ).transform(centred)
+    found = Correlation.corr(assembled, "v").first()[0].toArray() if any(usable) else None
 
     def value(i: int, j: int) -> float:
         if not (usable[i] and usable[j]) or math.isnan(found[i, j]):

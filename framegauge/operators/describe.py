@@ -44,6 +44,10 @@ def describe(
     chosen = select_numeric(df, columns, "Descriptive statistics require")
     if not chosen:
         return df.sparkSession.createDataFrame([], _SCHEMA)
+    if len(set(chosen)) < len(chosen):  # a repeated column has a row for each time
+        once = describe(df, list(dict.fromkeys(chosen)), held_values=held_values)
+        asked = df.sparkSession.createDataFrame([(c,) for c in chosen], "column string")
+        return F.broadcast(asked).join(once, "column").select(*once.columns)
     unique = distinct_counts(df, chosen, count_null=False)
     # One row per column on either side, so the table sent around is the schema.
     joined = _statistics(df, chosen, held_values).join(F.broadcast(unique), "column", "left")

@@ -150,8 +150,8 @@ def grouped_summary(
         )
     output = f"{metric}_{operation}"
     if operation == "median":
-        summary = grouped_median(df, [group_by], metric)
-        summary = summary.select(col(group_by), col(metric).alias(output))
+        values = df.select(col(group_by), col(metric).alias(output))
+        summary = grouped_median(values, [group_by], output)
     else:
         counted = None if operation == "count" else metric
         summary = df.groupBy(col(group_by)).agg(aggregate_column(df, counted, operation).alias(output))

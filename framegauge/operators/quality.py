@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framegauge.functions.quantiles import (
+    BROADCAST_BYTES,
     BROADCAST_ROWS,
     HELD_VALUES,
     nearest_quantiles,
@@ -321,9 +322,33 @@ def _unexpected_values(df: DataFrame, rule: _Rule) -> DataFrame:
         .groupBy(col(rule.column).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
+    # One type for both sides, the one that a short list is compared in.
+    common = _common_type(df, rule)
     allowed = df.sparkSession.createDataFrame(
-        [(v,) for v in rule.allowed], T.StructType([T.StructField("v", dtype)])
-    )
-    if len(rule.allowed) <= BROADCAST_ROWS:
+        [(v,) for v in rule.allowed], T.StructType([T.StructField("a", _value_type(rule, dtype))])
+    ).select(F.col("a").cast(common).alias("a"))
+    if len(rule.allowed) <= BROADCAST_ROWS and _value_bytes(rule) <= BROADCAST_BYTES:
         allowed = F.broadcast(allowed)
-    return counted.join(allowed, "v", "left_anti").select("v", "copies", F.col("v").alias("place"))
+    same = counted["v"].cast(common) == allowed["a"]
+    return counted.join(allowed, same, "left_anti").select("v", "copies", F.col("v").alias("place"))
+
+
+def _value_bytes(rule: _Rule) -> int:
+    return sum(len(str(v).encode()) + 16 for v in rule.allowed)
+
+
+def _value_type(rule: _Rule, dtype: T.DataType) -> T.DataType:
+    """The type of the list itself; the column's where the values are not plain numbers."""
+    kinds = {type(v) for v in rule.allowed}
+    if kinds == {int}:
+        return T.LongType() if all(abs(v) < 1 << 63 for v in rule.allowed) else dtype
+    if kinds <= {int, float} and kinds:
+        rule.allowed = [float(v) for v in rule.allowed]
+        return T.DoubleType()
+    return dtype
+
+
+def _common_type(df: DataFrame, rule: _Rule) -> T.DataType:
+    """What Spark compares the column with a value of the list in."""
+    value = F.lit(None).cast(_value_type(rule, data_type(df, rule.column)))
+    return df.select(F.coalesce(col(rule.column), value).alias("v")).schema["v"].dataType

@@ -17,10 +17,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only in local mode where none is set."""
     configured = spark.conf.get(_SETTING, None)
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not configured and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(f"Set {_SETTING} to a folder that all machines share.")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="framegauge-"))
     return configured or context.getCheckpointDir()
 

@@ -105,7 +105,7 @@ def test_tagged_row_runs(spark):
     tagged = fg.tag_questions(question, columns=["payment_type"]).first().asDict()
     df = spark.createDataFrame([(1,), (1,), (2,)], "payment_type bigint")
     request = fg.AnalysisRequest.from_mapping(tagged)
-    assert request.aggregation == request.to_dict()["aggregation"] == "count"
+    assert request.agg == "count"
     assert {tuple(r) for r in fg.run_request(df, request).collect()} == {(1, 2), (2, 1)}
     with pytest.raises(ValueError, match="cannot be empty"):
         fg.AnalysisRequest.from_mapping({"operation": None, "error": "Question cannot be empty."})
