@@ -115,7 +115,10 @@ def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     pair is a link itself.
     """
     cells, blocks = _cells(F.col("bits"))
-    coded = distinct.select("bits", *[b.alias(f"b{k}") for k, b in enumerate(blocks)])
+    # Each row becomes 70: a few small partitions of fingerprints would be a few very long tasks.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.repartition(tasks, "bits")
+    coded = dealt.select("bits", *[b.alias(f"b{k}") for k, b in enumerate(blocks)])
     rows = coded.select(F.explode(cells).alias("cell"), "bits")
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = pinned(sizes.select("cell", F.ceil(F.col("size") / cell_rows).cast("int").alias("slices")))
