@@ -775,6 +775,84 @@ def _quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fg.quality_checks(_null_if(_null_if(events, "value", 5.0), "event_type", "error"))
 
 
+_REPORT_RULES = [
+    ("NON_NEGATIVE", "ERROR", "discounted", "discounted < 0",
+     "Negative values found in 'discounted', which is configured as non-negative.", "discounted"),
+    ("DATETIME_ORDER", "ERROR", "l_shipdate <= due", "l_shipdate > due",
+     "'l_shipdate' occurs after 'due' in some rows.", None),
+    ("EXPECTED_CATEGORY", "WARNING", "l_returnflag", "l_returnflag not in ('N')",
+     "Unexpected categorical values found in 'l_returnflag'.", "l_returnflag"),
+    ("MAXIMUM_VALUE", "WARNING", "l_quantity", "l_quantity > 45",
+     "Values in 'l_quantity' exceed the configured maximum of 45.", "l_quantity"),
+    ("DATE_RANGE", "WARNING", "l_shipdate", "l_shipdate > timestamp '2000-01-01'",
+     "Dates in 'l_shipdate' fall outside the configured range.", "l_shipdate"),
+]
+_REPORT_COLUMNS = ["l_orderkey", "l_shipdate", "l_returnflag", "l_quantity", "discounted", "due"]
+
+
+def _report_sql() -> str:
+    """The whole report on a view of lineitem with nulls; its examples as text."""
+
+    def examples(condition: str, value: str | None) -> str:
+        if value is None:
+            return "null"
+        listed = f"select {value} as v, place from t where {condition} order by place limit 5"
+        if value == "l_returnflag":
+            listed = f"select distinct {value} as v, {value} as place from t where {condition} order by v limit 5"
+        return f"(select string_agg(v::varchar, ';' order by place) from ({listed}))"
+
+    findings = [
+        f"""select '{check}' as "check", '{severity}' as severity, '{target.replace("'", "''")}' as target,
+                   count(*) as affected_rows, '{text.replace("'", "''")}' as message,
+                   {examples(condition, value)} as examples,
+                   '{severity}: {text.replace("'", "''")}' as warning
+            from t where {condition}"""
+        for check, severity, target, condition, text, value in _REPORT_RULES
+    ]
+    missing = [
+        f"select 'MISSING_VALUES', null, '{c}', count(*), null, null, "
+        f"'Missing values detected in 2 column(s).' from t where {c} is null"
+        for c in ("l_returnflag", "l_quantity")
+    ]
+    # Examples of these rules are the first in the file, unexpected categories the smallest.
+    return f"""
+        with t as (select l_orderkey, l_shipdate, nullif(l_returnflag, 'R') as l_returnflag,
+                          nullif(l_quantity, 7.0) as l_quantity, l_extendedprice - 2000 as discounted,
+                          timestamp '1998-01-01' as due, row_number() over () as place from lineitem),
+             totals as (select count(*) as n, 2 * count(*) - count(l_returnflag) - count(l_quantity) as holes,
+                               count(*) - (select count(*) from (select distinct * exclude (place) from t)) as copies from t),
+             outliers as ({_union_sql([_nearest_sql("t", c) for c in ("l_orderkey", "l_quantity", "discounted")])}),
+             rows as ({" union all ".join(findings)}
+                      union all {" union all ".join(missing)}
+                      union all select 'DUPLICATE_ROWS', null, null, copies, null, null,
+                                       copies || ' duplicate row(s) detected.' from totals
+                      union all select 'IQR_OUTLIERS', null, "column", outlier_count, null, null,
+                                       'Potential IQR outliers detected in '
+                                       || (select count(*) from outliers where outlier_count > 0)
+                                       || ' numeric column(s).' from outliers)
+        select r.*, round(affected_rows * 100.0 / n, 4)::double as affected_pct, n as row_count,
+               6 as column_count, round((1 - holes / (6.0::double * n)) * 100, 2) as completeness_pct
+        from (select * from rows where affected_rows > 0
+              union all select 'DATASET', null, null, null, null, null, null) r, totals"""
+
+
+@_query("quality_report_full", _report_sql())
+def _quality_report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _null_if(_null_if(_table(spark, sf_dir, "lineitem"), "l_returnflag", "R"), "l_quantity", 7.0)
+    derived = items.withColumns(
+        {"discounted": F.col("l_extendedprice") - 2000, "due": F.lit("1998-01-01").cast("timestamp_ntz")}
+    ).select(_REPORT_COLUMNS)
+    report = fg.quality_table(
+        derived,
+        non_negative_columns=["discounted"],
+        datetime_order_pairs=[("l_shipdate", "due")],
+        expected_categories={"l_returnflag": ["N"]},
+        maximum_values={"l_quantity": 45},
+        date_ranges={"l_shipdate": ("0001-01-01", "2000-01-01")},
+    )
+    return report.withColumn("examples", F.array_join("examples", ";"))
+
+
 # --- time series -------------------------------------------------------------
 
 
@@ -1008,6 +1086,12 @@ def _json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fg.json_rows(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
 
 
+def _top_five_sql(table: str, column: str) -> str:
+    """The five most frequent values as ``value=count;...``."""
+    return f"""(select string_agg(v || '=' || n, ';' order by n desc, v)
+                from (select {column} as v, count(*) as n from {table} group by 1 order by n desc, v limit 5))"""
+
+
 _REQUESTS = {
     "aggregate": (
         "orders",
@@ -1040,9 +1124,17 @@ _REQUESTS = {
     "quality": (
         "documents",
         fg.AnalysisRequest("quality"),
-        f"""select 'IQR_OUTLIERS' as "check", "column" as target, outlier_count as affected_rows,
-                   round(outlier_count * 100.0 / row_count, 4)::double as affected_pct
-            from ({_nearest_sql("documents", "n_chars")}) where outlier_count > 0""",
+        f"""with f as ({_nearest_sql("documents", "n_chars")}),
+                 n as (select count(*) as row_count from documents)
+            select e.*, n.row_count, 5 as column_count, 100.0::double as completeness_pct
+            from (select 'DATASET' as "check", null::varchar as severity, null::varchar as target,
+                         null::bigint as affected_rows, null::double as affected_pct, null::varchar as message,
+                         null::varchar as examples, null::varchar as warning
+                  union all
+                  select 'IQR_OUTLIERS', null, "column", outlier_count,
+                         round(outlier_count * 100.0 / row_count, 4)::double, null, null,
+                         'Potential IQR outliers detected in 1 numeric column(s).'
+                  from f where outlier_count > 0) e, n""",
     ),
     "profile": (
         "customer",
@@ -1050,9 +1142,15 @@ _REQUESTS = {
         _union_sql(
             [
                 f"""select '{c}' as name, '{kind}' as dtype, count(*) - count({c}) as null_count,
+                           round((count(*) - count({c})) * 100.0 / count(*), 4)::double as null_pct,
                            count(distinct {c}) as unique_count,
+                           {f"min({c})::varchar" if kind != "string" else "null::varchar"} as min,
+                           {f"max({c})::varchar" if kind != "string" else "null::varchar"} as max,
                            {f"round(avg({c}), 4)" if kind != "string" else "null::double"} as mean,
-                           {f"round(median({c}), 4)" if kind != "string" else "null::double"} as median
+                           {f"round(median({c}), 4)" if kind != "string" else "null::double"} as median,
+                           {_top_five_sql("customer", c) if kind == "string" else "null::varchar"} as top_values,
+                           count(*) as row_count, 5 as column_count,
+                           count(*) - (select count(*) from (select distinct * from customer)) as duplicate_row_count
                     from customer"""
                 for c, kind in [
                     ("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"),
@@ -1071,7 +1169,10 @@ def _request_query(operation: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = fg.run_request(_table(spark, sf_dir, table), request)
         if operation == "profile":
-            result = result.drop("null_pct", "min", "max", "top_values")
+            listed = F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["count"]))
+            result = result.withColumn("top_values", F.array_join(listed, ";"))
+        if operation == "quality":
+            result = result.withColumn("examples", F.array_join("examples", ";"))
         return _rounded(result, 4)
 
 
@@ -1134,8 +1235,10 @@ def _literal(value: object) -> str:
 )
 def _tag_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = F.explode(F.array(*[F.lit(t[0]) for t in _TEMPLATES]))
+    tasks = spark.sparkContext.defaultParallelism
     questions = (
         _table(spark, sf_dir, "customer")
+        .repartition(tasks, "c_custkey")  # a small file is one task
         .select("c_mktsegment", templates.alias("template"))
         .select(F.concat("c_mktsegment", F.lit(": "), "template").alias("question"))
     )

@@ -4,13 +4,14 @@ from framegauge.operators.correlation import correlation, correlation_pairs
 from framegauge.operators.describe import describe, describe_numeric
 from framegauge.operators.distinct import distinct_counts, duplicate_row_count
 from framegauge.operators.grouping import aggregate, grouped_summary, top_groups, value_counts
-from framegauge.operators.profile import profile_columns, profile_summary
+from framegauge.operators.profile import profile_columns, profile_summary, profile_table
 from framegauge.operators.quality import (
     completeness,
     iqr_outliers,
     null_counts,
     quality_checks,
     quality_findings,
+    quality_table,
 )
 from framegauge.operators.timeseries import time_series
 from framegauge.plans.questions import tag_questions
@@ -40,8 +41,10 @@ __all__ = [
     "null_counts",
     "profile_columns",
     "profile_summary",
+    "profile_table",
     "quality_checks",
     "quality_findings",
+    "quality_table",
     "query_dataset",
     "query_parquet",
     "run_request",

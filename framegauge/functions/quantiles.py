@@ -371,12 +371,18 @@ def nearest_quantiles(
 
 def rankable_counts(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, int], dict[str, int]]:
     """Rankable values and NaNs per column, in one pass."""
+    expressions = rankable_expressions(df, columns)
+    found = one_row(df, expressions) if expressions else []
+    return dict(zip(columns, found[0::2])), dict(zip(columns, found[1::2]))
+
+
+def rankable_expressions(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """For each column the counts of its rankable values and of its NaNs."""
     expressions = []
     for c in columns:
         value, dtype = col(c), data_type(df, c)
         expressions += [F.count_if(valid_value(value, dtype)), nan_count(value, dtype)]
-    found = one_row(df, expressions) if expressions else []
-    return dict(zip(columns, found[0::2])), dict(zip(columns, found[1::2]))
+    return expressions
 
 
 # --- medians per group -------------------------------------------------------

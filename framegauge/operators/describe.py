@@ -19,10 +19,11 @@ from framegauge.functions.quantiles import (
 )
 from framegauge.operators.distinct import distinct_counts
 from framegauge.schema import (
+    MISSING_COLUMN,
     NUMERIC,
     col,
     data_type,
-    require_column,
+    require,
     select_numeric,
     type_class,
 )
@@ -60,7 +61,7 @@ def describe(
 
 def describe_numeric(df: DataFrame, column: str, *, held_values: int = HELD_VALUES) -> DataFrame:
     """The short form for one column; an empty column keeps only ``count``."""
-    require_column(df, column)
+    require(df, [column], MISSING_COLUMN, KeyError)
     if type_class(data_type(df, column)) != NUMERIC:
         raise TypeError(f"Column '{column}' is not numeric.")
     return _statistics(df, [column], held_values).select(

@@ -101,13 +101,16 @@ def distinct_counts(
     return reduce(DataFrame.unionAll, branches)
 
 
-def duplicate_row_count(df: DataFrame, *, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def duplicate_row_count(
+    df: DataFrame, *, direct_rows: int = DIRECT_ROWS, rows: int | None = None
+) -> DataFrame:
     """``row_count, duplicate_row_count``; extra copies count, nulls are equal.
 
     Large inputs with wide rows shuffle a row hash first.  Only rows whose hash
-    occurs more than once can be copies, and those are compared in full.
+    occurs more than once can be copies, and those are compared in full.  ``rows``
+    is the number of rows where the caller has counted them.
     """
-    if _narrow(df) or df.count() <= direct_rows:
+    if _narrow(df) or (df.count() if rows is None else rows) <= direct_rows:
         return _count_copies(df)
     return _count_copies_by_hash(df)
 

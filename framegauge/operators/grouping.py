@@ -18,11 +18,11 @@ from framegauge.functions.aggregates import (
 from framegauge.functions.quantiles import grouped_median, linear_quantiles, rankable_counts
 from framegauge.operators.distinct import ColumnValues
 from framegauge.schema import (
+    MISSING_COLUMN,
     NUMERIC,
     col,
     data_type,
-    require_column,
-    require_columns,
+    require,
     type_class,
 )
 
@@ -45,7 +45,7 @@ def aggregate(
     first appearance in the source files; it needs a direct Parquet read.
     """
     keys = list(group_by or [])
-    require_columns(df, [*([metric] if metric is not None else []), *keys])
+    require(df, [*([metric] if metric is not None else []), *keys])
     require_aggregation(agg, metric)
     require_metric_type(df, metric, agg)
     output = metric if metric is not None else "row_count"
@@ -140,8 +140,8 @@ def grouped_summary(
 
     Unlike :func:`aggregate`, ``count`` counts rows whose metric is null too.
     """
-    require_column(df, group_by)
-    require_column(df, metric)
+    require(df, [group_by], MISSING_COLUMN, KeyError)
+    require(df, [metric], MISSING_COLUMN, KeyError)
     if type_class(data_type(df, metric)) != NUMERIC:
         raise TypeError(f"Metric '{metric}' is not numeric.")
     if operation not in _SUMMARY_OPERATIONS:
@@ -160,7 +160,7 @@ def grouped_summary(
 
 def value_counts(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
     """The most frequent values, null included; ties go by value, nulls first."""
-    require_column(df, column)
+    require(df, [column], MISSING_COLUMN, KeyError)
     if column == "count":
         raise ValueError("Rename the column 'count' first; the result uses that name.")
     top = ColumnValues(df, column).top(limit)

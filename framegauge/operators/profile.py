@@ -107,6 +107,15 @@ def _column_row(df: DataFrame, name: str) -> list[Column]:
     ]
 
 
+def profile_table(df: DataFrame) -> DataFrame:
+    """:func:`profile_columns` with the totals of :func:`profile_summary` on every row."""
+    totals = profile_summary(df).first()
+    kinds = {f.name: f.dataType for f in profile_summary(df).schema}
+    return profile_columns(df).select(
+        "*", *[F.lit(value).cast(kinds[name]).alias(name) for name, value in totals.asDict().items()]
+    )
+
+
 def profile_summary(df: DataFrame) -> DataFrame:
     """``row_count, column_count, duplicate_row_count`` in one row."""
     return duplicate_row_count(df).select(

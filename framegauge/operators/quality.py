@@ -20,10 +20,11 @@ from framegauge.functions.quantiles import (
     one_row,
     one_row_per_column,
     rankable_counts,
+    rankable_expressions,
 )
 from framegauge.operators.distinct import duplicate_row_count
 from framegauge.operators.grouping import has_source_position, source_position
-from framegauge.schema import col, data_type, numeric_columns, order_key, require_rule_column
+from framegauge.schema import MISSING_IN_RULE, col, data_type, numeric_columns, order_key, require
 
 # The texts of findings.
 NEGATIVE_TEXT = "Negative values found in '{}', which is configured as non-negative."
@@ -31,6 +32,10 @@ ORDER_TEXT = "'{}' occurs after '{}' in some rows."
 CATEGORY_TEXT = "Unexpected categorical values found in '{}'."
 MAXIMUM_TEXT = "Values in '{}' exceed the configured maximum of {}."
 DATE_RANGE_TEXT = "Dates in '{}' fall outside the configured range."
+# The warnings of a report.
+MISSING_WARNING = "Missing values detected in {} column(s)."
+DUPLICATE_WARNING = "{} duplicate row(s) detected."
+OUTLIER_WARNING = "Potential IQR outliers detected in {} numeric column(s)."
 
 # Longest list of allowed values that is written into the plan.
 _INLINE_VALUES = 1_000
@@ -118,7 +123,13 @@ def iqr_quartiles(
     if not chosen:
         return {}
     valid, nans = rankable_counts(df, chosen)
-    enough = {c: valid[c] for c in chosen if valid[c] + nans[c] >= _MIN_VALUES_FOR_IQR}
+    return _usable_quartiles(df, valid, nans, held_values)
+
+
+def _usable_quartiles(
+    df: DataFrame, valid: Mapping[str, int], nans: Mapping[str, int], held_values: int
+) -> dict[str, tuple[float, float]]:
+    enough = {c: valid[c] for c in valid if valid[c] + nans[c] >= _MIN_VALUES_FOR_IQR}
     found = nearest_quantiles(df, [0.25, 0.75], enough, nans, held_values)
     return {c: (q1, q3) for c, (q1, q3) in found.items() if q3 - q1 != 0}
 
@@ -144,15 +155,14 @@ def iqr_outliers(
 
     def entry(c: str) -> Column:
         q1, q3 = quartiles[c]
-        lower, upper = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        value = col(c)
+        lower, upper = _fences(q1, q3)
         return F.struct(
             F.lit(c).alias("column"),
             F.lit(q1).alias("q1"),
             F.lit(q3).alias("q3"),
             F.lit(lower).alias("lower"),
             F.lit(upper).alias("upper"),
-            F.count_if((value < lower) | (value > upper)).alias("outlier_count"),
+            F.count_if(_outlying(c, q1, q3)).alias("outlier_count"),
             F.count(F.lit(1)).alias("row_count"),
         )
 
@@ -160,6 +170,15 @@ def iqr_outliers(
     return counted if keep_all else counted.where(F.col("outlier_count") > 0)
 
 
+def _fences(q1: float, q3: float) -> tuple[float, float]:
+    return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+
+def _outlying(column: str, q1: float, q3: float) -> Column:
+    lower, upper = _fences(q1, q3)
+    return (col(column) < lower) | (col(column) > upper)
+
+
 # --- validity rules ----------------------------------------------------------
 
 
@@ -177,24 +196,24 @@ class _Rule:
 
 def _rules(
     df: DataFrame,
-    non_negative_columns: Iterable[str],
-    datetime_order_pairs: Iterable[tuple[str, str]],
-    expected_categories: Mapping[str, Iterable[Any]],
-    maximum_values: Mapping[str, float],
-    date_ranges: Mapping[str, tuple[Any, Any]],
+    non_negative_columns: Iterable[str] | None = None,
+    datetime_order_pairs: Iterable[tuple[str, str]] | None = None,
+    expected_categories: Mapping[str, Iterable[Any]] | None = None,
+    maximum_values: Mapping[str, float] | None = None,
+    date_ranges: Mapping[str, tuple[Any, Any]] | None = None,
 ) -> list[_Rule]:
     rules: list[_Rule] = []
-    for c in non_negative_columns:
-        require_rule_column(df, c)
+    for c in non_negative_columns or ():
+        require(df, [c], MISSING_IN_RULE)
         rules.append(_Rule("NON_NEGATIVE", "ERROR", c, NEGATIVE_TEXT.format(c), col(c) < 0, c))
-    for start, end in datetime_order_pairs:
-        require_rule_column(df, start)
-        require_rule_column(df, end)
+    for start, end in datetime_order_pairs or ():
+        require(df, [start], MISSING_IN_RULE)
+        require(df, [end], MISSING_IN_RULE)
         text = ORDER_TEXT.format(start, end)
         late = col(start) > col(end)
         rules.append(_Rule("DATETIME_ORDER", "ERROR", f"{start} <= {end}", text, late))
-    for c, values in expected_categories.items():
-        require_rule_column(df, c)
+    for c, values in (expected_categories or {}).items():
+        require(df, [c], MISSING_IN_RULE)
         allowed = [v for v in dict.fromkeys(values) if v is not None]
         text = CATEGORY_TEXT.format(c)
         rule = _Rule("EXPECTED_CATEGORY", "WARNING", c, text, None, c, True, allowed)
@@ -202,12 +221,12 @@ def _rules(
             unexpected = ~col(c).isin(allowed) if allowed else F.lit(True)
             rule.broken = col(c).isNotNull() & unexpected
         rules.append(rule)
-    for c, maximum in maximum_values.items():
-        require_rule_column(df, c)
+    for c, maximum in (maximum_values or {}).items():
+        require(df, [c], MISSING_IN_RULE)
         above = col(c) > F.lit(maximum)
         rules.append(_Rule("MAXIMUM_VALUE", "WARNING", c, MAXIMUM_TEXT.format(c, maximum), above, c))
-    for c, (minimum, maximum) in date_ranges.items():
-        require_rule_column(df, c)
+    for c, (minimum, maximum) in (date_ranges or {}).items():
+        require(df, [c], MISSING_IN_RULE)
         value, low = _comparable(df, c, minimum)
         _, high = _comparable(df, c, maximum)
         outside = (value < low) | (value > high)
@@ -244,19 +263,29 @@ def quality_findings(
     """
     rules = _rules(
         df,
-        non_negative_columns or (),
-        datetime_order_pairs or (),
-        expected_categories or {},
-        maximum_values or {},
-        date_ranges or {},
+        non_negative_columns,
+        datetime_order_pairs,
+        expected_categories,
+        maximum_values,
+        date_ranges,
     )
-    spark = df.sparkSession
     if not rules:
-        return spark.createDataFrame([], _FINDING_SCHEMA)
+        return df.sparkSession.createDataFrame([], _FINDING_SCHEMA)
+    total, *affected = one_row(df, [F.count(F.lit(1)), *_break_counts(rules)])
+    return _findings(df, rules, affected, total, example_limit)
+
+
+def _break_counts(rules: Sequence[_Rule]) -> list[Column]:
+    """Counts of broken rows for the rules that a shared pass can count."""
+    return [F.count_if(r.broken) for r in rules if r.broken is not None]
+
+
+def _findings(
+    df: DataFrame, rules: Sequence[_Rule], affected: Sequence[int], total: int, example_limit: int
+) -> DataFrame:
+    """Rows of the broken rules; ``affected`` are the values of :func:`_break_counts`."""
+    spark = df.sparkSession
     listed = [r for r in rules if r.broken is not None]
-    total, *affected = one_row(
-        df, [F.count(F.lit(1)), *[F.count_if(r.broken) for r in listed]]
-    )
     broken_rows = {id(r): n for r, n in zip(listed, affected)}
     for rule in rules:
         if rule.broken is None:
@@ -273,6 +302,59 @@ def quality_findings(
     return reduce(DataFrame.unionAll, found)
 
 
+def quality_table(
+    df: DataFrame, *, example_limit: int = 5, held_values: int = HELD_VALUES, **rules: Any
+) -> DataFrame:
+    """The whole report; ``rules`` as in :func:`quality_findings`.
+
+    One row ``DATASET``, one per result of :func:`quality_checks`, and one per broken
+    rule, in that order.  ``warning`` is the text of the report's warning that a row
+    belongs to.  Every row carries the totals of the dataset.  Nulls, rankable values
+    and rules are counted in one pass.
+    """
+    checked, names, numeric = _rules(df, **rules), df.columns, numeric_columns(df)
+    found = iter(
+        one_row(
+            df,
+            [
+                F.count(F.lit(1)),
+                *[F.count_if(col(c).isNull()) for c in names],
+                *rankable_expressions(df, numeric),
+                *_break_counts(checked),
+            ],
+        )
+    )
+    total = next(found)
+    nulls = {c: n for c in names if (n := next(found))}
+    ranks = [(next(found), next(found)) for _ in numeric]
+    valid, nans = ({c: r[k] for c, r in zip(numeric, ranks)} for k in (0, 1))
+    quartiles = _usable_quartiles(df, valid, nans, held_values)
+    outside = one_row(df, [F.count_if(_outlying(c, *q)) for c, q in quartiles.items()])
+    outliers = {c: n for c, n in zip(quartiles, outside) if n}
+    copies = duplicate_row_count(df, rows=total).first()["duplicate_row_count"]
+
+    def entry(check: str, target: str | None, amount: int, warning: str) -> tuple:
+        return check, None, target, amount, round(amount * 100 / total, 4), None, None, warning
+
+    entries: list[tuple] = [("DATASET", *[None] * 7)]
+    entries += [entry("MISSING_VALUES", c, n, MISSING_WARNING.format(len(nulls))) for c, n in nulls.items()]
+    if copies:
+        entries.append(entry("DUPLICATE_ROWS", None, copies, DUPLICATE_WARNING.format(copies)))
+    entries += [entry("IQR_OUTLIERS", c, n, OUTLIER_WARNING.format(len(outliers))) for c, n in outliers.items()]
+    cells = total * len(names)
+    complete = round((1 - sum(nulls.values()) / cells) * 100, 2) if cells else 100.0
+    general = df.sparkSession.createDataFrame(entries, f"{_FINDING_SCHEMA}, warning string")
+    broken = _findings(df, checked, list(found), total, example_limit)
+    return general.unionAll(
+        broken.withColumn("warning", F.concat_ws(": ", "severity", "message"))
+    ).select(
+        "*",
+        F.lit(total).cast("bigint").alias("row_count"),
+        F.lit(len(names)).alias("column_count"),
+        F.lit(complete).alias("completeness_pct"),
+    )
+
+
 def _finding_row(
     df: DataFrame, place: int, rule: _Rule, affected: int, total: int, limit: int, by_file: bool
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from framegauge.functions.aggregates import (
 )
 from framegauge.functions.buckets import bucket_start, parse_frequency, required
 from framegauge.functions.quantiles import grouped_median
-from framegauge.schema import TEMPORAL, col, data_type, require_columns, type_class
+from framegauge.schema import TEMPORAL, col, data_type, require, type_class
 
 
 def time_series(
@@ -53,7 +53,7 @@ def bucketed_rows(
     on_null: str = "error",
 ) -> DataFrame:
     """The rows a time series needs, with the datetime replaced by its bucket."""
-    require_columns(df, [datetime_column, *([metric] if metric is not None else [])])
+    require(df, [datetime_column, *([metric] if metric is not None else [])])
     dtype = data_type(df, datetime_column)
     if type_class(dtype) != TEMPORAL:
         raise ValueError(f"Time analysis requires a Date or Datetime column: '{datetime_column}'")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.text import ColumnNames, has_any_phrase, has_any_word, normalized, spaced
-from framegauge.schema import col, require_columns
+from framegauge.schema import col, require
 
 # --- fixed values: the vocabulary and the texts of the answers ---------------
 
@@ -92,7 +92,7 @@ def tag_questions(
     ``numeric_columns`` and ``datetime_columns`` limit the columns a metric or
     a time axis may be taken from; ``None`` allows every column.
     """
-    require_columns(questions, [question_column])
+    require(questions, [question_column])
     everything = ColumnNames(columns)
     numeric = everything if numeric_columns is None else ColumnNames(numeric_columns)
     temporal = everything if datetime_columns is None else ColumnNames(datetime_columns)

@@ -12,7 +12,7 @@ from framegauge.functions.aggregates import (
     require_metric_type,
 )
 from framegauge.functions.buckets import parse_frequency
-from framegauge.schema import TEMPORAL, col, data_type, require_columns, type_class
+from framegauge.schema import TEMPORAL, col, data_type, require, type_class
 
 
 def streaming_time_series(
@@ -30,7 +30,7 @@ def streaming_time_series(
     have no fixed length to wait for, and a median would keep every value of a
     bucket as state, so both are refused.
     """
-    require_columns(stream, [datetime_column, *([metric] if metric is not None else [])])
+    require(stream, [datetime_column, *([metric] if metric is not None else [])])
     if type_class(data_type(stream, datetime_column)) != TEMPORAL:
         raise ValueError(f"Time analysis requires a Date or Datetime column: '{datetime_column}'")
     require_aggregation(agg, metric)

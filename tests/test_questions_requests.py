@@ -127,7 +127,9 @@ def test_requests_of_every_kind(spark):
     assert fg.run_request(df, {"operation": "describe", "columns": ["fare"]}).first()["count"] == 2
     assert fg.run_request(df, {"operation": "correlation", "columns": ["fare"]}).first()["fare"] == 1.0
     assert fg.run_request(df, {"operation": "profile"}).count() == 3
-    assert fg.run_request(df, {"operation": "quality"}).count() == 0
+    dataset = fg.run_request(df, {"operation": "quality"}).first()
+    assert (dataset.check, dataset.row_count, dataset.column_count) == ("DATASET", 2, 3)
+    assert (dataset.completeness_pct, dataset.warning) == (100.0, None)
     with pytest.raises(ValueError, match="missing"):
         fg.run_request(df, {"operation": "aggregate", "group_by": ["nope"], "agg": "count"})
     with pytest.raises(ValueError, match="Unsupported operation 'forecast'"):

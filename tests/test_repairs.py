@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import framegauge as fg
 from framegauge import storage
 from framegauge.functions.quantiles import linear_quantiles
+from framegauge.reports import aggregate_report
 
 
 def test_equal_neighbours_are_returned_as_they_are(spark):
@@ -51,3 +52,30 @@ def test_clusters_need_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(session)
+
+
+def test_quality_report_takes_few_jobs(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spark.sparkContext.setJobGroup("quality-report", "one report")
+    try:
+        fg.quality_table(
+            items,
+            non_negative_columns=["l_tax"],
+            maximum_values={"l_quantity": 45},
+            expected_categories={"l_returnflag": ["N"]},
+        ).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("quality-report")) <= 13
+
+
+def test_profile_requests_carry_totals(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1)], "s string, n int")
+    for row in fg.run_request(df, {"operation": "profile"}).collect():
+        assert (row.row_count, row.column_count, row.duplicate_row_count) == (2, 2, 1)
+
+
+def test_reports_take_a_row_limit(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "s string")
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        aggregate_report(df, group_by=["s"], metric=None, agg="count", max_rows=1)
