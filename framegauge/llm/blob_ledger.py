@@ -57,12 +57,13 @@ _FINDINGS = "blob string, rule_version string, scan string, kind_order int, kind
 def find_spans(texts: DataFrame, key: str, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``key``, ``kind_order``, ``kind``, ``first``, ``last`` (exclusive) of all secrets.
 
-    ``key`` must differ between rows.
+    Rows of one ``key`` must have the same text; it is scanned once.
     """
     hit = F.lit(False)
     for rule in rules:
         hit = hit | F.col(text).rlike(rule.pattern)
-    some = texts.where(hit)
+    # The places are running sums by key, which a repeated row would count again.
+    some = texts.where(hit).dropDuplicates([key])
     found = None
     for order, rule in enumerate(rules):
         pattern = F.lit(rule.pattern)

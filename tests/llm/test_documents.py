@@ -286,6 +286,19 @@ def test_redaction(spark, tmp_path):
     assert all(not _slow_spans(text) for text in found.values())
 
 
+def test_repeated_rows_have_right_spans(spark, tmp_path):
+    text = "so token = 'abcdefghijkl', then secret: 0123456789abcdef and no more"
+    rows = [(None, text), (None, text), (7, text + "!"), (7, text + "!"), (7, text + "!"), (8, text), (9, "nothing")]
+    docs = _documents(spark, [(*row, "en") for row in rows])
+    versions = docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
+    found = blob_ledger.scan_versions(spark, versions, f"file://{tmp_path}/scans").collect()
+    got = Counter((r.path, ",".join(f"{f.kind}:{f.first}:{f.last}" for f in r.findings)) for r in found)
+    assert got == Counter((k, _slow_spans(t)) for k, t in rows)
+    redacted = Counter(r.text for r in blob_ledger.redact(spark, docs, f"file://{tmp_path}/redacted").collect())
+    left = "so [assign]', then [assign] and no more"
+    assert redacted == Counter({left: 3, left + "!": 3, "nothing": 1})
+
+
 # --- quality -----------------------------------------------------------------
 
 
