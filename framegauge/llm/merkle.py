@@ -8,7 +8,9 @@ file's last hash is its root.  ``damaged_records`` compares the roots of two rep
 and follows only branches that differ down to the records in them.
 
 Ranges are those of the index, so a replica with a changed, cut or missing stretch
-differs just there; bytes after the last record are one more range.  Files and
+differs just there; bytes after the last record are one more range, and a file that the
+index lacks is one range.  The number of levels is that of the index too, so that the
+trees of all replicas, also of one without files, have the same depth.  Files and
 levels are handled apart, no task sees more than one file or ``FAN_OUT`` hashes of
 a branch, and the driver sees none.  File names and contents depend on the rows
 alone, so a task that runs again writes the same files.
@@ -34,6 +36,7 @@ from framegauge.storage import pinned
 
 FAN_OUT = 16
 FILE_BYTES = 8_000_000  # a file is closed at this many compressed bytes
+_PLACE_BYTES = 32  # of a record in the index beside its file
 _INDEX = "file string, ordinal int, offset long, length long, id long, record_bytes long, record_sha256 string"
 
 
@@ -119,23 +122,36 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int) -> I
 
 
 def _places(folder: str, file: str) -> list[tuple[int, int, int | None]]:
-    """(offset, length, id) of the records of a file, from the index beside it."""
+    """(offset, length, id) of the records of a file, from the index beside it; none if the folder lacks both."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
+    own, beside = store.get_file_info([f"{root}/{file}", f"{root}/{file}.cdx"])
+    if own.type == beside.type == fs.FileType.NotFound:
+        return []
     with store.open_input_stream(f"{root}/{file}.cdx") as stored:
         rows = np.frombuffer(stored.read(), "<i8").reshape(-1, 4).tolist()
     return [(offset, length, name if known else None) for offset, length, name, known in rows]
 
 
-def _files(spark: SparkSession, folder: str) -> DataFrame:
+def _binary(spark: SparkSession, folder: str, names: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "file string, content binary")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+        return spark.createDataFrame([], "path string, length long, content binary")
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    found = _binary(spark, folder, "*.warc.gz")
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
+def _most_records(spark: SparkSession, index_folder: str) -> int:
+    """Records of the file with most of them, from the lengths of the indexes beside the files."""
+    longest = _binary(spark, index_folder, "*.warc.gz.cdx").agg(F.max("length")).first()[0]
+    return (longest or 0) // _PLACE_BYTES
+
+
 def copy_archive(
     spark: SparkSession,
     folder: str,
@@ -169,13 +185,14 @@ def merkle_levels(spark: SparkSession, folder: str, index_folder: str) -> list[D
     """Hash tree of each file: ``file, node, first, last, hash``; leaves first, roots last.
 
     ``node`` numbers the ranges of a level in a file, ``first`` and ``last`` are the offsets
-    that the range covers.  A file that the archive lacks has no node.  The ranges are those
-    of the archive in ``index_folder``, of which ``folder`` is a replica or the same.
+    that the range covers.  A file that the archive lacks has no node.  The ranges and the
+    number of levels are those of the archive in ``index_folder``, of which ``folder`` is a
+    replica or the same.
     """
     cut = partial(_leaves, index_folder=index_folder)
     leaves = _files(spark, folder).mapInArrow(cut, "file string, node int, first long, last long, hash binary")
     levels = [pinned(leaves)]
-    widest = levels[0].agg(F.max("node")).first()[0]
+    widest = _most_records(spark, index_folder)  # the number of its last range
     while widest:
         children = F.sort_array(F.collect_list(F.struct("node", "hash")))
         level = (
@@ -199,7 +216,8 @@ def _leaves(batches: Iterator[pa.RecordBatch], index_folder: str) -> Iterator[pa
             content = memoryview(content.as_buffer())
             ranges = _places(index_folder, file.as_py())
             places = [(offset, offset + length) for offset, length, _ in ranges]
-            places.append((places[-1][1], max(places[-1][1], len(content))))
+            end = places[-1][1] if places else 0
+            places.append((end, max(end, len(content))))
             rows = [
                 (file.as_py(), k, first, last, hashlib.sha256(content[first:last]).digest())
                 for k, (first, last) in enumerate(places)
@@ -210,16 +228,44 @@ def _leaves(batches: Iterator[pa.RecordBatch], index_folder: str) -> Iterator[pa
 
 
 def damaged_records(first: list[DataFrame], second: list[DataFrame], index: DataFrame) -> DataFrame:
-    """Index rows whose bytes differ between two replicas, found from the roots down."""
+    """Index rows whose bytes differ between two replicas, found from the roots down.
+
+    Ranges that differ and are no record are rows without an id: bytes after the last
+    record, whose ordinal is the number of records, and files that the index lacks, whose
+    ordinal is 0.  Their length is that in the replica that has more.  Both trees must be
+    over the same index.
+    """
+    if len(first) != len(second):
+        raise ValueError("The trees of the two replicas differ in depth: build both over the same index.")
     branches = None
     for mine, theirs in zip(reversed(first), reversed(second)):
         if branches is not None:
             inside = branches.select("file", F.col("node").alias("parent"))
-            mine = mine.withColumn("parent", F.floor(F.col("node") / FAN_OUT).cast("int"))
-            mine = mine.join(inside, ["file", "parent"], "left_semi")
-        other = theirs.select("file", "node", F.col("hash").alias("other"))
-        same = F.coalesce(F.col("hash") == F.col("other"), F.lit(False))
-        branches = mine.join(other, ["file", "node"], "left").where(~same).select("file", "node")
-        branches = pinned(branches)
-    marked = branches.select("file", F.col("node").alias("ordinal"))
-    return index.join(marked, ["file", "ordinal"], "left_semi")
+            mine, theirs = _within(mine, inside), _within(theirs, inside)
+        mine = mine.select("file", "node", "first", "last", "hash")
+        other = theirs.select(
+            "file", "node", F.col("first").alias("other_first"), F.col("last").alias("other_last"),
+            F.col("hash").alias("other"),
+        )
+        # Full, as either replica may lack a file.
+        differ = mine.join(other, ["file", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("other")))
+        branches = pinned(
+            differ.select(
+                "file",
+                "node",
+                F.coalesce("first", "other_first").alias("first"),
+                F.greatest("last", "other_last").alias("last"),
+            )
+        )
+    marked = branches.withColumnRenamed("node", "ordinal")
+    records = pinned(index.join(marked, ["file", "ordinal"], "left_semi"))
+    # A lost file also lacks the range after its last record, which mostly is empty.
+    others = marked.join(records, ["file", "ordinal"], "left_anti").where("last > first or ordinal = 0")
+    ranges = others.select("file", "ordinal", F.col("first").alias("offset"), (F.col("last") - F.col("first")).alias("length"))
+    return records.unionByName(ranges, allowMissingColumns=True)
+
+
+def _within(level: DataFrame, parents: DataFrame) -> DataFrame:
+    """The nodes of a level that are below ``parents``: ``file``, ``parent``."""
+    own = level.withColumn("parent", F.floor(F.col("node") / FAN_OUT).cast("int"))
+    return own.join(parents, ["file", "parent"], "left_semi")

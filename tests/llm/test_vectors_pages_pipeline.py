@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -116,6 +117,44 @@ def test_audit_finds_just_the_damage(spark, archive):
     assert lost == {(r.file, r.ordinal) for r in index if r.file == gone}
 
 
+def _damage(spark, archive, one, two):
+    folder, index, _ = archive
+    mine, theirs = (merkle.merkle_levels(spark, f"{folder}/{n}", f"{folder}/one") for n in (one, two))
+    return merkle.damaged_records(mine, theirs, index).collect()
+
+
+def test_audit_of_replicas_that_lack_files(spark, archive):
+    folder, index, _ = archive
+    records = index.collect()
+    sizes = Counter(r.file for r in records)
+    widest = max(sizes, key=lambda file: (sizes[file], file))
+    assert sizes[widest] >= merkle.FAN_OUT > min(sizes.values())
+    wide = lambda records: len(records) >= merkle.FAN_OUT
+    merkle.copy_archive(spark, f"{folder}/one", f"{folder}/narrow", lambda c, r: None if wide(r) else c)
+    everything = sorted((r.file, r.ordinal) for r in records)
+    lost = sorted((r.file, r.ordinal) for r in records if sizes[r.file] >= merkle.FAN_OUT)
+    for other, want in (("nowhere", everything), ("narrow", lost)):
+        for pair in (("one", other), (other, "one")):
+            assert sorted((r.file, r.ordinal) for r in _damage(spark, archive, *pair)) == want
+
+
+def test_audit_finds_bytes_that_are_no_record(spark, archive):
+    folder, index, _ = archive
+    merkle.copy_archive(
+        spark, f"{folder}/one", f"{folder}/longer", lambda c, r: c + b"tail" if any(k is None for _, _, k in r) else c
+    )
+    own = sorted((r for r in index.collect()), key=lambda r: (r.file, r.ordinal))
+    file = own[0].file
+    place = f"{folder}/longer".removeprefix("file://")
+    with open(f"{place}/part-999999-00000.warc.gz", "wb") as out:
+        out.write(b"surplus")
+    last = [r for r in own if r.file == file][-1]
+    want = [(file, last.ordinal + 1, last.offset + last.length, 4, None), ("part-999999-00000.warc.gz", 0, 0, 7, None)]
+    for pair in (("one", "longer"), ("longer", "one")):
+        found = _damage(spark, archive, *pair)
+        assert sorted((r.file, r.ordinal, r.offset, r.length, r.id) for r in found) == want
+
+
 def test_trees_have_roots_over_all_ranges(spark, archive):
     folder, index, _ = archive
     levels = merkle.merkle_levels(spark, f"{folder}/one", f"{folder}/one")
