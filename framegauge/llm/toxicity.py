@@ -12,8 +12,8 @@ whether the term was misspelled, are the features of a logistic model, which thu
 learns how much a quotation or a misspelling counts.
 
 Only the text is an input of a score.  The sample of labelled rows is bounded by
-``max_per_class``; the support and strength that a term needs are shares of that
-sample.  Null and empty texts have no hit; a sample without both classes gives every
+``max_per_class``; a term needs a fixed number of documents and a likelihood ratio, so
+that rare words count as soon as they tell the classes apart.  Null and empty texts have no hit; a sample without both classes gives every
 text its rate of toxic rows (0 where it is empty).  Labels that are null are left
 out, a document with several labels is toxic if one says so, repeated documents are
 scored alike, and other columns are ignored or passed through.
@@ -39,7 +39,6 @@ MAX_PER_CLASS = 15_000
 MAX_TERMS = 500
 STEMS = range(3, 13)  # lengths of stems that may become terms
 LEAST_DOCUMENTS = 3
-LEAST_SHARE = 0.005  # of the toxic documents of the sample
 LEAST_GAIN = 10.0  # log likelihood ratio by which a term tells the classes apart
 LEAST_LOG_ODDS = 0.4  # of toxic to other documents among those with the term
 WINDOW = 5
@@ -320,7 +319,12 @@ def _weight(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
 def choose_terms(
     toxic: dict[str, int], clean: dict[str, int], all_toxic: int, all_clean: int
 ) -> list[tuple[str, bool, float]]:
-    """(text, is a stem, weight): the most telling terms, none the beginning of another."""
+    """(text, is a stem, weight): the most telling terms.
+
+    A chosen stem covers all that begins with it.  A whole word covers just itself, so it
+    stands beside longer terms.  A stem that chosen terms begin with must tell the classes
+    apart by the documents which those leave over.
+    """
     prior = math.log((all_toxic + 1) / (all_clean + 1))
     ranked = []
     for stem, n in toxic.items():
@@ -330,19 +334,38 @@ def choose_terms(
             if gain >= LEAST_GAIN:
                 ranked.append((-gain, -len(stem), stem, weight))
     chosen: list[tuple[str, bool, float]] = []
-    taken: set[str] = set()
+    stems: set[str] = set()
+    covered: dict[str, tuple[int, int]] = {}  # toxic and other documents, by beginning
     for _, _, stem, weight in sorted(ranked):
-        text = stem.rstrip("$")
-        beginnings = {text[:n] for n in range(1, len(text) + 1)}
-        if text in taken or any(t == text or t in beginnings for t, _, _ in chosen):
+        text, is_stem = stem.removesuffix("$"), not stem.endswith("$")
+        beginnings = [text[:n] for n in range(1, len(text) + 1)]
+        if not stems.isdisjoint(beginnings):
             continue
-        taken |= beginnings
-        chosen.append((text, not stem.endswith("$"), weight))
+        left = toxic[stem], clean.get(stem, 0)
+        if is_stem and text in covered:
+            left = tuple(max(n - known, 0) for n, known in zip(left, covered[text]))
+            if (
+                _weight(*left, all_toxic, all_clean) + prior < LEAST_LOG_ODDS
+                or _gain(*left, all_toxic, all_clean) < LEAST_GAIN
+            ):
+                continue
+        for beginning in beginnings:
+            known = covered.get(beginning, (0, 0))
+            covered[beginning] = known[0] + left[0], known[1] + left[1]
+        if is_stem:
+            stems.add(text)
+        chosen.append((text, is_stem, weight))
         if len(chosen) == MAX_TERMS:
             break
     return chosen
 
 
+def _least_documents(all_toxic: int, all_clean: int) -> int:
+    """The fewest toxic documents with which a term without others reaches ``LEAST_GAIN``."""
+    counts = range(LEAST_DOCUMENTS, all_toxic + 1)
+    return next((n for n in counts if _gain(n, 0, all_toxic, all_clean) >= LEAST_GAIN), all_toxic + 1)
+
+
 def _hit_rows(batches: Iterator[pa.RecordBatch], terms: tuple[tuple[str, bool], ...]) -> Iterator[pa.RecordBatch]:
     """The hits of each text of the sample, packed as numbers."""
     scanner = _scanner(terms)
@@ -363,7 +386,7 @@ def fit(sample: DataFrame) -> Model:
     if not all_toxic or not all_clean:
         rate = 0.0 if not all_toxic else 1.0
         return Model((), (40.0 * (2 * rate - 1), *[0.0] * 6))
-    least = max(LEAST_DOCUMENTS, math.ceil(LEAST_SHARE * all_toxic))
+    least = _least_documents(all_toxic, all_clean)
     toxic = _stem_counts(sample.where("toxic = 1").select("text"), None, least)
     clean = _stem_counts(sample.where("toxic <> 1").select("text"), frozenset(toxic), 1)
     chosen = choose_terms(toxic, clean, all_toxic, all_clean)

@@ -84,6 +84,28 @@ def test_toxicity_without_both_classes(spark):
         assert toxicity.score_texts(["any"], model)[0] == pytest.approx(expected, abs=1e-6)
 
 
+def test_whole_words_stand_beside_longer_ones():
+    toxic = {"bad$": 40, "badger$": 30, "bad": 70, "badge": 30, "scum$": 50, "scum": 50, "scu": 50}
+    clean = {"bad": 900, "badge": 200, "scum": 0}
+    chosen = {(text, is_stem) for text, is_stem, _ in toxicity.choose_terms(toxic, clean, 1_000, 1_000)}
+    assert chosen == {("bad", False), ("badger", False), ("scum", False)}
+    matcher = toxicity.TermMatcher(sorted(chosen))
+    assert matcher.match("bad") == (0, 0) and matcher.match("badger") == (0, 1)
+    assert matcher.match("badge") == (1, 1) and matcher.match("bade") is None
+    more = {"scum$": 50, "scum": 80}
+    assert {t[:2] for t in toxicity.choose_terms(more, {}, 1_000, 1_000)} == {("scum", True)}
+    rest = {t[:2] for t in toxicity.choose_terms({"scum$": 90, "scum": 120}, {"scum": 5}, 1_000, 1_000)}
+    assert ("scum", True) in rest
+
+
+def test_rare_words_are_learned(spark):
+    rows = [(k, f"plain words number {k} are here", "en") for k in range(6_000)]
+    rows += [(10_000 + k, f"you worthless clown {k}" if k >= 20 else f"you gribbler number {k}", "en") for k in range(6_000)]
+    sample = _documents(spark, rows).select("text", (F.col("doc_id") >= 10_000).cast("int").alias("toxic"))
+    terms = [t.text for t in toxicity.fit(sample).terms]
+    assert any("gribbler".startswith(t) for t in terms)
+
+
 def test_toxicity_sample_is_bounded(spark):
     docs = _toxic_rows(spark)
     labels = docs.select("doc_id", (F.col("doc_id") >= 100).cast("int").alias("toxic"))
