@@ -9,8 +9,9 @@ The bands belong to a language, where a column names it, and else to a script.
 around the median, ``REACH`` times as far as the middle half reaches, and are computed
 over all documents.  A document is rejected if a rule on words fails or if a measure
 leaves its band; short texts, of fewer than ``LEAST_TOKENS`` tokens, have measures too
-noisy to be held against them.  Only the ``MAX_GROUPS`` most frequent languages and scripts
-with at least ``LEAST_DOCUMENTS`` documents that are long enough have bands.
+noisy to be held against them.  A band of a language or script needs ``LEAST_DOCUMENTS``
+documents that are long enough.  Without one for its language a document is held
+against the band of its script over all documents, and last against one band over all.
 
 A null or empty text has no word and fails the rule on word counts.  Repeated rows
 are judged alike; an empty table gives no row; other columns are ignored or passed
@@ -38,7 +39,6 @@ WINDOW = 5
 REACH = 5.0
 LEAST_TOKENS = 50
 LEAST_DOCUMENTS = 50
-MAX_GROUPS = 1_000
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -135,7 +135,7 @@ def measures(ids: np.ndarray, word_chars: int, is_byte: np.ndarray) -> tuple[int
 
 
 _ROW = (
-    "band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "band string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
 
@@ -147,7 +147,8 @@ def _rows(texts: list[str | None], languages: list[str | None], model_path: str)
         text = text or ""
         counts = word_statistics(text, _words(text))
         ids = np.frombuffer(encoder.packed(text), dtype="<u4")
-        rows.append((language or script_of(text), *counts, *measures(ids, counts[1], is_byte)))
+        script = script_of(text)
+        rows.append((language or script, script, *counts, *measures(ids, counts[1], is_byte)))
     return rows
 
 
@@ -158,7 +159,7 @@ def document_measures(
     text_column: str = "text",
     language_column: str | None = "lang",
 ) -> DataFrame:
-    """``id``, ``band`` (language or script), word statistics and fertility of every document."""
+    """``id``, ``band`` (language or script), ``script``, word statistics and fertility of every document."""
     language = F.col(language_column) if language_column else F.lit(None)
     rows = docs.select(
         F.col(id_column).alias("id"),
@@ -170,13 +171,13 @@ def document_measures(
 
 
 def _arrays(rows: list[tuple]) -> list[pa.Array]:
-    kinds = [pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3]
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3]
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
     return [pa.array(column, kind) for column, kind in zip(columns, kinds)]
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
-    names = ["id", "band", *_COUNTS, "n_tokens", *MEASURES]
+    names = ["id", "band", "script", *_COUNTS, "n_tokens", *MEASURES]
     for batch in batches:
         arrays = _arrays(_rows(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model_path))
         yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
@@ -185,23 +186,31 @@ def _measure_batches(batches: Iterator[pa.RecordBatch], model_path: str) -> Iter
 Ranges = tuple[tuple[float, float], ...]
 
 
-def rejection_bands(measured: DataFrame, reach: float = REACH) -> dict[str, Ranges]:
-    """For each language or script the range of each measure that is kept.
+def rejection_bands(measured: DataFrame, reach: float = REACH) -> dict[tuple[str, str], Ranges]:
+    """The range of each measure that is kept, by ("band", language or script),
+    ("script", script) and ("all", "").
 
-    Over all documents with enough words; the result has at most ``MAX_GROUPS`` rows.
+    Over all documents with enough words; one row for at least ``LEAST_DOCUMENTS`` of them.
     """
     long_enough = measured.where((F.col("n_tokens") >= LEAST_TOKENS) & ~base_failed())
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    grouped = long_enough.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    frequent = grouped.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "band").limit(MAX_GROUPS)
+    found = None
+    for level, name, least in (
+        ("band", F.col("band"), LEAST_DOCUMENTS),
+        ("script", F.col("script"), LEAST_DOCUMENTS),
+        ("all", F.lit(""), 1),
+    ):
+        grouped = long_enough.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"), *quartiles)
+        grouped = grouped.where(F.col("n") >= least).withColumn("level", F.lit(level))
+        found = grouped if found is None else found.unionByName(grouped)
     bands = {}
-    for row in frequent.collect():
+    for row in found.collect():
         ranges = []
         for measure in MEASURES:
             low, middle, high = row[measure]
             width = reach * max(high - low, 0.01 * abs(middle), 0.005)
             ranges.append((middle - width, middle + width))
-        bands[row.band] = tuple(ranges)
+        bands[row["level"], row["name"]] = tuple(ranges)
     return bands
 
 
@@ -212,14 +221,15 @@ def base_failed() -> Column:
     )
 
 
-def passes(row: tuple, bands: dict[str, Ranges]) -> bool:
+def passes(row: tuple, bands: dict[tuple[str, str], Ranges]) -> bool:
     """The verdict on one row of measures."""
-    band, n_words, _, _, _, n_repeat, n_tokens, *values = row
+    band, script, n_words, _, _, _, n_repeat, n_tokens, *values = row
     if n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words:
         return False
-    if n_tokens < LEAST_TOKENS or band not in bands:
+    if n_tokens < LEAST_TOKENS:
         return True
-    return all(low <= value <= high for value, (low, high) in zip(values, bands[band]))
+    ranges = bands.get(("band", band)) or bands.get(("script", script)) or bands["all", ""]
+    return all(low <= value <= high for value, (low, high) in zip(values, ranges))
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -227,13 +237,13 @@ def judge(measured: DataFrame) -> DataFrame:
     measured = pinned(measured)
     bands = rejection_bands(measured)
     schema = measured.withColumn("base_failed", base_failed()).withColumn("kept", F.lit(True)).schema
-    columns = ["band", *_COUNTS, "n_tokens", *MEASURES]
+    columns = ["band", "script", *_COUNTS, "n_tokens", *MEASURES]
     flagged = measured.withColumn("base_failed", base_failed())
-    return flagged.mapInArrow(partial(_judge_batches, bands=bands, columns=columns), schema)
+    return flagged.mapInArrow(partial(_judge_batches, bands=bands, columns=columns), schema).drop("script")
 
 
 def _judge_batches(
-    batches: Iterator[pa.RecordBatch], bands: dict[str, Ranges], columns: list[str]
+    batches: Iterator[pa.RecordBatch], bands: dict[tuple[str, str], Ranges], columns: list[str]
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(*[batch.column(name).to_pylist() for name in columns])
@@ -258,7 +268,7 @@ def keep_good(
 
 
 def _keep_batches(
-    batches: Iterator[pa.RecordBatch], model_path: str, places: list[int], bands: dict[str, Ranges]
+    batches: Iterator[pa.RecordBatch], model_path: str, places: list[int], bands: dict[tuple[str, str], Ranges]
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(place).to_pylist() for place in places]

@@ -373,3 +373,19 @@ def test_bands_reject_odd_fertility(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {k for k, r in judged.items() if r.kept}
     assert fertility.keep_good(docs.where("false"), model).count() == 0
+
+
+def test_rare_languages_are_held_against_their_script(spark):
+    source = np.random.default_rng(3)
+    words = "the of and house river mountain evening garden people water light stone".split()
+    prose = [" ".join(source.choice(words, 120)) for _ in range(80)]
+    strange = " ".join(f"{k:x}§¤{k * k:b}" for k in range(100))
+    cyrillic = " ".join(f"{k}§¤жж{k * k:b}" for k in range(100))
+    rows = [(k, text, "en") for k, text in enumerate(prose)]
+    rows += [(900, strange, "zz"), (901, prose[0], "zz"), (902, cyrillic, "zz")]
+    docs = _documents(spark, rows)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    judged = {r.id: r for r in fertility.judge(fertility.document_measures(docs, model)).collect()}
+    assert not judged[900].base_failed and not judged[900].kept
+    assert judged[901].kept == (not judged[901].base_failed)
+    assert not judged[902].base_failed and not judged[902].kept
