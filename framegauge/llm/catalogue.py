@@ -16,6 +16,8 @@ from framegauge.llm import (
     langid,
     merkle,
     packing,
+    prefix_trie,
+    recompression,
     simhash,
     simple8b,
     topk,
@@ -254,6 +256,98 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+
+
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Texts in which the words repeat from some place on, for a tenth of the ids."""
+    words = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.when(code % 10 == 0, words).alias("words"), F.floor(code / 10).alias("g"))
+    sized = chosen.withColumn("n", F.size("words"))
+    placed = sized.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + g % 8)")
+    )
+    # Whole arrays only: a function of each word would work all of them out again.
+    changed = F.expr(
+        "array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat("
+        "slice(words, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))), ' ')"
+    )
+    return placed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs")
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents, with planted ones."""
+    found = recompression.document_runs(_with_periodic_tails(_documents(spark, sf_dir)))
+    # Longest first, then by start and period.
+    ordered = F.transform("runs", lambda r: F.struct((-r["length"]).alias("order"), r["start"], r["period"]))
+    best = found.select("*", F.size("runs").cast("long").alias("n_runs"), F.array_min(ordered).alias("best"))
+    length = -F.col("best.order")
+    return best.select(
+        F.col("id").alias("doc_id"),
+        "n_runs",
+        "best.start",
+        length.alias("length"),
+        "best.period",
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+# crc32 of decimal text: each byte is followed by seven steps without one.
+_CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+    string_split({text}, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))))"""
+
+_TRIE_SQL = f"""
+with turns as (
+    select conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as key,
+        length(coalesce(text, '')) as size,
+        row_number() over (partition by conv_id order by turn nulls first) - 1 as k
+    from conversations where conv_id is not null),
+ids as (
+    select conv_id, conv_id - conv_id % 100 as base, {_CRC32_SQL.format(text="conv_id::varchar")} % 6 as h
+    from (select distinct conv_id from turns)),
+rebuilt as (
+    select i.conv_id, 0 as part, k, key, size from ids i join turns t on t.conv_id = i.base where k < h
+    union all
+    select i.conv_id, 1 as part, k, key, size from ids i join turns t on t.conv_id = i.conv_id where k >= h),
+paths as (
+    select conv_id, coalesce(list(key order by part, k) filter (key is not null), []) as path,
+        coalesce(list(size order by part, k) filter (key is not null), []) as sizes
+    from ids left join rebuilt using (conv_id) group by conv_id),
+nodes as (
+    select path[:d] as node, d::int as depth, min(conv_id) as conv_id, count(*) as n_convs,
+        coalesce(max(sizes[d]), 0) as size
+    from (select *, unnest(range(len(path) + 1)) as d from paths) group by 1, 2),
+children as (select node[:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by 1),
+counted as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (node)),
+below as (
+    select node[:a] as node, count(*) filter (n_children = 0) as n_leaves,
+        sum((n_convs - 1) * size)::bigint as saved_tokens
+    from (select *, unnest(range(depth + 1)) as a from counted) group by 1),
+ends as (select path as node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from paths group by 1)
+select c.conv_id, c.depth::bigint as depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves,
+    saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from counted c join below using (node) left join ends using (node)
+    left join nodes p on c.depth > 0 and p.node = c.node[:c.depth - 1]"""
+
+
+@_query("op13_prefix_trie", _TRIE_SQL)
+def _prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, many of which open like the first of their hundred."""
+    paths = prefix_trie.turn_paths(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    heads = paths.select(F.col("conv_id").alias("base"), F.slice("path", 1, 5).alias("head"))
+    coded = paths.select("*", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), _remainder("conv_id", 6).cast("int").alias("h"))
+    head = F.coalesce("head", F.slice("path", 1, 0))
+    path = F.concat(F.slice(head, F.lit(1), F.col("h")), F.slice("path", F.col("h") + 1, F.size("path")))
+    rebuilt = coded.join(heads, "base", "left").select("conv_id", path.alias("path"))
+    nodes = prefix_trie.prefix_nodes(rebuilt)
+    return nodes.withColumn("depth", F.col("depth").cast("long"))
+
+
 @_query("pipeline")
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
