@@ -14,6 +14,7 @@ from framegauge.llm import (
     bpe,
     fertility,
     langid,
+    maxent_lm,
     merkle,
     packing,
     prefix_trie,
@@ -23,7 +24,7 @@ from framegauge.llm import (
     topk,
     toxicity,
 )
-from framegauge.storage import new_path
+from framegauge.storage import new_path, pinned
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -256,6 +257,26 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op11_maxent")
+def _maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents with a model of those that are not held out."""
+    held_out = F.coalesce(_remainder("doc_id", 7) == 2, F.lit(False))
+    docs = _documents(spark, sf_dir)
+    training = docs.where(~held_out)
+    counts = pinned(maxent_lm.count_words(training))
+    model = maxent_lm.train(training, counts)
+    scored = maxent_lm.score_documents(docs, model, counts).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
