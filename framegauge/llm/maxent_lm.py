@@ -206,14 +206,16 @@ def word_rows(history: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(axis=1, keepdims=True)
+    scores -= scores.max(axis=1, keepdims=True)
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def _scores(table: np.ndarray, constants: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = table[constants]
-    for k in range(rows.shape[1]):
-        total = total + table[rows[:, k]]
+def _scores(table: np.ndarray, constants: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """Sums of each token's rows and its constant, which is row 0 where no others are given."""
+    total = table.take(rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        total += table.take(rows[:, k], axis=0)
+    total += table[0] if constants is None else table.take(constants, axis=0)
     return total
 
 
@@ -225,19 +227,29 @@ class _Steps:
         self._seen = np.full(len(table), 1e-2, dtype=np.float32)
         self.updates = np.zeros(len(table), dtype=np.float32)
 
-    def learn(self, constants: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> None:
-        every = np.concatenate([constants[:, None].astype(np.uint16), rows], axis=1)
-        slope = np.exp(_log_softmax(_scores(self.table, constants, rows)))
+    def learn(self, constants: np.ndarray | None, rows: np.ndarray, targets: np.ndarray) -> None:
+        slope = _scores(self.table, constants, rows)
+        slope -= slope.max(axis=1, keepdims=True)
+        np.exp(slope, out=slope)
+        slope /= slope.sum(axis=1, keepdims=True)
         slope[np.arange(len(targets)), targets] -= 1
-        flat = every.ravel()
+        if constants is None:
+            self._move(np.zeros(1, dtype=np.int64), slope.sum(axis=0, keepdims=True), len(targets))
+        else:
+            rows = np.concatenate([constants[:, None].astype(np.uint16), rows], axis=1)
+        flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
         ranked = flat[order]
         firsts = np.flatnonzero(np.diff(ranked, prepend=ranked[0] + np.uint16(1)))
-        slopes = np.add.reduceat(slope[order // every.shape[1]], firsts, axis=0)
-        at = ranked[firsts]
-        self._seen[at] += (slopes * slopes).mean(axis=1)
-        self.table[at] -= self._rate * slopes / np.sqrt(self._seen[at])[:, None]
-        self.updates[at] += np.diff(np.append(firsts, len(ranked)))
+        # Two neighbours are one complex number, which halves the steps of the sum.
+        pairs = slope.take(order // rows.shape[1], axis=0).view(np.complex64)
+        slopes = np.add.reduceat(pairs, firsts, axis=0).view(np.float32)
+        self._move(ranked[firsts], slopes, np.diff(np.append(firsts, len(ranked))))
+
+    def _move(self, at: np.ndarray, slopes: np.ndarray, updates: np.ndarray | int) -> None:
+        self._seen[at] += np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
+        self.table[at] -= (self._rate / np.sqrt(self._seen[at]))[:, None] * slopes
+        self.updates[at] += updates
 
     def changes(self) -> Iterator[tuple[int, bytes]]:
         """Blocks of (updates, updates x change) of the rows."""
@@ -277,10 +289,6 @@ class _Reader:
         return joined[at], np.stack([joined[at - k] for k in range(1, _HISTORY + 1)])
 
 
-def _no_constants(count: int) -> np.ndarray:
-    return np.zeros(count, dtype=np.int64)
-
-
 def log_probabilities(
     model: Model, reader: _Reader, numbers: np.ndarray, history: np.ndarray
 ) -> np.ndarray:
@@ -291,7 +299,7 @@ def log_probabilities(
         own, past = numbers[part], history[:, part]
         classes = reader.classes[own]
         row = np.arange(len(own))
-        scores = _scores(model.class_table, _no_constants(len(own)), class_rows(past))
+        scores = _scores(model.class_table, None, class_rows(past))
         found[part] += _log_softmax(scores)[row, classes] / math.log(10)
         inner = np.flatnonzero(classes < CLASSES - 2)
         within = _scores(model.word_table, classes[inner], word_rows(past[:, inner], classes[inner]))
@@ -383,7 +391,7 @@ def _learn_batches(batches: Iterator[pa.RecordBatch], model: Model, rate: float)
         for at in range(0, len(numbers), BATCH_TOKENS):
             own, past = numbers[at : at + BATCH_TOKENS], history[:, at : at + BATCH_TOKENS]
             classes = reader.classes[own]
-            steps[0].learn(_no_constants(len(own)), class_rows(past), classes)
+            steps[0].learn(None, class_rows(past), classes)
             inner = np.flatnonzero(classes < CLASSES - 2)
             if len(inner):
                 known = classes[inner]
