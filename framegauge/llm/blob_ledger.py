@@ -24,6 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framegauge.schema import col, free_names
 from framegauge.storage import pinned
 
 
@@ -170,18 +171,23 @@ def redact(
         F.col(id_column).alias("path"), F.lit(0).alias("version"), F.col(text_column).alias("content")
     )
     update_ledger(spark, versions, ledger)
-    found = findings_by_blob(spark, ledger).select(
-        F.col("blob").alias("_ledger_blob"), F.col("findings").alias("_ledger_findings")
-    )
-    rows = docs.select("*", blob_of(text_column).alias("_ledger_blob")).join(found, "_ledger_blob", "left")
-    text = F.when(
-        F.col("_ledger_findings").isNotNull(), redacted(F.col(text_column), F.col("_ledger_findings"))
-    ).otherwise(F.col(text_column))
-    columns = {text_column: text}
-    if "n_chars" in docs.columns:
-        shorter = F.length(text) - F.length(text_column)
-        columns["n_chars"] = (F.col("n_chars") + F.coalesce(shorter, F.lit(0))).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(columns).select(*[F.col(f"`{name}`") for name in docs.columns])
+    blob, findings, before, after = free_names(docs, "blob", "findings", "before", "after")
+    found = findings_by_blob(spark, ledger).select(F.col("blob").alias(blob), F.col("findings").alias(findings))
+    rows = docs.select("*", blob_of(text_column).alias(blob), F.col(text_column).alias(before))
+    rows = rows.join(found, blob, "left")
+    # Under a name of its own: a lambda that reads the text must not meet the text it makes.
+    cleaned = F.when(F.col(findings).isNotNull(), redacted(F.col(before), F.col(findings))).otherwise(F.col(before))
+    rows = rows.withColumn(after, cleaned)
+    longer = F.coalesce(F.length(after) - F.length(before), F.lit(0))
+    columns = []
+    for name in docs.columns:
+        value = col(name)
+        if name == text_column:
+            value = F.col(after).alias(name)
+        elif name == "n_chars":
+            value = (value + longer).cast(docs.schema[name].dataType).alias(name)
+        columns.append(value)
+    return rows.select(*columns)
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -12,7 +12,8 @@ when they are first met and dropped together at a bound, as in lazy pattern
 matchers; that costs time only.
 
 Decoding steps an incremental UTF-8 machine over the ids: it holds the at most
-three bytes of an unfinished character and emits whole characters.
+three bytes of an unfinished character and emits whole characters, and runs of tokens
+that are whole characters at once.
 
 Null text is empty; both give no id.  Other columns are ignored.
 """
@@ -22,14 +23,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache, partial
+from collections.abc import Iterator, Sequence
+from functools import partial
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.llm.chunks import ChunkEncoder, encode_texts, split_before_spaces
+from framegauge.llm.workers import slices, worker_state
 
 MAX_STATES = 80_000
 MAX_PAIRS = 400_000
@@ -187,11 +191,19 @@ class BpeTransducer:
 
 
 class StreamDecoder:
-    """Ids to whole characters; the machine's state is the unfinished bytes."""
+    """Ids to whole characters; the machine's state is the unfinished bytes.
+
+    Tokens of whole characters leave the machine in its first state and are emitted in runs.
+    """
 
     def __init__(self, token_bytes: dict[int, bytes]) -> None:
         self._bytes = token_bytes
-        self._steps: dict[bytes, dict[int, tuple[bytes, bytes]]] = {b"": {}}
+        self._is_part = np.zeros(max(token_bytes, default=-1) + 1, dtype=bool)
+        for token, content in token_bytes.items():
+            try:
+                content.decode()
+            except UnicodeDecodeError:
+                self._is_part[token] = True
 
     @staticmethod
     def unfinished(tail: bytes) -> int:
@@ -205,35 +217,34 @@ class StreamDecoder:
                 break
         return 0
 
-    def _step(self, held: bytes, token: int) -> tuple[bytes, bytes]:
-        joined = held + self._bytes[token]
-        cut = len(joined) - self.unfinished(joined)
-        result = joined[:cut], joined[cut:]
-        if len(self._steps) > 10_000:
-            self._steps = {b"": {}}
-        self._steps.setdefault(held, {})[token] = result
-        return result
-
-    def pieces(self, ids: list[int]) -> Iterator[bytes]:
+    def pieces(self, ids: Sequence[int]) -> Iterator[bytes]:
         """Decoded bytes in runs of whole characters; a broken tail comes last."""
-        held = b""
-        at = self._steps[held]
-        for token in ids:
-            step = at.get(token)
-            if step is None:
-                step = self._step(held, token)
-            whole, following = step
-            if following != held:
-                held = following
-                at = self._steps.setdefault(held, {})
-            elif not held:
-                at = self._steps[held]
-            yield whole
+        held, at = b"", 0
+        parts = np.flatnonzero(self._is_part[np.asarray(ids, dtype=np.int64)]).tolist()
+        for part in [*parts, len(ids)]:
+            if part > at:
+                yield held + b"".join(map(self._bytes.__getitem__, ids[at:part]))
+                held = b""
+            if part < len(ids):
+                joined = held + self._bytes[ids[part]]
+                cut = len(joined) - self.unfinished(joined)
+                held = joined[cut:]
+                if cut:
+                    yield joined[:cut]
+            at = part + 1
         yield held
 
 
-@lru_cache(maxsize=2)
-def _coder(ranks_path: str, pattern: str) -> tuple[ChunkEncoder, StreamDecoder]:
+class _Coder(NamedTuple):
+    encoder: ChunkEncoder
+    decoder: StreamDecoder
+
+
+def _coder(ranks_path: str, pattern: str) -> _Coder:
+    return worker_state(("bpe", ranks_path, pattern), lambda: _new_coder(ranks_path, pattern))
+
+
+def _new_coder(ranks_path: str, pattern: str) -> _Coder:
     import regex
 
     ranks = load_ranks(ranks_path)
@@ -241,13 +252,16 @@ def _coder(ranks_path: str, pattern: str) -> tuple[ChunkEncoder, StreamDecoder]:
     pieces = regex.compile(pattern).findall
 
     def encode(chunk: str) -> bytes:
-        ids = array("I")
-        for piece in pieces(chunk):
-            ids.extend(transducer.encode_piece(piece.encode()))
-        return ids.tobytes()
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isascii() and word.isalpha():
+            return array("I", transducer.encode_piece(chunk.encode())).tobytes()
+        parts = pieces(chunk)
+        if len(parts) == 1:
+            return array("I", transducer.encode_piece(parts[0].encode())).tobytes()
+        return b"".join(map(encoder.store.__getitem__, parts))
 
-    decoder = StreamDecoder({rank: token for token, rank in ranks.items()})
-    return ChunkEncoder(encode, split_before_spaces, lead=" ", max_chunks=300_000), decoder
+    encoder = ChunkEncoder(encode, split_before_spaces)
+    return _Coder(encoder, StreamDecoder({rank: token for token, rank in ranks.items()}))
 
 
 def encode_documents(
@@ -268,12 +282,10 @@ def encode_documents(
 def _encode_batches(
     batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str
 ) -> Iterator[pa.RecordBatch]:
-    encoder, _ = _coder(ranks_path, pattern)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            ids = list(encode_texts(encoder, part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+    encoder = _coder(ranks_path, pattern).encoder
+    for batch in slices(batches):
+        ids = list(encode_texts(encoder, batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
 
 def decode_documents(
@@ -289,8 +301,8 @@ def decode_documents(
 def _decode_batches(
     batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, with_text: bool
 ) -> Iterator[pa.RecordBatch]:
-    _, decoder = _coder(ranks_path, pattern)
-    for batch in batches:
+    decoder = _coder(ranks_path, pattern).decoder
+    for batch in slices(batches):
         counts, ids_digests, digests, texts = [], [], [], []
         for packed in batch.column(1).to_pylist():
             ids = array("I", packed)

@@ -2,8 +2,8 @@
 
 Words repeat, so a worker keeps the ids of the chunks it has met.  The texts are
 cut only where no public pre-tokeniser joins the two sides, so the joined ids are
-those of the whole text.  The store is emptied when it reaches its bound, which
-costs time and never changes an id.
+those of the whole text.  What the store drops is encoded again, which costs time and
+never changes an id.
 """
 
 from __future__ import annotations
@@ -12,81 +12,62 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import islice
+from typing import Any
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+from framegauge.llm.workers import STORE_BYTES, Store, worker_state
 
-MAX_CHUNKS = 600_000  # chunks kept per worker and vocabulary
-MAX_PIECES = 300_000  # pieces of chunks kept likewise
-MAX_KEPT_CHARS = 64  # longer chunks are encoded anew each time
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPACES = r"\s\x1c-\x1f᠎​﻿"
 _SPACE_RUN = re.compile(f"[{_SPACES}] ")
 _ASCII_RUNS = tuple(c + " " for c in "\n \t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _BEFORE_SPACE = re.compile(f"(?<=[^{_SPACES}])(?= )")
+_MARK_AFTER_WORD = re.compile("[.,](?<=[a-zA-Z].)")  # every vocabulary cuts between a letter and these
 
 
 def split_before_spaces(text: str) -> list[str]:
-    """Chunks for byte-level vocabularies: each but the first had a space before it.
+    """Chunks for byte-level vocabularies, cut before spaces and after words.
 
     A run of white space is never cut: the patterns of these vocabularies treat
     the last space of a run differently from the others.
     """
+    if "\0" in text:
+        return _BEFORE_SPACE.split(text)
     if text.isascii():
         runs = any(run in text for run in _ASCII_RUNS)
     else:
         runs = _SPACE_RUN.search(text) is not None
     if runs:
-        first, *rest = _BEFORE_SPACE.split(text)
-        return [first, *[chunk[1:] for chunk in rest]]
-    return text.split(" ")
+        return _BEFORE_SPACE.split(text)
+    return _MARK_AFTER_WORD.sub("\0\\g<0>", text).replace(" ", "\0 ").split("\0")
 
 
 def split_at_spaces(text: str) -> list[str]:
-    """Chunks for vocabularies that drop white space."""
-    return text.split(" ")
-
-
-class _Kept(dict):
-    """Packed ids by chunk, encoded when first asked for."""
-
-    def __init__(self, encode: Callable[[str], bytes], lead: str) -> None:
-        super().__init__()
-        self._encode, self._lead = encode, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self._encode(self._lead + chunk)
-        if len(chunk) <= MAX_KEPT_CHARS:
-            self[chunk] = ids
-        return ids
+    """Chunks for vocabularies that drop white space, cut at spaces and after words."""
+    return _MARK_AFTER_WORD.sub(" \\g<0>", text).split(" ")
 
 
 class ChunkEncoder:
     """Packed ids (little-endian unsigned 32 bit) of texts, by distinct chunk.
 
-    ``lead`` goes before each chunk but a text's first.
+    Texts for which ``is_special`` holds are encoded whole by ``encode_whole``.
     """
 
     def __init__(
         self,
-        encode: Callable[[str], bytes],
+        encode: Callable[[Any], bytes],
         split: Callable[[str], list],
-        lead: str | bytes = "",
-        max_chunks: int = MAX_CHUNKS,
+        most_bytes: int = STORE_BYTES,
+        is_special: Callable[[str], bool] | None = None,
+        encode_whole: Callable[[str], bytes] | None = None,
     ) -> None:
-        self._encode, self._split, self._max = encode, split, max_chunks
-        self._kept = _Kept(encode, lead)
+        self._split, self._is_special, self._encode_whole = split, is_special, encode_whole
+        self.store = Store(encode, most_bytes)
 
     def packed(self, text: str) -> bytes:
-        chunks = self._split(text)
-        if not chunks:
-            return b""
-        first = self._encode(chunks[0])
-        found = first + b"".join(map(self._kept.__getitem__, islice(chunks, 1, None)))
-        if len(self._kept) > self._max:
-            self._kept.clear()
-        return found
+        if self._is_special is not None and self._is_special(text):
+            return self._encode_whole(text)
+        return b"".join(map(self.store.__getitem__, self._split(text)))
 
 
 # How the byte-level and the word vocabularies cut a text before merging.
@@ -94,7 +75,6 @@ _BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Characters on whose classes, case and normal form all Unicode versions agree.
-_MARKS = ".,|;:!?)"
 _PLAIN = re.compile("[\t\n\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u01c3\u01cd-\u01f0\u01f4-\u01ff]*")
 
 
@@ -105,54 +85,59 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
 def library_encoder(path: str, drops_spaces: bool = False) -> ChunkEncoder:
-    """The encoder of a ``tokenizers`` file; special strings are ordinary text.
+    """The encoder of a ``tokenizers`` file, kept by the worker; ids are those of the library as loaded.
 
     Plain chunks are cut into pieces here and each distinct piece goes to the library's
-    model; all other chunks go through the library as a whole.
+    model; all other chunks go through the library as a whole.  So does a whole text that
+    holds an added token such as ``<|endoftext|>``, which the library finds before it cuts.
     """
+    return worker_state(("tokenizers", path, drops_spaces), lambda: _library_encoder(path, drops_spaces))
+
+
+def _library_encoder(path: str, drops_spaces: bool) -> ChunkEncoder:
     import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     tokenizer.no_padding()
     tokenizer.no_truncation()
     merge, letters = tokenizer.model.tokenize, _byte_letters()
+    space = letters[32]
     pieces = regex.compile(_WORD_PIECES if drops_spaces else _BYTE_LEVEL_PIECES).findall
-    kept: dict[str, bytes] = {}
-
-    def piece_ids(piece: str) -> bytes:
-        ids = kept.get(piece)
-        if ids is None:
-            shown = piece.encode().decode("latin-1").translate(letters)
-            ids = array("I", [token.id for token in merge(shown)]).tobytes()
-            if len(piece) <= MAX_KEPT_CHARS:
-                if len(kept) > MAX_PIECES:
-                    kept.clear()
-                kept[piece] = ids
-        return ids
+    added = [token.content.lower() for token in tokenizer.get_added_tokens_decoder().values()]
+    added_firsts = {token[0] for token in added}
+
+    def is_special(text: str) -> bool:
+        if not any(first in text for first in added_firsts):
+            return False
+        folded = text.lower()
+        return any(token in folded for token in added)
+
+    def packed(shown: str) -> bytes:
+        return array("I", [token.id for token in merge(shown)]).tobytes()
+
+    def encode_whole(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(chunk: str) -> bytes:
-        if not _PLAIN.fullmatch(chunk):
-            return array("I", tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        plain_ascii = word.isascii()
+        if not plain_ascii and not _PLAIN.fullmatch(word):
+            return encode_whole(chunk)
         if drops_spaces:
-            chunk = chunk.lower()
-        body, last = chunk[:-1], chunk[-1:]
-        if body[:1].isalpha() or body[1:].isalpha():
-            # Most chunks are one word, with or without a mark after it.
-            word = body[1:] if body[0] == " " else body
-            if word.isalpha():
-                if last in _MARKS:
-                    return piece_ids(body) + piece_ids(last)
-                if last.isalpha():
-                    return piece_ids(chunk)
-        return b"".join(map(piece_ids, pieces(chunk)))
-
-    if drops_spaces:
-        return ChunkEncoder(encode, split_at_spaces)
-    return ChunkEncoder(encode, split_before_spaces, lead=" ")
+            chunk = word = word.lower()
+        if not word.isalpha():
+            parts = pieces(chunk)
+            if len(parts) != 1 or parts[0] != chunk:
+                return b"".join(map(encoder.store.__getitem__, parts))
+        # One piece, as most chunks are.
+        shown = word if plain_ascii and word.isalpha() else word.encode().decode("latin-1").translate(letters)
+        return packed(shown if len(word) == len(chunk) else space + shown)
+
+    split = split_at_spaces if drops_spaces else split_before_spaces
+    encoder = ChunkEncoder(encode, split, is_special=is_special, encode_whole=encode_whole)
+    return encoder
 
 
 def encode_texts(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[bytes]:

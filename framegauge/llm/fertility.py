@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.llm.chunks import ChunkEncoder
+from framegauge.llm.workers import slices, worker_state
 from framegauge.storage import pinned
 
 LEAST_WORDS = 10
@@ -103,9 +104,12 @@ def word_statistics(text: str, words: list[bytes]) -> tuple[int, ...]:
     )
 
 
-@lru_cache(maxsize=2)
 def _encoder(model_path: str) -> tuple[ChunkEncoder, np.ndarray]:
     """Ids by word, and which ids are fallback bytes."""
+    return worker_state(("fertility", model_path), lambda: _new_encoder(model_path))
+
+
+def _new_encoder(model_path: str) -> tuple[ChunkEncoder, np.ndarray]:
     import sentencepiece
 
     with open(model_path, "rb") as model:
@@ -115,7 +119,7 @@ def _encoder(model_path: str) -> tuple[ChunkEncoder, np.ndarray]:
     def encode(word: bytes) -> bytes:
         return array("I", pieces.encode(word.decode())).tobytes()
 
-    return ChunkEncoder(encode, _words, lead=b""), is_byte
+    return ChunkEncoder(encode, _words), is_byte
 
 
 def _words(text: str) -> list[bytes]:
@@ -178,7 +182,7 @@ def _arrays(rows: list[tuple]) -> list[pa.Array]:
 
 def _measure_batches(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
     names = ["id", "band", "script", *_COUNTS, "n_tokens", *MEASURES]
-    for batch in batches:
+    for batch in slices(batches):
         arrays = _arrays(_rows(batch.column(1).to_pylist(), batch.column(2).to_pylist(), model_path))
         yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
@@ -270,7 +274,7 @@ def keep_good(
 def _keep_batches(
     batches: Iterator[pa.RecordBatch], model_path: str, places: list[int], bands: dict[tuple[str, str], Ranges]
 ) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch.column(place).to_pylist() for place in places]
         languages = columns[1] if len(columns) > 1 else [None] * batch.num_rows
         kept = [passes(row, bands) for row in _rows(columns[0], languages, model_path)]

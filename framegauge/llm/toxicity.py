@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegauge.llm.workers import ENTRY_BYTES, STORE_BYTES, slices, worker_state
 from framegauge.storage import pinned
 
 MAX_PER_CLASS = 15_000
@@ -43,7 +44,6 @@ LEAST_GAIN = 10.0  # log likelihood ratio by which a term tells the classes apar
 LEAST_LOG_ODDS = 0.4  # of toxic to other documents among those with the term
 WINDOW = 5
 THRESHOLD = 0.3
-MAX_WORDS = 300_000  # words whose verdict a worker keeps
 MAX_STATES = 50_000
 
 _EDGES = ".,;:!?|\"'`()[]{}<>“”„«»‘’…*_-"
@@ -162,6 +162,7 @@ class _Scanner:
         self._hits: dict[str, tuple[int, int]] = {}
         self._hit_words: set[str] = set()
         self._clean: set[str] = set()
+        self._bytes = 0
 
     def hits(self, text: str | None) -> list[tuple[int, int, str]]:
         """(edits, term number, context) of each hit."""
@@ -169,7 +170,8 @@ class _Scanner:
             return []
         words = text.lower().split()
         distinct = set(words)
-        for word in (distinct - self._clean) - self._hit_words:
+        new = (distinct - self._clean) - self._hit_words
+        for word in new:
             hit = self._matcher.match(word.strip(_EDGES))
             if hit is None:
                 self._clean.add(word)
@@ -178,7 +180,9 @@ class _Scanner:
                 self._hit_words.add(word)
         found = distinct & self._hit_words
         result = self._placed(words, found) if found else []
-        if len(self._clean) + len(self._hits) > MAX_WORDS:
+        self._bytes += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self._bytes > STORE_BYTES:
+            self._bytes = 0
             self._clean.clear()
             self._hits.clear()
             self._hit_words.clear()
@@ -202,9 +206,8 @@ class _Scanner:
         return result
 
 
-@lru_cache(maxsize=4)
 def _scanner(terms: tuple[tuple[str, bool], ...]) -> _Scanner:
-    return _Scanner(terms)
+    return worker_state(("toxicity", terms), lambda: _Scanner(terms))
 
 
 _CONTEXTS = ("plain", "quoted", "clustered")
@@ -456,7 +459,7 @@ def score_documents(
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         scores = score_texts(batch.column(1).to_pylist(), model)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
@@ -470,6 +473,6 @@ def keep_clean(docs: DataFrame, model: Model, text_column: str = "text", thresho
 def _keep_batches(
     batches: Iterator[pa.RecordBatch], model: Model, place: int, threshold: float
 ) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         scores = pa.array(score_texts(batch.column(place).to_pylist(), model), pa.float64())
         yield batch.filter(pc.less(scores, threshold))

@@ -13,7 +13,7 @@ from typing import Any
 
 import pyarrow as pa
 
-STORE_BYTES = 48 << 20  # what all entries of a worker's stores may take
+STORE_BYTES = 96 << 20  # what all entries of a worker's stores may take
 ENTRY_BYTES = 150  # of a dictionary entry and the heads of its two values
 LARGEST_KEY = 64  # longer keys are worked out anew each time
 SLICE_ROWS = 500

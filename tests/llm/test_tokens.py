@@ -58,7 +58,6 @@ def test_token_files(spark, odd, tmp_path):
     starts = simple8b.write_token_files(odd, folder, BYTE_LEVEL, end_id=2, file_ids=1_000)
     rows = simple8b.read_token_files(spark, folder, starts, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(BYTE_LEVEL)
-    tokenizer.encode_special_tokens = True
     want = sorted(
         ((r.doc_id, tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in odd.collect()),
         key=lambda r: (r[0] is not None, r[0] or 0, len(r[1])),
@@ -85,7 +84,6 @@ def _texts(seed, count):
 @pytest.mark.parametrize("path, drops_spaces", [(BYTE_LEVEL, False), (WORDS, True)])
 def test_chunks_give_the_ids_of_whole_texts(path, drops_spaces):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     texts = _texts(1, 4_000) + [t for t in ODD if t]
     found = chunks.encode_texts(chunks.library_encoder(path, drops_spaces), texts)
     for text, packed in zip(texts, found, strict=True):
@@ -93,7 +91,7 @@ def test_chunks_give_the_ids_of_whole_texts(path, drops_spaces):
 
 
 def test_small_bounds_change_no_id():
-    encoder = chunks.ChunkEncoder(lambda c: array("I", map(ord, c)).tobytes(), chunks.split_before_spaces, " ", 2)
+    encoder = chunks.ChunkEncoder(lambda c: array("I", map(ord, c)).tobytes(), chunks.split_before_spaces, 700)
     assert array("I", encoder.packed("ab cd ab ef cd")).tolist() == list(map(ord, "ab cd ab ef cd"))
 
 
@@ -165,7 +163,6 @@ def test_packing_documents(spark, odd):
     pieces = packing.token_pieces(odd, WORDS, end_id=0, capacity=64, with_ids=True)
     rows = packing.pack_pieces(pieces, capacity=64, shard_pieces=40).collect()
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     want = []
     for row in odd.collect():
         ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids + [0]
