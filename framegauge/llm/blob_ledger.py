@@ -154,7 +154,8 @@ def scan_versions(
     ``findings`` is empty where nothing was found.
     """
     update_ledger(spark, versions, ledger, rules, rule_version)
-    found = findings_by_blob(spark, ledger, rule_version)
+    # Written first, so that the join is a stage of its own and a hot blob can be dealt out.
+    found = pinned(findings_by_blob(spark, ledger, rule_version))
     none = F.array().cast(found.schema["findings"].dataType)
     rows = versions.select("path", "version", blob_of("content").alias("blob")).join(found, "blob", "left")
     return rows.select("path", "version", "blob", F.coalesce("findings", none).alias("findings"))
@@ -172,7 +173,8 @@ def redact(
     )
     update_ledger(spark, versions, ledger)
     blob, findings, before, after = free_names(docs, "blob", "findings", "before", "after")
-    found = findings_by_blob(spark, ledger).select(F.col("blob").alias(blob), F.col("findings").alias(findings))
+    found = pinned(findings_by_blob(spark, ledger))
+    found = found.select(F.col("blob").alias(blob), F.col("findings").alias(findings))
     rows = docs.select("*", blob_of(text_column).alias(blob), F.col(text_column).alias(before))
     rows = rows.join(found, blob, "left")
     # Under a name of its own: a lambda that reads the text must not meet the text it makes.

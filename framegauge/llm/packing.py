@@ -11,8 +11,13 @@ that cannot be emptied goes back as it was.
 
 A shard leaves a few sequences short.  Its emptiest ones go on to the next level,
 where several shards meet and the search runs again, until one group is left.  The
-rows at each level are bounded by ``CARRIED`` sequences a group; the bound limits
-the search, never the result: every piece ends in exactly one sequence.
+rows at each level are bounded by ``CARRIED`` sequences a group, and the search by
+``GIVE_UP``, ``STEPS`` and ``PAIRED``; the bounds limit the search, never the result: every
+piece ends in exactly one sequence.
+
+Null text is empty and one piece.  Repeated rows are packed each on its own, equal lengths
+in any order, so sequence numbers may differ between runs of other partitions.  An empty
+table gives no row.  Other columns of pieces are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from framegauge.llm.chunks import encode_texts, library_encoder
 from framegauge.llm.workers import slices
+from framegauge.schema import col, free_names
 from framegauge.storage import pinned
 
 SHARD_PIECES = 2_048
@@ -98,28 +105,29 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIEC
     ``offset`` are kept.  It is evaluated once.
     """
     pieces = pinned(pieces.drop("sequence_id", "offset"))
+    group, bin_name, is_open = names = free_names(pieces, "group", "bin", "open")
     groups = -(-pieces.count() // shard_pieces)
     if not groups:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     kept = pieces.columns
-    spread = F.pmod(F.xxhash64(*kept), F.lit(groups)).cast("int")
-    rows = pieces.select(spread.alias("_group"), F.lit(None).cast("long").alias("_bin"), *kept)
+    # By their number in the written table, which differs among equal pieces.
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    rows = pieces.select(spread.alias(group), F.lit(None).cast("long").alias(bin_name), *map(col, kept))
     done, level = [], 0
     while True:
         last = groups == 1
-        fields = [f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept]
-        schema = ", ".join(
-            ["_group int", "_bin long", "_open boolean", *fields, "sequence_id long", "offset long"]
-        )
-        pack = _packer(capacity, level, last)
-        packed = pinned(rows.groupBy("_group").applyInArrow(pack, schema))
-        done.append(packed.where("not _open").select(*kept, "sequence_id", "offset"))
+        own = [StructField(group, IntegerType()), StructField(bin_name, LongType()), StructField(is_open, BooleanType())]
+        results = [StructField("sequence_id", LongType()), StructField("offset", LongType())]
+        schema = StructType([*own, *pieces.schema.fields, *results])
+        pack = _packer(capacity, level, last, names)
+        packed = pinned(rows.groupBy(group).applyInArrow(pack, schema))
+        done.append(packed.where(~F.col(is_open)).select(*map(col, kept), "sequence_id", "offset"))
         if last:
             break
         groups, level = -(-groups // FAN_IN), level + 1
-        regrouped = F.floor(F.col("_group") / FAN_IN).cast("int")
-        rows = packed.where("_open").select(
-            regrouped.alias("_group"), F.col("sequence_id").alias("_bin"), *kept
+        regrouped = F.floor(F.col(group) / FAN_IN).cast("int")
+        rows = packed.where(F.col(is_open)).select(
+            regrouped.alias(group), F.col("sequence_id").alias(bin_name), *map(col, kept)
         )
     result = done[0]
     for more in done[1:]:
@@ -127,17 +135,19 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIEC
     return result
 
 
-def _packer(capacity: int, level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+def _packer(capacity: int, level: int, last: bool, names: list[str]) -> Callable[[pa.Table], pa.Table]:
     def pack(table: pa.Table) -> pa.Table:
-        return _pack_group(table, capacity, level, last)
+        return _pack_group(table, capacity, level, last, names)
 
     return pack
 
 
-def _pack_group(table: pa.Table, capacity: int, level: int, last: bool) -> pa.Table:
-    group = table.column("_group")[0].as_py()
+def _pack_group(table: pa.Table, capacity: int, level: int, last: bool, names: list[str]) -> pa.Table:
+    """The rows of ``table`` (group, bin, then the columns of the pieces) with their places."""
+    group_name, bin_name, open_name = names
+    group = table.column(group_name)[0].as_py()
     lengths = table.column("length").to_pylist()
-    bins = table.column("_bin").to_pylist()
+    bins = table.column(bin_name).to_pylist()
     if level == 0:
         packed = best_fit(lengths, capacity)
     else:
@@ -157,7 +167,8 @@ def _pack_group(table: pa.Table, capacity: int, level: int, last: bool) -> pa.Ta
             sequence[r], offset[r], is_open[r] = first + k, at, k in carried
             at += lengths[r]
     columns = {name: table.column(name) for name in table.column_names}
-    columns = {"_group": columns.pop("_group"), "_bin": columns.pop("_bin"), "_open": pa.array(is_open), **columns}
+    own = {name: columns.pop(name) for name in (group_name, bin_name)}
+    columns = {**own, open_name: pa.array(is_open), **columns}
     columns["sequence_id"] = pa.array(sequence, pa.int64())
     columns["offset"] = pa.array(offset, pa.int64())
     return pa.table(columns)

@@ -18,8 +18,9 @@ as pairs of slices, so no task holds a whole hot cell and no link is lost.  Comp
 of the links then carry over to documents.
 
 Null text has no word; a text without words has fingerprint zero and is linked like
-any other, also to documents whose id is null.  An empty table gives no row.  Other
-columns are ignored.
+any other, also to documents whose id is null.  Repeated rows are linked as copies, ties go
+to the smallest id and then the smallest hash of the row, and an empty table gives no row.
+Other columns, maps among them, are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -31,17 +32,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from framegauge.llm.components import connected_components
 from framegauge.llm.workers import slices
+from framegauge.schema import col, free_names
 from framegauge.storage import pinned
 
 DISTANCE = 4
 SEGMENTS = 32  # of two bits each
 BLOCKS = 8
 CELL_ROWS = 2_000
+SALTS = 16  # tasks over which a large component is dealt
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
@@ -69,24 +73,32 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 def fingerprints(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 4
 ) -> DataFrame:
-    """``id``, ``row`` (a hash of all columns), ``bits`` (the fingerprint as a signed long)."""
-    rows = docs.select(
-        F.col(id_column).cast("long").alias("id"), _row_hash(docs).alias("row"), F.col(text_column).alias("text")
-    )
-    fingerprint_all = partial(_fingerprint_batches, shingle_words=shingle_words)
-    return rows.mapInArrow(fingerprint_all, "id long, row long, bits long")
+    """``id`` and ``bits`` (the fingerprint as a signed long) of every document."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return _with_bits(rows, shingle_words).select("id", "bits")
+
+
+def _with_bits(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """``rows``, whose last column is the text, with ``bits`` in its place."""
+    fields = [*rows.schema.fields[:-1], StructField("bits", LongType())]
+    return rows.mapInArrow(partial(_fingerprint_batches, shingle_words=shingle_words), StructType(fields))
 
 
 def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{name}`") for name in docs.columns])
+    """A hash of all columns; those that hold maps, which Spark does not hash, as JSON."""
+    values = []
+    for field in docs.schema.fields:
+        value = col(field.name)
+        values.append(F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value)
+    return F.xxhash64(*values)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [fingerprint(text, shingle_words) for text in batch.column(2).to_pylist()]
+        *kept, texts = batch.columns
+        found = [fingerprint(text, shingle_words) for text in texts.to_pylist()]
         bits = np.array(found, dtype=np.uint64).view(np.int64)
-        arrays = [batch.column(0), batch.column(1), pa.array(bits)]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "row", "bits"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(bits)], [*batch.schema.names[:-1], "bits"])
 
 
 def segment_counts(bits: np.ndarray) -> np.ndarray:
@@ -173,12 +185,18 @@ def near_duplicates(
 def components_of(rows: DataFrame) -> DataFrame:
     """``bits``, ``centre`` (smallest fingerprint) and ``component`` (smallest id) of ``rows``."""
     distinct = pinned(rows.groupBy("bits").agg(F.min("id").alias("least")))
-    linked = pinned(connected_components(near_links(distinct.select("bits"))))
-    placed = distinct.join(linked.withColumnRenamed("vertex", "bits"), "bits", "left").select(
-        "bits", "least", F.coalesce("component", "bits").alias("centre")
+    linked = connected_components(near_links(distinct.select("bits")))
+    linked = pinned(linked.select(F.col("vertex").alias("bits"), F.col("component").alias("centre")))
+    members = distinct.join(linked, "bits")
+    smallest = members.groupBy("centre").agg(F.min("least").alias("component"))
+    # A large component is dealt over several tasks, each of which gets a copy of its smallest id.
+    copies = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(SALTS)).cast("int"))
+    found = dealt.join(copies, ["centre", "salt"]).select("bits", "centre", "component")
+    alone = distinct.join(linked, "bits", "left_anti")
+    return found.unionByName(
+        alone.select("bits", F.col("bits").alias("centre"), F.col("least").alias("component"))
     )
-    smallest = placed.groupBy("centre").agg(F.min("least").alias("component"))
-    return placed.select("bits", "centre").join(smallest, "centre")
 
 
 def keep_one(
@@ -188,15 +206,14 @@ def keep_one(
 
     First is the smallest id, then the smallest hash of the row; of wholly equal rows one stays.
     """
-    rows = pinned(fingerprints(docs, id_column, text_column, shingle_words))
+    id_of, row_hash = F.col(id_column).cast("long"), _row_hash(docs)
+    texts = docs.select(id_of.alias("id"), row_hash.alias("row"), F.col(text_column).alias("text"))
+    rows = pinned(_with_bits(texts, shingle_words))
     placed = rows.join(components_of(rows), "bits")
     first = placed.groupBy("centre").agg(F.min(F.struct("id", "row")).alias("first"))
-    kept = first.select(F.col("first.id").alias("_kept_id"), F.col("first.row").alias("_kept_row"))
-    marked = docs.select(
-        "*", F.col(id_column).cast("long").alias("_kept_id"), _row_hash(docs).alias("_kept_row")
-    )
-    keys = ["_kept_id", "_kept_row"]
-    same = (marked["_kept_row"] == kept["_kept_row"]) & marked["_kept_id"].eqNullSafe(kept["_kept_id"])
-    order = Window.partitionBy(*keys).orderBy(F.lit(0))
-    chosen = marked.join(kept, same, "left_semi").withColumn("_kept_copy", F.row_number().over(order))
-    return chosen.where("_kept_copy = 1").select(*[F.col(f"`{name}`") for name in docs.columns])
+    names = free_names(docs, "id", "row")
+    kept = first.select(*[F.col(f"first.{part}").alias(name) for part, name in zip(("id", "row"), names)])
+    marked = docs.select("*", id_of.alias(names[0]), row_hash.alias(names[1]))
+    same = (marked[names[1]] == kept[names[1]]) & marked[names[0]].eqNullSafe(kept[names[0]])
+    # Equal rows are combined within their task before they meet.
+    return marked.join(kept, same, "left_semi").dropDuplicates(names).select(*map(col, docs.columns))

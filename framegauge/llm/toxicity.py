@@ -6,7 +6,7 @@ trie, are one nondeterministic machine whose places are (trie node, edits so far
 The machine is determinised as words arrive, so that a word costs one step per
 character until no term is near any more.
 
-Each hit stands in a window of words: *quoted* (between quotation marks), *clustered*
+Each hit stands in a window of words: *quoted* (between paired quotation marks), *clustered*
 (another hit nearby) or *plain*.  The weights of hits, summed by this context and by
 whether the term was misspelled, are the features of a logistic model, which thus
 learns how much a quotation or a misspelling counts.
@@ -37,17 +37,19 @@ from framegauge.llm.workers import ENTRY_BYTES, STORE_BYTES, slices, worker_stat
 from framegauge.storage import pinned
 
 MAX_PER_CLASS = 15_000
-MAX_TERMS = 500
 STEMS = range(3, 13)  # lengths of stems that may become terms
 LEAST_DOCUMENTS = 3
 LEAST_GAIN = 10.0  # log likelihood ratio by which a term tells the classes apart
 LEAST_LOG_ODDS = 0.4  # of toxic to other documents among those with the term
 WINDOW = 5
+QUOTE_WORDS = 40  # longest quotation
 THRESHOLD = 0.3
 MAX_STATES = 50_000
 
 _EDGES = ".,;:!?|\"'`()[]{}<>“”„«»‘’…*_-"
-_QUOTES = '"“”„«»'
+_OPENING = ('"', "“", "„", "«", "»", "”")
+_CLOSING = ('"', "”", "“", "»", "«")
+_AFTER_QUOTE = ".,;:!?)]}"
 
 
 class Term(NamedTuple):
@@ -189,23 +191,42 @@ class _Scanner:
         return result
 
     def _placed(self, words: list[str], found: set[str]) -> list[tuple[int, int, str]]:
-        places, marks, open_marks = [], [], 0
-        for at, word in enumerate(words):
-            opened = sum(map(word.count, _QUOTES))
-            if word in found:
-                places.append(at)
-                marks.append(bool((open_marks % 2) or (opened and word[0] in _QUOTES)))
-            open_marks += opened
+        places = [at for at, word in enumerate(words) if word in found]
+        quoted = _quoted(words, places)
         result = []
         for k, at in enumerate(places):
             near = (k and at - places[k - 1] <= WINDOW) or (
                 k + 1 < len(places) and places[k + 1] - at <= WINDOW
             )
-            context = "quoted" if marks[k] else "clustered" if near else "plain"
+            context = "quoted" if at in quoted else "clustered" if near else "plain"
             result.append((*self._hits[words[at]], context))
         return result
 
 
+def _quoted(words: list[str], places: list[int]) -> set[int]:
+    """The places between an opening mark and the next closing one, at most ``QUOTE_WORDS`` words on.
+
+    A mark opens at the start of a word and closes at the end of one, so inches and marks
+    without a partner quote nothing.
+    """
+    found = set()
+    for place in places:
+        first = place
+        while not words[first].lstrip("([{")[:1] in _OPENING:
+            first -= 1
+            # A closing mark before the word ends the search: what stands there is over.
+            if first < 0 or place - first >= QUOTE_WORDS or words[first].rstrip(_AFTER_QUOTE)[-1:] in _CLOSING:
+                break
+        else:
+            last = place
+            while last < len(words) and last - first < QUOTE_WORDS:
+                if words[last].rstrip(_AFTER_QUOTE)[-1:] in _CLOSING and len(words[last]) > 1:
+                    found.add(place)
+                    break
+                last += 1
+    return found
+
+
 def _scanner(terms: tuple[tuple[str, bool], ...]) -> _Scanner:
     return worker_state(("toxicity", terms), lambda: _Scanner(terms))
 
@@ -358,8 +379,6 @@ def choose_terms(
         if is_stem:
             stems.add(text)
         chosen.append((text, is_stem, weight))
-        if len(chosen) == MAX_TERMS:
-            break
     return chosen
 
 
@@ -374,7 +393,7 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], terms: tuple[tuple[str, bool],
     scanner = _scanner(terms)
     for batch in batches:
         found = [
-            [(e * 3 + _CONTEXTS.index(c)) * MAX_TERMS + number for e, number, c in scanner.hits(text)]
+            [(number * 3 + e) * 3 + _CONTEXTS.index(c) for e, number, c in scanner.hits(text)]
             for text in batch.column(0).to_pylist()
         ]
         yield pa.RecordBatch.from_arrays(
@@ -399,7 +418,7 @@ def fit(sample: DataFrame) -> Model:
     )
     collected = rows.collect()  # one short row per text of the bounded sample
     targets = np.array([r.toxic == 1 for r in collected], dtype=np.float64)
-    hits = [[(h // MAX_TERMS // 3, h % MAX_TERMS, _CONTEXTS[h // MAX_TERMS % 3]) for h in r.hits] for r in collected]
+    hits = [[(h // 3 % 3, h // 9, _CONTEXTS[h % 3]) for h in r.hits] for r in collected]
     fuzzy = [[0, 0] for _ in chosen]
     for target, own in zip(targets, hits):
         for number in {number for edits, number, _ in own if edits}:
