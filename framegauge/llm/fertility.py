@@ -7,11 +7,11 @@ tables of codes, foreign encodings and endless repetition lie outside.
 
 The bands belong to a language, where a column names it, and else to a script.  They run
 around the median, ``REACH`` times as far as the middle half reaches, and are computed
-over all documents.  A document is rejected if a rule on words fails or if a measure
-leaves its band; short texts, of fewer than ``LEAST_TOKENS`` tokens, have measures too
-noisy to be held against them.  A band of a language or script needs ``LEAST_DOCUMENTS``
-documents that are long enough.  Without one for its language a document is held
-against the band of its script over all documents, and last against one band over all.
+over all documents that pass the rules on words.  The band of a language with few documents
+is drawn towards that of its script, and this towards one over all documents, by shares
+that grow with the counts; the band is wider for short texts, whose measures are noisy.
+So nothing switches at a size.  A document is rejected if a rule on words fails or if a
+measure leaves its band.
 
 A null or empty text has no word and fails the rule on word counts.  Repeated rows
 are judged alike; an empty table gives no row; other columns are ignored or passed
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from framegauge.llm.chunks import ChunkEncoder
 from framegauge.llm.workers import slices, worker_state
@@ -37,9 +38,10 @@ from framegauge.storage import pinned
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent of words in repeated windows
 WINDOW = 5
-REACH = 5.0
-LEAST_TOKENS = 50
-LEAST_DOCUMENTS = 50
+REACH = 3.0
+FEW_TOKENS = 50  # at so many tokens a range is twice as wide as at very many
+SENT_BANDS = 10_000  # rows of some 100 bytes that may be sent to all tasks
+EQUAL_SHARES = 50  # with so many documents a language counts as much as its script
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -187,35 +189,40 @@ def _measure_batches(batches: Iterator[pa.RecordBatch], model_path: str) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
 
-Ranges = tuple[tuple[float, float], ...]
+def rejection_bands(measured: DataFrame, reach: float = REACH) -> DataFrame:
+    """``band``, ``script`` and the middle and width of each measure's range there.
 
-
-def rejection_bands(measured: DataFrame, reach: float = REACH) -> dict[tuple[str, str], Ranges]:
-    """The range of each measure that is kept, by ("band", language or script),
-    ("script", script) and ("all", "").
-
-    Over all documents with enough words; one row for at least ``LEAST_DOCUMENTS`` of them.
+    One row for each pair of language and script.  A language's own figures count by its
+    documents against those of its script, and these against those of all documents.
     """
-    long_enough = measured.where((F.col("n_tokens") >= LEAST_TOKENS) & ~base_failed())
+    usable = measured.where(~base_failed())
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-    found = None
-    for level, name, least in (
-        ("band", F.col("band"), LEAST_DOCUMENTS),
-        ("script", F.col("script"), LEAST_DOCUMENTS),
-        ("all", F.lit(""), 1),
-    ):
-        grouped = long_enough.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"), *quartiles)
-        grouped = grouped.where(F.col("n") >= least).withColumn("level", F.lit(level))
-        found = grouped if found is None else found.unionByName(grouped)
-    bands = {}
-    for row in found.collect():
-        ranges = []
-        for measure in MEASURES:
-            low, middle, high = row[measure]
-            width = reach * max(high - low, 0.01 * abs(middle), 0.005)
-            ranges.append((middle - width, middle + width))
-        bands[row["level"], row["name"]] = tuple(ranges)
-    return bands
+
+    def figures(level: str, keys: list[str]) -> DataFrame:
+        found = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{level}_n"), *quartiles)
+        columns = [F.col(f"{level}_n")]
+        for m in MEASURES:
+            low, middle, high = (F.element_at(m, k) for k in (1, 2, 3))
+            width = reach * F.greatest(high - low, 0.01 * F.abs(middle), F.lit(0.005))
+            columns += [middle.alias(f"{level}_{m}_middle"), width.alias(f"{level}_{m}_width")]
+        return found.select(*keys, *columns)
+
+    pairs = measured.groupBy("band", "script").count().drop("count")
+    joined = (
+        pairs.join(figures("band", ["band"]), "band", "left")
+        .join(figures("script", ["script"]), "script", "left")
+        .join(figures("all", []), how="left")
+    )
+    columns = []
+    for m in MEASURES:
+        for part in ("middle", "width"):
+            value = F.col(f"all_{m}_{part}")
+            for level in ("script", "band"):
+                share = F.col(f"{level}_n") / (F.col(f"{level}_n") + EQUAL_SHARES)
+                own = F.col(f"{level}_{m}_{part}")
+                value = F.when(own.isNull(), value).otherwise(share * own + (1 - share) * value)
+            columns.append(value.alias(f"{m}_{part}"))
+    return joined.select("band", "script", *columns)
 
 
 def base_failed() -> Column:
@@ -225,34 +232,35 @@ def base_failed() -> Column:
     )
 
 
-def passes(row: tuple, bands: dict[tuple[str, str], Ranges]) -> bool:
-    """The verdict on one row of measures."""
-    band, script, n_words, _, _, _, n_repeat, n_tokens, *values = row
-    if n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words:
-        return False
-    if n_tokens < LEAST_TOKENS:
-        return True
-    ranges = bands.get(("band", band)) or bands.get(("script", script)) or bands["all", ""]
-    return all(low <= value <= high for value, (low, high) in zip(values, ranges))
+def _with_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """``rows`` and the bands of their language and script."""
+    bands = pinned(bands)
+    if bands.count() <= SENT_BANDS:
+        return rows.join(F.broadcast(bands), ["band", "script"], "left")
+    return rows.join(bands, ["band", "script"], "left")  # adaptive execution deals hot languages out
+
+
+def _within_bands() -> Column:
+    """Whether no measure leaves its band.
+
+    Measures of few tokens are noisy, so the width grows as tokens become few.
+    """
+    noise = 1 + F.lit(FEW_TOKENS) / F.col("n_tokens")
+    kept = F.lit(True)
+    for m in MEASURES:
+        distance = F.abs(F.col(m) - F.col(f"{m}_middle"))
+        kept = kept & (distance <= noise * F.col(f"{m}_width"))
+    return F.coalesce(kept, F.lit(True))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``."""
     measured = pinned(measured)
-    bands = rejection_bands(measured)
-    schema = measured.withColumn("base_failed", base_failed()).withColumn("kept", F.lit(True)).schema
-    columns = ["band", "script", *_COUNTS, "n_tokens", *MEASURES]
-    flagged = measured.withColumn("base_failed", base_failed())
-    return flagged.mapInArrow(partial(_judge_batches, bands=bands, columns=columns), schema).drop("script")
-
-
-def _judge_batches(
-    batches: Iterator[pa.RecordBatch], bands: dict[tuple[str, str], Ranges], columns: list[str]
-) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*[batch.column(name).to_pylist() for name in columns])
-        kept = pa.array([passes(row, bands) for row in rows], pa.bool_())
-        yield batch.append_column("kept", kept)
+    joined = _with_bands(measured, rejection_bands(measured))
+    failed = base_failed()
+    kept = ~failed & _within_bands()
+    names = [name for name in measured.columns if name != "script"]
+    return joined.select(*names, failed.alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(
@@ -262,20 +270,24 @@ def keep_good(
 
     The bands need a pass over all documents before the pass that filters.
     """
-    names = [text_column, *[language_column] * bool(language_column)]
-    first = docs.select(F.lit(0).alias("_row"), *names)
-    measured = document_measures(first, model_path, "_row", text_column, language_column)
-    bands = rejection_bands(pinned(measured))
-    places = [docs.columns.index(name) for name in names]
-    keep = partial(_keep_batches, model_path=model_path, places=places, bands=bands)
-    return docs.mapInArrow(keep, docs.schema)
-
-
-def _keep_batches(
-    batches: Iterator[pa.RecordBatch], model_path: str, places: list[int], bands: dict[tuple[str, str], Ranges]
+    own = [field.split()[0] for field in _ROW.split(", ")]
+    names = [f"c{k}" for k in range(len(docs.columns))]  # no column of the rows can clash
+    text = docs.columns.index(text_column)
+    language = docs.columns.index(language_column) if language_column else -1
+    fields = [StructField(name, field.dataType) for name, field in zip(names, docs.schema.fields)]
+    schema = StructType([*fields, *StructType.fromDDL(_ROW).fields])
+    measure = partial(_append_batches, model_path=model_path, text=text, language=language)
+    measured = docs.toDF(*names).mapInArrow(measure, schema)
+    bands = rejection_bands(pinned(measured.select(*own)))
+    passed = _with_bands(measured, bands).where(~base_failed() & _within_bands())
+    return passed.select(*[F.col(name).alias(own_name) for name, own_name in zip(names, docs.columns)])
+
+
+def _append_batches(
+    batches: Iterator[pa.RecordBatch], model_path: str, text: int, language: int
 ) -> Iterator[pa.RecordBatch]:
+    own = [field.split()[0] for field in _ROW.split(", ")]
     for batch in slices(batches):
-        columns = [batch.column(place).to_pylist() for place in places]
-        languages = columns[1] if len(columns) > 1 else [None] * batch.num_rows
-        kept = [passes(row, bands) for row in _rows(columns[0], languages, model_path)]
-        yield batch.filter(pa.array(kept, pa.bool_()))
+        languages = batch.column(language).cast(pa.string()).to_pylist() if language >= 0 else [None] * batch.num_rows
+        arrays = _arrays(_rows(batch.column(text).to_pylist(), languages, model_path))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *own])
