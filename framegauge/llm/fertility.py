@@ -245,7 +245,7 @@ def _within_bands() -> Column:
 
     Measures of few tokens are noisy, so the width grows as tokens become few.
     """
-    noise = 1 + F.lit(FEW_TOKENS) / F.col("n_tokens")
+    noise = 1 + F.lit(FEW_TOKENS) / F.greatest(F.col("n_tokens"), F.lit(1))
     kept = F.lit(True)
     for m in MEASURES:
         distance = F.abs(F.col(m) - F.col(f"{m}_middle"))
