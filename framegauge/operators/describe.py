@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.aggregates import largest, smallest
+from framegauge.functions.histogram import RankedHistogram
 from framegauge.functions.quantiles import (
     HELD_VALUES,
     fits_in_one_task,
-    linear_quantiles,
     nan_count,
     one_row_per_column,
     valid_value,
@@ -49,10 +49,12 @@ def describe(
         once = describe(df, list(dict.fromkeys(chosen)), held_values=held_values)
         asked = df.sparkSession.createDataFrame([(c,) for c in chosen], "column string")
         return F.broadcast(asked).join(once, "column").select(*once.columns)
-    unique = distinct_counts(df, chosen, count_null=False)
-    # One row per column on either side, so the table sent around is the schema.
-    joined = _statistics(df, chosen, held_values).join(F.broadcast(unique), "column", "left")
-    return joined.select(
+    statistics = _statistics(df, chosen, held_values)
+    if fits_in_one_task(df.count(), len(chosen), held_values):
+        unique = distinct_counts(df, chosen, count_null=False)
+        # One row per column on either side, so the table sent around is the schema.
+        statistics = statistics.drop("unique_count").join(F.broadcast(unique), "column", "left")
+    return statistics.select(
         "column", "count", "missing", "mean", "median", "std", "min",
         "p25", "p50", "p75", "p95", "max",
         F.when(F.col("count") > 0, F.col("unique_count")).alias("unique"),
@@ -99,6 +101,7 @@ def _statistics(df: DataFrame, columns: Sequence[str], held_values: int) -> Data
         percentile(2).alias("p75"),
         percentile(3).alias("p95"),
         "max",
+        F.col("distinct").alias("unique_count"),
     )
 
 
@@ -121,42 +124,38 @@ def quantile_rows(
     probabilities: Sequence[float],
     held_values: int,
 ) -> DataFrame:
-    """One row per column: ``name``, its measures, ``nans`` and exact ``quantiles``.
+    """One row per column: ``name``, its measures, ``nans``, exact ``quantiles`` and ``distinct``.
 
     While all values fit in one task the quantiles are aggregates of the same
-    pass.  Otherwise that pass gives the counts the narrowing starts from, and
-    its rows, one per column, are completed on the driver.
+    pass and ``distinct`` is null.  Otherwise both come from one ranked histogram, and
+    the rows, one per column, are completed on the driver.
     """
     numeric = [c for c in columns if type_class(data_type(df, c)) == NUMERIC]
     direct = fits_in_one_task(df.count(), len(numeric), held_values)
+    unknown = F.lit(None).cast("bigint").alias("distinct")
 
     def row(name: str) -> Column:
         value, dtype = col(name), data_type(df, name)
         fields = [F.lit(name).alias("name"), *measures(name)]
         if name not in numeric:
             nothing = F.lit(None).cast("array<double>")
-            return F.struct(*fields, _zero("valid"), _zero("nans"), nothing.alias("quantiles"))
+            return F.struct(*fields, _zero("valid"), _zero("nans"), nothing.alias("quantiles"), unknown)
         if direct:
             valid, quantiles = _zero("valid"), F.percentile(value, list(probabilities))
         else:
             valid = F.count_if(valid_value(value, dtype)).alias("valid")
             quantiles = F.lit(None).cast("array<double>")
         nans = nan_count(value, dtype).alias("nans")
-        return F.struct(*fields, valid, nans, quantiles.alias("quantiles"))
+        return F.struct(*fields, valid, nans, quantiles.alias("quantiles"), unknown)
 
     measured = one_row_per_column(df, columns, row)
     if direct:
         return measured
-    rows = measured.collect()
-    counted = [r for r in rows if r["name"] in numeric]
-    found = linear_quantiles(
-        df,
-        probabilities,
-        {r["name"]: r["valid"] for r in counted},
-        {r["name"]: r["nans"] for r in counted},
-        held_values,
-    )
-    completed = [(*r[:-1], found.get(r["name"])) for r in rows]
+    ranked = RankedHistogram(df, numeric)
+    found = ranked.linear_quantiles(probabilities)
+    completed = [
+        (*r[:-2], found.get(r["name"]), ranked.distinct.get(r["name"])) for r in measured.collect()
+    ]
     return df.sparkSession.createDataFrame(completed, measured.schema)
 
 
