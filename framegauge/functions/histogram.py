@@ -12,7 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,9 @@ from framegauge.schema import col, data_type, is_floating
 from framegauge.storage import pinned
 
 
+PARTS = 8  # ranges for each column, at least
+
+
 def _ranked_type(dtype: T.DataType) -> str:
     """A type that orders values as their own does; columns of one such type share a table."""
     if is_floating(dtype):
@@ -38,67 +41,66 @@ class RankedHistogram:
         self.distinct = dict.fromkeys(columns, 0)
         self.valid = dict.fromkeys(columns, 0)
         self.nans = dict.fromkeys(columns, 0)
-        by_type: dict[str, list[int]] = {}
-        for number, name in enumerate(columns):
-            by_type.setdefault(_ranked_type(data_type(df, name)), []).append(number)
-        self._tables = {kind: self._counted(df, kind, own) for kind, own in by_type.items()}
-        self._slices: dict[int, list[tuple[int, int]]] = {k: [] for k in range(len(columns))}
-        self._kind_of = {k: kind for kind, own in by_type.items() for k in own}
-        totals = [
-            table.groupBy("c", "part").agg(
-                F.count(F.lit(1)).alias("values"),
-                F.sum("n").alias("rows"),
-                F.sum(F.when(F.isnan(F.col("v").cast("double")), F.col("n")).otherwise(0)).alias("nans"),
-            )
-            for table in self._tables.values()
-        ]
+        self._slices: dict[str, list[tuple[int, int]]] = {name: [] for name in columns}
+        if not self.columns:
+            return
+        kinds = list(dict.fromkeys(_ranked_type(data_type(df, name)) for name in columns))
+        self._values = [f"v{k}" for k in range(len(kinds))]  # one of them is not null
+        self._table = self._counted(df, kinds)
+        is_nan = F.isnan(self._value())
+        totals = self._table.groupBy("c", "part").agg(
+            F.count(F.lit(1)).alias("values"),
+            F.sum("n").alias("rows"),
+            F.sum(F.when(is_nan, F.col("n")).otherwise(0)).alias("nans"),
+        )
         # One row for each partition and column in it.
-        for row in sorted(reduce(DataFrame.unionAll, totals).collect(), key=lambda r: r.part) if totals else ():
+        for row in sorted(totals.collect(), key=lambda r: r.part):
             name = self.columns[row.c]
             self.distinct[name] += row["values"]
             self.valid[name] += row.rows - row.nans
             self.nans[name] += row.nans
-            self._slices[row.c].append((row.part, row.rows))
-
-    def _counted(self, df: DataFrame, kind: str, numbers: Sequence[int]) -> DataFrame:
-        """``c``, ``v``, ``n`` and ``part``, whose order is that of (c, v)."""
-        branches = [
-            df.select(F.lit(k).alias("c"), col(self.columns[k]).cast(kind).alias("v")).where("v is not null")
-            for k in numbers
-        ]
-        counted = reduce(DataFrame.unionAll, branches).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-        ranged = counted.repartitionByRange("c", "v")
+            self._slices[name].append((row.part, row.rows))
+
+    def _value(self) -> Column:
+        return F.coalesce(*[F.col(v).cast("double") for v in self._values])
+
+    def _counted(self, df: DataFrame, kinds: Sequence[str]) -> DataFrame:
+        """``c``, a value, its count ``n`` and ``part``, whose order is that of (c, value)."""
+        branches = []
+        for number, name in enumerate(self.columns):
+            own = _ranked_type(data_type(df, name))
+            values = [
+                (col(name) if kind == own else F.lit(None)).cast(kind).alias(v)
+                for kind, v in zip(kinds, self._values)
+            ]
+            branches.append(df.where(col(name).isNotNull()).select(F.lit(number).alias("c"), *values))
+        counted = reduce(DataFrame.unionAll, branches).groupBy("c", *self._values).agg(F.count(F.lit(1)).alias("n"))
+        # So many parts that each is a small share of its column.
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS * len(self.columns))
+        ranged = counted.repartitionByRange(parts, "c", *self._values)
         return pinned(ranged.withColumn("part", F.spark_partition_id()))
 
     def at_ranks(self, wanted: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], float]:
         """The values at ranks (from 0) below ``valid``, as doubles, by (column, rank)."""
-        targets: dict[str, set[tuple[int, int, int, int]]] = {}
+        places = set()
         for name, ranks in wanted.items():
-            number = self.columns.index(name)
             for rank in ranks:
                 before = 0
-                for part, rows in self._slices[number]:
+                for part, rows in self._slices[name]:
                     if rank < before + rows:
-                        targets.setdefault(self._kind_of[number], set()).add((number, part, rank - before, rank))
+                        places.add((self.columns.index(name), part, rank - before, rank))
                         break
                     before += rows
-        found = {}
-        frames = []
-        for kind, places in targets.items():
-            asked = F.broadcast(  # a few ranks a column
-                self._tables[kind].sparkSession.createDataFrame(
-                    sorted(places), "c int, part int, place bigint, rank bigint"
-                )
-            )
-            slices = self._tables[kind].join(asked.select("c", "part").distinct(), ["c", "part"], "left_semi")
-            through = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))
-            running = slices.withColumn("through", through)
-            hit = (F.col("place") < F.col("through")) & (F.col("place") >= F.col("through") - F.col("n"))
-            frames.append(running.join(asked, ["c", "part"]).where(hit).select("c", "rank", F.col("v").cast("double")))
-        if frames:
-            for c, rank, value in reduce(DataFrame.unionAll, frames).collect():
-                found[self.columns[c], rank] = value
-        return found
+        if not places:
+            return {}
+        schema = "c int, part int, place bigint, rank bigint"
+        asked = F.broadcast(self._table.sparkSession.createDataFrame(sorted(places), schema))  # a few a column
+        slices = self._table.join(asked.select("c", "part").distinct(), ["c", "part"], "left_semi")
+        running = Window.partitionBy("c", "part").orderBy(*self._values)
+        through = slices.withColumn("through", F.sum("n").over(running))
+        hit = (F.col("place") < F.col("through")) & (F.col("place") >= F.col("through") - F.col("n"))
+        rows = through.join(asked, ["c", "part"]).where(hit).select("c", "rank", self._value())
+        return {(self.columns[c], rank): value for c, rank, value in rows.collect()}
 
     def linear_quantiles(self, probabilities: Sequence[float]) -> dict[str, list[float | None]]:
         """Quantiles with linear interpolation (R-7); a position among NaNs is NaN."""
