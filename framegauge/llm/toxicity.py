@@ -37,6 +37,7 @@ from framegauge.llm.workers import ENTRY_BYTES, STORE_BYTES, slices, worker_stat
 from framegauge.storage import pinned
 
 MAX_PER_CLASS = 15_000
+MAX_TERMS = 500  # with all that pass the test the automaton outgrows its store
 STEMS = range(3, 13)  # lengths of stems that may become terms
 LEAST_DOCUMENTS = 3
 LEAST_GAIN = 10.0  # log likelihood ratio by which a term tells the classes apart
@@ -379,6 +380,8 @@ def choose_terms(
         if is_stem:
             stems.add(text)
         chosen.append((text, is_stem, weight))
+        if len(chosen) == MAX_TERMS:
+            break
     return chosen
 
 
