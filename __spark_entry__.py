@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date, timedelta
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -211,15 +213,16 @@ def _null_key_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "first_appearance_order",
-    "select l_returnflag, count(*) as row_count from lineitem group by 1",
+    """with t as (select l_returnflag, l_shipdate, row_number() over () - 1 as place from lineitem)
+       select l_returnflag, l_shipdate, count(*) as row_count, min(place) as first_row from t group by 1, 2""",
 )
 def _first_appearance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fg.aggregate(
         _table(spark, sf_dir, "lineitem"),
-        group_by=["l_returnflag"],
+        group_by=["l_returnflag", "l_shipdate"],
         metric=None,
         agg="count",
-        preserve_order=True,
+        position="first_row",
     )
 
 
@@ -322,14 +325,15 @@ def _null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "duplicate_rows",
-    """with t as (select l_quantity, nullif(l_discount, 0.05) as l_discount, l_tax, l_returnflag from lineitem)
+    """with t as (select * replace (nullif(l_discount, 0.05) as l_discount) from lineitem),
+            u as (select * from t union all select * from t where l_quantity > 40)
        select count(*) as row_count,
-              count(*) - (select count(*) from (select distinct * from t)) as duplicate_row_count
-       from t""",
+              count(*) - (select count(*) from (select distinct * from u)) as duplicate_row_count
+       from u""",
 )
 def _duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _null_if(_table(spark, sf_dir, "lineitem"), "l_discount", 0.05)
-    return fg.duplicate_row_count(items.select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
+    return fg.duplicate_row_count(items.unionAll(items.where("l_quantity > 40")))
 
 
 @_query(
@@ -372,11 +376,11 @@ def _describe_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fg.describe(_holed_lineitem(spark, sf_dir)), 4)
 
 
-@_query("describe_narrowed", _describe_sql("lineitem", ["l_extendedprice", "l_quantity"]))
+@_query("describe_narrowed", _describe_sql("lineitem", _LINEITEM_NUMERIC))
 def _describe_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The route large tables take, with a limit low enough to be used here."""
     items = _table(spark, sf_dir, "lineitem")
-    return _rounded(fg.describe(items, ["l_extendedprice", "l_quantity"], held_values=2_000), 4)
+    return _rounded(fg.describe(items, held_values=2_000), 4)
 
 
 @_query("describe_events", _describe_sql("events", ["event_id", "user_id", "value"]))
@@ -423,6 +427,45 @@ def _correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defined(fg.correlation_pairs(_table(spark, sf_dir, "lineitem")))
 
 
+_WIDE_COLUMNS = {
+    **{f"{c}_far": f"(l_{c} + 1e15)" for c in ("quantity", "extendedprice", "discount", "tax", "linenumber")},
+    **{f"{c}_near": f"l_{c}" for c in ("quantity", "extendedprice", "discount", "tax", "linenumber", "orderkey")},
+    **{f"{c}_squared": f"(l_{c} * l_{c})" for c in ("quantity", "discount", "tax", "linenumber", "suppkey", "partkey")},
+    "constant": "(l_linenumber * 0)",
+}
+
+
+def _wide_correlation_sql() -> str:
+    """Every pair of 18 columns; offsets are taken off exactly before the products."""
+    names = list(_WIDE_COLUMNS)
+    exact = ", ".join(
+        f"({e.replace('1e15', '1e15::double')}){' - 1e15::double' if '1e15' in e else ''}::double as {n}"
+        for n, e in _WIDE_COLUMNS.items()
+    )
+    undefined = ("constant",)
+    pairs = [(a, b) for a in names for b in names]
+    defined = [(a, b) for a, b in pairs if a < b and a not in undefined and b not in undefined]
+    found = ", ".join(f"round(corr({a}, {b}), 6) as r_{a}_{b}" for a, b in defined)
+
+    def value(a: str, b: str) -> str:
+        if a in undefined or b in undefined:
+            return "null::double"
+        return "1.0::double" if a == b else f"r_{min(a, b)}_{max(a, b)}"
+
+    rows = [
+        f"select '{a}' as column_a, '{b}' as column_b, {a in undefined or b in undefined} as undefined, "
+        f"{value(a, b)} as correlation from r"
+        for a, b in pairs
+    ]
+    return f"with t as (select {exact} from lineitem), r as materialized (select {found} from t) {_union_sql(rows)}"
+
+
+@_query("correlation_wide", _wide_correlation_sql())
+def _correlation_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem")
+    return _defined(fg.correlation_pairs(items.select(*[F.expr(e).alias(n) for n, e in _WIDE_COLUMNS.items()])))
+
+
 @_query(
     "correlation_null_column",
     _correlation_sql(
@@ -560,30 +603,39 @@ def _profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality -----------------------------------------------------------------
 
 
-def _finding_sql(check: str, severity: str, target: str, table: str, condition: str, message: str) -> str:
+def _finding_sql(
+    check: str, severity: str, target: str, table: str, condition: str, message: str, value: str | None = None
+) -> str:
+    """A finding; ``value`` are its examples: unexpected categories the smallest, others the first in the file."""
     quoted = message.replace("'", "''")
     target = target.replace("'", "''")
+    if check == "EXPECTED_CATEGORY":
+        listed = f"select distinct {value} as v, {value} as place from {table} where {condition} order by 1 limit 5"
+    else:
+        placed = f"select {value} as v, {condition} as bad, row_number() over () as place from {table}"
+        listed = f"select v, place from ({placed}) where bad order by place limit 5"
+    examples = f"(select string_agg(v::varchar, ';' order by place) from ({listed}))" if value else "null::varchar"
     return f"""select '{check}' as "check", '{severity}' as severity, '{target}' as target,
                       count(*) filter (where {condition}) as affected_rows,
                       round(count(*) filter (where {condition}) * 100.0 / count(*), 4)::double as affected_pct,
-                      '{quoted}' as message
+                      '{quoted}' as message, {examples} as examples
                from {table} having count(*) filter (where {condition}) > 0"""
 
 
-def _without_examples(findings: DataFrame) -> DataFrame:
-    return findings.drop("examples")
+def _joined_examples(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("examples", F.array_join("examples", ";"))
 
 
 @_query(
     "quality_non_negative",
     _finding_sql(
         "NON_NEGATIVE", "ERROR", "c_acctbal", "customer", "c_acctbal < 0",
-        "Negative values found in 'c_acctbal', which is configured as non-negative.",
+        "Negative values found in 'c_acctbal', which is configured as non-negative.", "c_acctbal",
     ),
 )
 def _quality_non_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer")
-    return _without_examples(fg.quality_findings(customers, non_negative_columns=["c_acctbal"]))
+    return _joined_examples(fg.quality_findings(customers, non_negative_columns=["c_acctbal"]))
 
 
 @_query(
@@ -597,7 +649,7 @@ def _quality_non_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _quality_datetime_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
     joined = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    return _without_examples(
+    return _joined_examples(
         fg.quality_findings(joined, datetime_order_pairs=[("o_orderdate", "l_shipdate")])
     )
 
@@ -606,12 +658,12 @@ def _quality_datetime_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     "quality_categories",
     _finding_sql(
         "EXPECTED_CATEGORY", "WARNING", "event_type", "events", "event_type not in ('click', 'view')",
-        "Unexpected categorical values found in 'event_type'.",
+        "Unexpected categorical values found in 'event_type'.", "event_type",
     ),
 )
 def _quality_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
-    return _without_examples(
+    return _joined_examples(
         fg.quality_findings(events, expected_categories={"event_type": ["click", "view"]})
     )
 
@@ -620,26 +672,61 @@ def _quality_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     "quality_long_category_list",
     _finding_sql(
         "EXPECTED_CATEGORY", "WARNING", "o_custkey", "orders", "o_custkey not between 0 and 1199",
-        "Unexpected categorical values found in 'o_custkey'.",
+        "Unexpected categorical values found in 'o_custkey'.", "o_custkey",
     ),
 )
 def _quality_long_category_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
-    return _without_examples(
+    return _joined_examples(
         fg.quality_findings(orders, expected_categories={"o_custkey": range(1200)})
     )
 
 
+_LISTED_DAYS = [date(1992, 6, 1) + timedelta(days=n) for n in range(1500)]
+
+
+def _list_finding_sql(column: str, condition: str) -> str:
+    text = f"Unexpected categorical values found in '{column}'."
+    return _finding_sql("EXPECTED_CATEGORY", "WARNING", column, "t", condition, text, column)
+
+
+@_query(
+    "quality_long_category_mixed_type",
+    f"""with t as (select o_orderdate::date as day, strftime(o_orderdate, '%Y-%m-%d') as day_text,
+                          o_custkey::double as customer from orders)
+        {_union_sql([
+            _list_finding_sql("day", f"day not between '{_LISTED_DAYS[0]}' and '{_LISTED_DAYS[-1]}'"),
+            _list_finding_sql("day_text", f"day_text not between '{_LISTED_DAYS[0]}' and '{_LISTED_DAYS[-1]}'"),
+            _list_finding_sql("customer", "customer > 900 and customer <> 1000"),
+        ])}""",
+)
+def _quality_long_category_mixed_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("day"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day_text"),
+        F.col("o_custkey").cast("double").alias("customer"),
+    )
+    findings = fg.quality_findings(
+        orders,
+        expected_categories={
+            "day": [d if d.day % 2 else str(d) for d in _LISTED_DAYS],
+            "day_text": [str(d) for d in _LISTED_DAYS],
+            "customer": [*range(901), 0.5, Decimal("1000.0")],
+        },
+    )
+    return _joined_examples(findings)
+
+
 @_query(
     "quality_maximum",
     _finding_sql(
         "MAXIMUM_VALUE", "WARNING", "l_quantity", "lineitem", "l_quantity > 45",
-        "Values in 'l_quantity' exceed the configured maximum of 45.",
+        "Values in 'l_quantity' exceed the configured maximum of 45.", "l_quantity",
     ),
 )
 def _quality_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _table(spark, sf_dir, "lineitem")
-    return _without_examples(fg.quality_findings(items, maximum_values={"l_quantity": 45}))
+    return _joined_examples(fg.quality_findings(items, maximum_values={"l_quantity": 45}))
 
 
 @_query(
@@ -647,13 +734,13 @@ def _quality_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     _finding_sql(
         "DATE_RANGE", "WARNING", "o_orderdate", "orders",
         "o_orderdate < timestamp '1993-01-01' or o_orderdate > timestamp '1997-12-31 23:59:59'",
-        "Dates in 'o_orderdate' fall outside the configured range.",
+        "Dates in 'o_orderdate' fall outside the configured range.", "o_orderdate",
     ),
 )
 def _quality_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     bounds = {"o_orderdate": ("1993-01-01", "1997-12-31 23:59:59")}
-    return _without_examples(fg.quality_findings(orders, date_ranges=bounds))
+    return _joined_examples(fg.quality_findings(orders, date_ranges=bounds))
 
 
 @_query(
@@ -662,25 +749,25 @@ def _quality_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         [
             _finding_sql(
                 "NON_NEGATIVE", "ERROR", "o_totalprice", "orders", "o_totalprice < 0",
-                "Negative values found in 'o_totalprice', which is configured as non-negative.",
+                "Negative values found in 'o_totalprice', which is configured as non-negative.", "o_totalprice",
             ),
             _finding_sql(
                 "EXPECTED_CATEGORY", "WARNING", "o_orderstatus", "orders", "o_orderstatus not in ('O', 'F')",
-                "Unexpected categorical values found in 'o_orderstatus'.",
+                "Unexpected categorical values found in 'o_orderstatus'.", "o_orderstatus",
             ),
             _finding_sql(
                 "MAXIMUM_VALUE", "WARNING", "o_totalprice", "orders", "o_totalprice > 400000",
-                "Values in 'o_totalprice' exceed the configured maximum of 400000.",
+                "Values in 'o_totalprice' exceed the configured maximum of 400000.", "o_totalprice",
             ),
             _finding_sql(
                 "DATE_RANGE", "WARNING", "o_orderdate", "orders", "o_orderdate < timestamp '1995-01-01'",
-                "Dates in 'o_orderdate' fall outside the configured range.",
+                "Dates in 'o_orderdate' fall outside the configured range.", "o_orderdate",
             ),
         ]
     ),
 )
 def _quality_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _without_examples(
+    return _joined_examples(
         fg.quality_findings(
             _table(spark, sf_dir, "orders"),
             non_negative_columns=["o_totalprice"],
@@ -1050,31 +1137,36 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "audit_rows",
-    """select 'aggregate' as operation, 'l_returnflag' as input_columns, 'l_quantity > 25' as filters,
-              'count(*) by l_returnflag' as calculation,
-              '{"l_returnflag":"' || l_returnflag || '","row_count":' || count(*) || '}' as result
+    """select 'aggregate' as operation, 'nightly' as run_id, 'l_returnflag' as input_columns,
+              'l_quantity > 25' as filters, 'count(*) by l_returnflag' as calculation,
+              '{"l_returnflag":"' || l_returnflag || '","row_count":' || count(*) || '}' as result,
+              'nulls kept' as warnings, 'source=lineitem' as metadata
        from lineitem where l_quantity > 25 group by l_returnflag""",
 )
 def _audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written twice, as after a retry, is there once."""
     items = _table(spark, sf_dir, "lineitem").where("l_quantity > 25")
     counted = fg.aggregate(items, group_by=["l_returnflag"], metric=None, agg="count")
     path = new_path(spark, "audit")
-    append_trace(
-        fg.with_trace(
-            counted,
-            operation="aggregate",
-            input_columns=["l_returnflag"],
-            filters=["l_quantity > 25"],
-            calculation="count(*) by l_returnflag",
-        ),
-        path,
+    traced = fg.with_trace(
+        counted,
+        operation="aggregate",
+        input_columns=["l_returnflag"],
+        filters=["l_quantity > 25"],
+        calculation="count(*) by l_returnflag",
+        warnings=["nulls kept"],
+        metadata={"source": "lineitem"},
     )
-    written = fg.query_dataset(
+    for _ in range(2):
+        append_trace(traced, path, run_id="nightly")
+    return fg.query_dataset(
         spark.read.parquet(path),
-        """select operation, array_join(input_columns, ',') as input_columns,
-                  array_join(filters, ',') as filters, calculation, result from {dataset}""",
+        """select operation, run_id, array_join(input_columns, ',') as input_columns,
+                  array_join(filters, ',') as filters, calculation, result,
+                  array_join(warnings, ',') as warnings,
+                  array_join(transform(map_entries(metadata), e -> concat(e.key, '=', e.value)), ',') as metadata
+           from {dataset}""",
     )
-    return written
 
 
 @_query(

@@ -94,11 +94,17 @@ def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
     pairs = [
         (i, j) for i in range(width) for j in range(i, width) if usable[i] and usable[j]
     ]
-    # A mean of large values is rounded; what is left of it is taken off the products.
-    products = one_row(df, [F.sum(around[i] * around[j]) for i, j in pairs])
     used = [i for i in range(width) if usable[i]]
-    rows, *rest = one_row(df, [F.count(F.lit(1)), *[F.sum(around[i]) for i in used]])
-    left = dict(zip(used, rest))
+    found = one_row(
+        df,
+        [
+            F.count(F.lit(1)),
+            *[F.sum(around[i]) for i in used],
+            *[F.sum(around[i] * around[j]) for i, j in pairs],
+        ],
+    )
+    # A mean of large values is rounded; what is left of it is taken off the products.
+    rows, left, products = found[0], dict(zip(used, found[1:])), found[1 + len(used) :]
     sums = {(i, j): p - left[i] * left[j] / rows for (i, j), p in zip(pairs, products)}
 
     def value(i: int, j: int) -> float:

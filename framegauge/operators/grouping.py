@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegauge.functions.aggregates import (
@@ -15,19 +15,28 @@ from framegauge.functions.aggregates import (
     require_aggregation,
     require_metric_type,
 )
-from framegauge.functions.quantiles import grouped_median, linear_quantiles, rankable_counts
+from framegauge.functions.quantiles import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    grouped_median,
+    linear_quantiles,
+    rankable_counts,
+)
 from framegauge.operators.distinct import ColumnValues
 from framegauge.schema import (
     MISSING_COLUMN,
     NUMERIC,
     col,
     data_type,
+    free_names,
     require,
     type_class,
 )
+from framegauge.storage import pinned
 
 _SUMMARY_OPERATIONS = [agg for agg in AGGREGATIONS if agg != "std"]
-_POSITION = "__first_position"
+# Bits of a position that number the row in its file; the rest number the file.
+_ROW_BITS = 40
 
 
 def aggregate(
@@ -37,12 +46,16 @@ def aggregate(
     metric: str | None,
     agg: str,
     preserve_order: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Aggregate ``metric`` per group, or over the whole dataset.
 
     The result has the key columns and one column named after the metric
     (``row_count`` without a metric).  ``preserve_order`` sorts the groups by
     first appearance in the source files; it needs a direct Parquet read.
+    ``position`` also names a column with the place of the first row: files are
+    numbered by path, rows within a file from 0, and a file's rows begin at 2^40
+    times its number.
     """
     keys = list(group_by or [])
     require(df, [*([metric] if metric is not None else []), *keys])
@@ -53,20 +66,15 @@ def aggregate(
         raise ValueError(f"Output column '{output}' is also a grouping column.")
     if not keys:
         return _global(df, metric, agg)
+    if position is not None and position in [*keys, output]:
+        raise ValueError(f"Pass another position; '{position}' is a column of the result.")
     if agg == "median":
         result = grouped_median(df, keys, metric)
-        return _by_first_appearance(df, result, keys) if preserve_order else result
-    grouped_on = [col(k) for k in keys]
-    expression = aggregate_column(df, metric, agg)
-    if not preserve_order:
-        return df.groupBy(*grouped_on).agg(expression)
-    return (
-        _with_position(df)
-        .groupBy(*grouped_on)
-        .agg(expression, F.min(_POSITION).alias(_POSITION))
-        .orderBy(_POSITION)
-        .drop(_POSITION)
-    )
+    else:
+        result = df.groupBy(*[col(k) for k in keys]).agg(aggregate_column(df, metric, agg))
+    if not preserve_order and position is None:
+        return result
+    return _by_first_appearance(df, result, keys, position)
 
 
 def _global(df: DataFrame, metric: str | None, agg: str) -> DataFrame:
@@ -90,21 +98,40 @@ def has_source_position(df: DataFrame) -> bool:
     return True
 
 
-def _with_position(df: DataFrame) -> DataFrame:
+def _by_first_appearance(
+    df: DataFrame, result: DataFrame, keys: Sequence[str], position: str | None
+) -> DataFrame:
+    """``result`` sorted by the first row of each group, all of it by hash aggregation.
+
+    The least row number of a group in each file is one bigint.  Only these few rows
+    meet the table of files.
+    """
     if not has_source_position(df):
         raise ValueError("First-appearance order needs a DataFrame read directly from Parquet.")
-    return df.select("*", source_position().alias(_POSITION))
-
-
-def _by_first_appearance(df: DataFrame, result: DataFrame, keys: Sequence[str]) -> DataFrame:
-    names = [f"k{i}" for i in range(len(keys))]
+    *names, first_row = free_names(df, *[f"k{i}" for i in range(len(keys))], "first")
+    in_files = (
+        df.groupBy(*[col(k).alias(n) for k, n in zip(keys, names)], F.col("_metadata.file_path").alias("path"))
+        .agg(F.min("_metadata.row_index").alias("row"))
+    )
     first = (
-        _with_position(df)
-        .groupBy(*[col(k).alias(n) for k, n in zip(keys, names)])
-        .agg(F.min(_POSITION).alias(_POSITION))
+        in_files.join(_numbered_files(df), "path")
+        .groupBy(*names)
+        .agg(F.min(F.shiftleft("file", _ROW_BITS) + F.col("row")).alias(first_row))
     )
     same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
-    return result.join(first, same).orderBy(_POSITION).select(*[col(c) for c in result.columns])
+    kept = [col(c) for c in result.columns]
+    place = [] if position is None else [F.col(first_row).alias(position)]
+    return result.join(first, same).orderBy(first_row).select(*kept, *place)
+
+
+def _numbered_files(df: DataFrame) -> DataFrame:
+    """``path, file``: one row for each file, numbered by path; sent around if it is small."""
+    paths = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+    # A row a file: what the driver that lists the files holds anyway.
+    files = pinned(paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("file")))
+    count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("path") + 16), F.lit(0))).first()
+    small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return F.broadcast(files) if small else files
 
 
 def top_groups(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Container, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +24,7 @@ from framegauge.functions.quantiles import (
     rankable_expressions,
 )
 from framegauge.operators.distinct import duplicate_row_count
-from framegauge.operators.grouping import has_source_position, source_position
+from framegauge.operators.grouping import has_source_position
 from framegauge.schema import MISSING_IN_RULE, col, data_type, numeric_columns, order_key, require
 
 # The texts of findings.
@@ -37,8 +38,6 @@ MISSING_WARNING = "Missing values detected in {} column(s)."
 DUPLICATE_WARNING = "{} duplicate row(s) detected."
 OUTLIER_WARNING = "Potential IQR outliers detected in {} numeric column(s)."
 
-# Longest list of allowed values that is written into the plan.
-_INLINE_VALUES = 1_000
 _MIN_VALUES_FOR_IQR = 4
 # Columns per pass where each needs only one or two cheap counts.
 _LIGHT_COLUMNS_PER_PASS = 24
@@ -184,13 +183,14 @@ def _outlying(column: str, q1: float, q3: float) -> Column:
 
 @dataclass
 class _Rule:
+    """A rule; ``broken`` is null where the values meet a list of ``allowed`` ones."""
+
     check: str
     severity: str
     target: str
     message: str
     broken: Column | None = None
     column: str | None = None
-    distinct_examples: bool = False
     allowed: list[Any] = field(default_factory=list)
 
 
@@ -216,11 +216,7 @@ def _rules(
         require(df, [c], MISSING_IN_RULE)
         allowed = [v for v in dict.fromkeys(values) if v is not None]
         text = CATEGORY_TEXT.format(c)
-        rule = _Rule("EXPECTED_CATEGORY", "WARNING", c, text, None, c, True, allowed)
-        if len(allowed) <= _INLINE_VALUES:
-            unexpected = ~col(c).isin(allowed) if allowed else F.lit(True)
-            rule.broken = col(c).isNotNull() & unexpected
-        rules.append(rule)
+        rules.append(_Rule("EXPECTED_CATEGORY", "WARNING", c, text, None, c, allowed))
     for c, maximum in (maximum_values or {}).items():
         require(df, [c], MISSING_IN_RULE)
         above = col(c) > F.lit(maximum)
@@ -272,7 +268,8 @@ def quality_findings(
     if not rules:
         return df.sparkSession.createDataFrame([], _FINDING_SCHEMA)
     total, *affected = one_row(df, [F.count(F.lit(1)), *_break_counts(rules)])
-    return _findings(df, rules, affected, total, example_limit)
+    found = _findings(df, rules, affected, total, example_limit)
+    return df.sparkSession.createDataFrame(found, _FINDING_SCHEMA)
 
 
 def _break_counts(rules: Sequence[_Rule]) -> list[Column]:
@@ -282,24 +279,22 @@ def _break_counts(rules: Sequence[_Rule]) -> list[Column]:
 
 def _findings(
     df: DataFrame, rules: Sequence[_Rule], affected: Sequence[int], total: int, example_limit: int
-) -> DataFrame:
+) -> list[tuple]:
     """Rows of the broken rules; ``affected`` are the values of :func:`_break_counts`."""
-    spark = df.sparkSession
-    listed = [r for r in rules if r.broken is not None]
-    broken_rows = {id(r): n for r, n in zip(listed, affected)}
-    for rule in rules:
-        if rule.broken is None:
-            counted = _unexpected_values(df, rule).agg(F.coalesce(F.sum("copies"), F.lit(0)))
-            broken_rows[id(rule)] = counted.first()[0]
-    failing = [r for r in rules if broken_rows[id(r)] > 0]
-    if not failing:
-        return spark.createDataFrame([], _FINDING_SCHEMA)
-    by_file = has_source_position(df)
-    found = [
-        _finding_row(df, i, r, broken_rows[id(r)], total, example_limit, by_file)
-        for i, r in enumerate(failing)
+    tested = [i for i, r in enumerate(rules) if r.broken is not None]
+    broken_rows = {i: n for i, n in zip(tested, affected) if n > 0}
+    examples: dict[int, list[str]] = {}
+    # At most ``example_limit`` values a rule, and a count for each list.
+    for row in _shown(df, rules, broken_rows, max(example_limit, 0)):
+        if row.number == 0:
+            broken_rows[row.rule] = row.copies
+        else:
+            examples.setdefault(row.rule, []).append(row.v)
+    return [
+        (r.check, r.severity, r.target, n, round(n / total * 100, 4), r.message, examples.get(i))
+        for i, r in enumerate(rules)
+        if (n := broken_rows.get(i, 0)) > 0
     ]
-    return reduce(DataFrame.unionAll, found)
 
 
 def quality_table(
@@ -343,11 +338,10 @@ def quality_table(
     entries += [entry("IQR_OUTLIERS", c, n, OUTLIER_WARNING.format(len(outliers))) for c, n in outliers.items()]
     cells = total * len(names)
     complete = round((1 - sum(nulls.values()) / cells) * 100, 2) if cells else 100.0
-    general = df.sparkSession.createDataFrame(entries, f"{_FINDING_SCHEMA}, warning string")
-    broken = _findings(df, checked, list(found), total, example_limit)
-    return general.unionAll(
-        broken.withColumn("warning", F.concat_ws(": ", "severity", "message"))
-    ).select(
+    for row in _findings(df, checked, list(found), total, example_limit):
+        entries.append((*row, f"{row[1]}: {row[5]}"))
+    report = df.sparkSession.createDataFrame(entries, f"{_FINDING_SCHEMA}, warning string")
+    return report.select(
         "*",
         F.lit(total).cast("bigint").alias("row_count"),
         F.lit(len(names)).alias("column_count"),
@@ -355,82 +349,120 @@ def quality_table(
     )
 
 
-def _finding_row(
-    df: DataFrame, place: int, rule: _Rule, affected: int, total: int, limit: int, by_file: bool
-) -> DataFrame:
-    if rule.column is None or limit <= 0:
-        examples = df.sparkSession.range(1).select(
-            F.lit(None).cast("array<string>").alias("examples")
-        )
-    else:
-        chosen = _examples(df, rule, limit, by_file)
-        examples = chosen.agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("place", F.col("v").cast("string").alias("v")))),
-                lambda e: e["v"],
-            ).alias("examples")
-        )
-    return examples.select(
-        F.lit(rule.check).alias("check"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.target).alias("target"),
-        F.lit(affected).cast("bigint").alias("affected_rows"),
-        F.lit(round(affected / total * 100, 4)).alias("affected_pct"),
-        F.lit(rule.message).alias("message"),
-        "examples",
-    )
-
+def _shown(df: DataFrame, rules: Sequence[_Rule], failing: Container[int], limit: int) -> list[Row]:
+    """``rule, number, v, copies`` in one query: number 0 has the count of rows outside a
+    list, the others are the first ``limit`` bad values of a rule in order.
 
-def _examples(df: DataFrame, rule: _Rule, limit: int, by_file: bool) -> DataFrame:
-    """At most ``limit`` bad values ``v`` with the ``place`` that orders them."""
-    value = col(rule.column)
-    ordered = order_key(value, data_type(df, rule.column))
-    if rule.broken is None:
-        bad = _unexpected_values(df, rule)
-    elif rule.distinct_examples:
-        bad = df.where(rule.broken).groupBy(value.alias("v")).count().withColumn("place", F.col("v"))
-    elif by_file:
-        bad = df.where(rule.broken).select(value.alias("v"), source_position().alias("place"))
-    else:
-        bad = df.where(rule.broken).select(value.alias("v"), ordered.alias("place"))
-    return bad.orderBy("place").limit(limit)
+    One scan makes a row of every bad value of the ``failing`` rules, with its place; each
+    task keeps ``limit`` rows a rule before the shuffle.
+    """
+    listed = {i: r for i, r in enumerate(rules) if r.broken is None}
+    tested = {i: r for i, r in enumerate(rules) if i in failing and r.column is not None} if limit else {}
+    by_file = bool(tested) and has_source_position(df)
+    # Values of different types are ordered in columns of their own.
+    types = {i: data_type(df, r.column) for i, r in (listed | tested).items()}
+
+    def entry(rule: int, value: Column, file: Column | None, row: Column | None) -> list[Column]:
+        nothing = F.lit(None)
+        return [
+            F.lit(rule).alias("rule"),
+            value.cast("string").alias("v"),
+            (nothing if file is None else file).cast("string").alias("file"),
+            (nothing if row is None else row).cast("bigint").alias("row"),
+            *[
+                (order_key(value, t) if i == rule and file is None else nothing.cast(_order_type(t))).alias(f"k{i}")
+                for i, t in types.items()
+            ],
+        ]
+
+    bad, totals = [], []
+    if tested:
+        position = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        file, row = position if by_file else (None, None)
+        entries = [F.when(r.broken, F.struct(*entry(i, col(r.column), file, row))) for i, r in tested.items()]
+        present = F.filter(F.array(*entries), lambda e: e.isNotNull())
+        bad.append(df.select(F.inline(present)))
+    for i, r in listed.items():
+        unexpected = _unexpected_values(df, r)
+        if limit:
+            bad.append(unexpected.select(*entry(i, F.col("v"), None, None)))
+        copies = unexpected.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"))
+        nothing = F.lit(None).cast("string").alias("v")
+        totals.append(copies.select(F.lit(i).alias("rule"), F.lit(0).alias("number"), nothing, "copies"))
+    if bad:
+        order = ["file", "row", *[f"k{i}" for i in types]]
+        number = F.row_number().over(Window.partitionBy("rule").orderBy(*order))
+        first = reduce(DataFrame.unionAll, bad).withColumn("number", number).where(F.col("number") <= limit)
+        totals.append(first.select("rule", "number", "v", F.lit(None).cast("bigint").alias("copies")))
+    found = reduce(DataFrame.unionAll, totals).collect() if totals else []
+    return sorted(found, key=lambda r: (r.rule, r.number))
+
+
+def _order_type(dtype: T.DataType) -> T.DataType:
+    """The type of :func:`order_key`."""
+    if not isinstance(dtype, T.MapType):
+        return dtype
+    entry = [T.StructField("key", dtype.keyType, False), T.StructField("value", dtype.valueType)]
+    return T.ArrayType(T.StructType(entry))
+
+
+# --- membership --------------------------------------------------------------
 
 
 def _unexpected_values(df: DataFrame, rule: _Rule) -> DataFrame:
-    """Values outside a long list, counted before they meet the list."""
-    dtype = data_type(df, rule.column)
+    """``v, copies`` of the values outside a list, counted before they meet the list.
+
+    Values are compared in the type in which Spark compares the column with the listed
+    values.  What has no form in it equals nothing.
+    """
     counted = (
         df.where(col(rule.column).isNotNull())
         .groupBy(col(rule.column).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    # One type for both sides, the one that a short list is compared in.
-    common = _common_type(df, rule)
-    allowed = df.sparkSession.createDataFrame(
-        [(v,) for v in rule.allowed], T.StructType([T.StructField("a", _value_type(rule, dtype))])
-    ).select(F.col("a").cast(common).alias("a"))
+    if not rule.allowed:
+        return counted
+    kinds: dict[str, list[Any]] = {}
+    for value in rule.allowed:
+        value = value.item() if hasattr(value, "item") else value
+        kinds.setdefault(_literal_kind(value), []).append(value)
+    typed = {_list_type(kind, values, data_type(df, rule.column)): values for kind, values in kinds.items()}
+    nothing = [F.lit(None).cast(kind) for kind in typed]
+    common = df.select(F.coalesce(col(rule.column), *nothing).alias("v")).schema["v"].dataType
+    parts = [
+        df.sparkSession.createDataFrame(
+            [(v,) for v in values], T.StructType([T.StructField("a", kind)])
+        ).select(F.col("a").try_cast(common).alias("a"))
+        for kind, values in typed.items()
+    ]
+    allowed = reduce(DataFrame.unionAll, parts)
     if len(rule.allowed) <= BROADCAST_ROWS and _value_bytes(rule) <= BROADCAST_BYTES:
         allowed = F.broadcast(allowed)
-    same = counted["v"].cast(common) == allowed["a"]
-    return counted.join(allowed, same, "left_anti").select("v", "copies", F.col("v").alias("place"))
+    return counted.join(allowed, F.col("v").try_cast(common) == F.col("a"), "left_anti")
 
 
 def _value_bytes(rule: _Rule) -> int:
     return sum(len(str(v).encode()) + 16 for v in rule.allowed)
 
 
-def _value_type(rule: _Rule, dtype: T.DataType) -> T.DataType:
-    """The type of the list itself; the column's where the values are not plain numbers."""
-    kinds = {type(v) for v in rule.allowed}
-    if kinds == {int}:
-        return T.LongType() if all(abs(v) < 1 << 63 for v in rule.allowed) else dtype
-    if kinds <= {int, float} and kinds:
-        rule.allowed = [float(v) for v in rule.allowed]
-        return T.DoubleType()
-    return dtype
-
-
-def _common_type(df: DataFrame, rule: _Rule) -> T.DataType:
-    """What Spark compares the column with a value of the list in."""
-    value = F.lit(None).cast(_value_type(rule, data_type(df, rule.column)))
-    return df.select(F.coalesce(col(rule.column), value).alias("v")).schema["v"].dataType
+def _literal_kind(value: Any) -> str:
+    for kind in (bool, int, float, str, Decimal, datetime, date):
+        if isinstance(value, kind):
+            return kind.__name__
+    return "other"
+
+
+def _list_type(kind: str, values: Sequence[Any], dtype: T.DataType) -> T.DataType:
+    """The Spark type of listed values of one Python type."""
+    if kind == "int":
+        widest = max(v if v >= 0 else ~v for v in values)
+        return T.IntegerType() if widest < 1 << 31 else T.LongType() if widest < 1 << 63 else T.DecimalType(38, 0)
+    if kind == "Decimal":
+        scale = max(max(-v.as_tuple().exponent, 0) if v.is_finite() else 0 for v in values)
+        whole = max(v.adjusted() + 1 if v.is_finite() else 0 for v in values)
+        return T.DecimalType(min(max(whole, 0) + scale or 1, 38), min(scale, 38))
+    types = {
+        "bool": T.BooleanType(), "float": T.DoubleType(), "str": T.StringType(),
+        "datetime": T.TimestampType(), "date": T.DateType(),
+    }
+    return types.get(kind, dtype)

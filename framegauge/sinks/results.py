@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,9 +39,23 @@ def with_trace(
     )
 
 
-def append_trace(traced: DataFrame, path: str) -> None:
-    """Append traced rows to a Parquet table partitioned by operation."""
-    traced.write.mode("append").partitionBy("operation").parquet(path)
+def append_trace(traced: DataFrame, path: str, *, run_id: str | None = None) -> None:
+    """Append traced rows to a Parquet table partitioned by operation and run.
+
+    Rows of one operation and ``run_id`` replace those that an earlier attempt of the same
+    run left there; nothing else is touched.  Without ``run_id`` every call is a run of its
+    own.  An attempt without rows leaves what is there.
+    """
+    run = str(uuid.uuid4()) if run_id is None else run_id
+    if not run:
+        raise ValueError("A run id must not be empty.")
+    (
+        traced.withColumn("run_id", F.lit(run))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("operation", "run_id")
+        .parquet(path)
+    )
 
 
 def json_row(df: DataFrame) -> Column:

@@ -102,6 +102,20 @@ def test_first_appearance_order(spark, tmp_path):
         )
 
 
+def test_first_appearance_over_files(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    for name, keys in (("b", ["x", "y", None]), ("a", ["y", "w"])):
+        spark.createDataFrame([(k, 1.0) for k in keys], "k string, v double").coalesce(1).write.parquet(f"{path}/f={name}")
+    df = spark.read.parquet(path)
+    for agg in ("sum", "median", "min"):
+        ordered = fg.aggregate(df, group_by=["k"], metric="v", agg=agg, position="at")
+        plan = ordered._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+        assert [(r.k, r["at"]) for r in ordered.collect()] == [("y", 0), ("w", 1), ("x", 1 << 40), (None, (1 << 40) + 2)]
+    with pytest.raises(ValueError, match="position"):
+        fg.aggregate(df, group_by=["k"], metric="v", agg="sum", position="v")
+
+
 def test_grouped_summary(sales, spark):
     summary = fg.grouped_summary(sales, "region", "sales", "sum")
     assert [tuple(r) for r in summary.collect()] == [("East", 30.0), ("West", 70.0)]

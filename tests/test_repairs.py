@@ -1,5 +1,7 @@
 """Answers that must not depend on size, and requests that keep what they say."""
 
+from datetime import date, timedelta
+from decimal import Decimal
 from types import SimpleNamespace
 
 import pytest
@@ -25,6 +27,38 @@ def test_long_category_lists_take_the_types_that_short_ones_take(spark, kind, ex
         assert [r.affected_rows for r in found] == [1] and float(found[0].examples[0]) == -9
 
 
+@pytest.mark.parametrize("count", [3, 1_500])
+def test_lists_of_dates_may_mix_dates_and_texts(spark, count):
+    days = [date(2025, 1, 1) + timedelta(days=n) for n in range(count)]
+    mixed = [d if d.day % 2 else str(d) for d in days]
+    df = spark.createDataFrame([(days[0],), (days[1],), (days[-1],), (date(1999, 1, 1),), (None,)], "d date")
+    for listed in (days, [str(d) for d in days], [*mixed, "no date", None]):
+        (found,) = fg.quality_findings(df, expected_categories={"d": listed}).collect()
+        assert (found.affected_rows, found.examples) == (1, ["1999-01-01"])
+
+
+def test_lists_of_other_types(spark):
+    df = spark.createDataFrame([("1", True, Decimal("2.50")), ("x", False, Decimal("3.00"))], "s string, b boolean, d decimal(9,2)")
+    found = fg.quality_findings(
+        df, expected_categories={"s": [1, 7], "b": [True], "d": [Decimal("2.5"), 7]}
+    ).collect()
+    assert [(r.target, r.affected_rows, r.examples) for r in found] == [
+        ("s", 1, ["x"]), ("b", 1, ["false"]), ("d", 1, ["3.00"]),
+    ]
+
+
+def test_examples_of_many_rules_keep_their_types_apart(spark):
+    df = spark.createDataFrame([(n, float(-n), f"t{n % 3}") for n in range(1, 9)], "a int, b double, c string")
+    found = fg.quality_findings(
+        df, non_negative_columns=["b"], maximum_values={"a": 5}, expected_categories={"c": ["t0"]}, example_limit=2
+    ).collect()
+    assert [(r.check, r.affected_rows, r.examples) for r in found] == [
+        ("NON_NEGATIVE", 8, ["-8.0", "-7.0"]),
+        ("EXPECTED_CATEGORY", 6, ["t1", "t2"]),
+        ("MAXIMUM_VALUE", 3, ["6", "7"]),
+    ]
+
+
 def test_wide_correlation_is_the_narrow_one(spark):
     big = F.lit(1.7e15)
     df = spark.range(500).select(
@@ -54,19 +88,25 @@ def test_clusters_need_a_shared_folder():
         storage.shared_dir(session)
 
 
-def test_quality_report_takes_few_jobs(spark, sf_dir):
+def test_jobs_of_a_quality_report_do_not_grow_with_its_rules(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    spark.sparkContext.setJobGroup("quality-report", "one report")
-    try:
-        fg.quality_table(
-            items,
-            non_negative_columns=["l_tax"],
-            maximum_values={"l_quantity": 45},
-            expected_categories={"l_returnflag": ["N"]},
-        ).collect()
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("quality-report")) <= 13
+
+    def jobs(name, **rules):
+        spark.sparkContext.setJobGroup(name, "one report")
+        try:
+            fg.quality_table(items, expected_categories={"l_returnflag": ["N"]}, **rules).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    few = jobs("few-rules", maximum_values={"l_quantity": 45})
+    many = jobs(
+        "many-rules",
+        non_negative_columns=["l_tax"],
+        maximum_values={"l_quantity": 45, "l_tax": 0.01, "l_discount": 0.01, "l_linenumber": 2},
+        date_ranges={"l_shipdate": ("1995-01-01", "1996-01-01")},
+    )
+    assert many <= few <= 17
 
 
 def test_profile_requests_carry_totals(spark):

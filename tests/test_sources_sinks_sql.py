@@ -61,6 +61,28 @@ def test_traces_of_two_operations_share_a_table(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first()["k"] == "a"
 
 
+def test_a_repeated_run_leaves_no_second_copy(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    path = str(tmp_path / "audit")
+    traced = fg.with_trace(df, operation="sums", warnings=["w"], metadata={"rows": 2})
+    fg.append_trace(traced, path, run_id="monday")
+    fg.append_trace(fg.with_trace(df, operation="other"), path, run_id="monday")
+    fg.append_trace(traced, path, run_id="tuesday")
+    fg.append_trace(traced, path, run_id="monday")
+    rows = [(r.operation, r.run_id, r.result, r.warnings, r.metadata) for r in spark.read.parquet(path).collect()]
+    results = ['{"k":"a","n":1}', '{"k":"b","n":2}']
+    assert sorted(rows, key=str) == sorted(
+        [("sums", day, r, ["w"], {"rows": "2"}) for day in ("monday", "tuesday") for r in results]
+        + [("other", "monday", r, [], {}) for r in results],
+        key=str,
+    )
+    fg.append_trace(traced, path)
+    fg.append_trace(traced, path)
+    assert spark.read.parquet(path).count() == 10
+    with pytest.raises(ValueError, match="run id"):
+        fg.append_trace(traced, path, run_id="")
+
+
 @pytest.fixture
 def regions(spark):
     return spark.createDataFrame([(0, "AFRICA"), (1, "ASIA")], "id int, name string")
