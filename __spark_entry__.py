@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import framegauge as fg
@@ -1135,6 +1135,28 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fg.load_dataset(spark, path)
 
 
+@_query(
+    "csv_first_appearance",
+    """with t as (select *, row_number() over () - 1 as place from lineitem)
+       select l_shipdate, l_quantity, row_number() over (order by place) as appearance
+       from (select l_shipdate, max(l_quantity) as l_quantity, min(place) as place from t group by 1)""",
+)
+def _csv_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in the order in which the files show them; as many rows as the calendar has days."""
+    path = new_path(spark, "lineitem") + ".csv"
+    items = _table(spark, sf_dir, "lineitem")
+    items.write.csv(path, header=True, escape='"')
+    first = fg.aggregate(
+        fg.load_dataset(spark, path, schema=items.schema),
+        group_by=["l_shipdate"],
+        metric="l_quantity",
+        agg="max",
+        position="first_row",
+    )
+    appearance = F.row_number().over(Window.orderBy("first_row"))
+    return first.select("l_shipdate", "l_quantity", appearance.alias("appearance"))
+
+
 @_query(
     "audit_rows",
     """select 'aggregate' as operation, 'nightly' as run_id, 'l_returnflag' as input_columns,

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.quantiles import one_row
@@ -19,6 +19,8 @@ from framegauge.schema import col, select_numeric
 
 # Up to this width the matrix is summed pair by pair.
 _PAIRWISE_COLUMNS = 16
+# A sum of squares that keeps this share of itself when moved has lost three digits at most.
+_KEPT_SHARE = 1e-3
 
 
 def correlation(
@@ -86,26 +88,17 @@ def _usable(df: DataFrame, chosen: Sequence[str]) -> tuple[list[bool], list[floa
 
 
 def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
-    """Means first, then sums of products around them: exact and cheap per row."""
-    width = len(chosen)
+    """Sums of products around one row's values, moved to the means afterwards.
+
+    One scan as a rule.  Where that row lies so far out that moving would cost digits,
+    the sums are taken again around the means, which are known by then.
+    """
     values = [col(c).cast("double") for c in chosen]
-    usable, means = _usable(df, chosen)
-    around = [v - F.lit(m) for v, m in zip(values, means)]
-    pairs = [
-        (i, j) for i in range(width) for j in range(i, width) if usable[i] and usable[j]
-    ]
-    used = [i for i in range(width) if usable[i]]
-    found = one_row(
-        df,
-        [
-            F.count(F.lit(1)),
-            *[F.sum(around[i]) for i in used],
-            *[F.sum(around[i] * around[j]) for i, j in pairs],
-        ],
-    )
-    # A mean of large values is rounded; what is left of it is taken off the products.
-    rows, left, products = found[0], dict(zip(used, found[1:])), found[1 + len(used) :]
-    sums = {(i, j): p - left[i] * left[j] / rows for (i, j), p in zip(pairs, products)}
+    row = df.select(*values).first()
+    origin = [v if v is not None and math.isfinite(v) else 0.0 for v in row or [0.0] * len(chosen)]
+    sums, means, exact = _moved_sums(df, values, origin)
+    if not exact:
+        sums, _, _ = _moved_sums(df, values, means)
 
     def value(i: int, j: int) -> float:
         if (i, j) not in sums:
@@ -115,7 +108,38 @@ def _pairwise_entries(df: DataFrame, chosen: Sequence[str]) -> DataFrame:
         ratio = sums[i, j] / math.sqrt(sums[i, i]) / math.sqrt(sums[j, j])
         return min(max(ratio, -1.0), 1.0)
 
-    return _literal_row(df, width, value)
+    return _literal_row(df, len(chosen), value)
+
+
+def _moved_sums(
+    df: DataFrame, values: Sequence[Column], origin: Sequence[float]
+) -> tuple[dict[tuple[int, int], float], list[float], bool]:
+    """Sums of products around the means for pairs of usable columns, the means, and
+    whether moving the sums from ``origin`` to the means kept their digits."""
+    width = len(values)
+    around = [v - F.lit(o) for v, o in zip(values, origin)]
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    found = one_row(
+        df,
+        [
+            F.count(F.lit(1)),
+            *[m for v in values for m in (F.count(v), F.min(v) < F.max(v))],
+            *[F.sum(a) for a in around],
+            *[F.sum(around[i] * around[j]) for i, j in pairs],
+        ],
+    )
+    rows, states, left = found[0], found[1 : 1 + 2 * width], found[1 + 2 * width : 1 + 3 * width]
+    products = dict(zip(pairs, found[1 + 3 * width :]))
+    means = [o + s / rows if rows and s is not None and math.isfinite(s) else 0.0 for o, s in zip(origin, left)]
+    used = {
+        i
+        for i, (count, varies) in enumerate(zip(states[0::2], states[1::2]))
+        if rows and count == rows and varies and math.isfinite(left[i])
+    }
+    sums = {
+        (i, j): products[i, j] - left[i] * left[j] / rows for i, j in pairs if i in used and j in used
+    }
+    return sums, means, all(sums[i, i] > _KEPT_SHARE * products[i, i] for i in used)
 
 
 def _literal_row(df: DataFrame, width: int, value: Callable[[int, int], float]) -> DataFrame:

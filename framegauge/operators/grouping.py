@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegauge.functions.aggregates import (
@@ -32,6 +31,7 @@ from framegauge.schema import (
     require,
     type_class,
 )
+from framegauge.sources.positions import first_rows, has_row_index
 from framegauge.storage import pinned
 
 _SUMMARY_OPERATIONS = [agg for agg in AGGREGATIONS if agg != "std"]
@@ -52,7 +52,7 @@ def aggregate(
 
     The result has the key columns and one column named after the metric
     (``row_count`` without a metric).  ``preserve_order`` sorts the groups by
-    first appearance in the source files; it needs a direct Parquet read.
+    first appearance in the source files; it needs a direct read of Parquet or CSV.
     ``position`` also names a column with the place of the first row: files are
     numbered by path, rows within a file from 0, and a file's rows begin at 2^40
     times its number.
@@ -85,19 +85,6 @@ def _global(df: DataFrame, metric: str | None, agg: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(median).cast("double").alias(metric))
 
 
-def source_position() -> Column:
-    """Place of a row in the source files, where the reader exposes it."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-
-
-def has_source_position(df: DataFrame) -> bool:
-    try:
-        df.select(source_position())
-    except AnalysisException:
-        return False
-    return True
-
-
 def _by_first_appearance(
     df: DataFrame, result: DataFrame, keys: Sequence[str], position: str | None
 ) -> DataFrame:
@@ -106,15 +93,11 @@ def _by_first_appearance(
     The least row number of a group in each file is one bigint.  Only these few rows
     meet the table of files.
     """
-    if not has_source_position(df):
-        raise ValueError("First-appearance order needs a DataFrame read directly from Parquet.")
     *names, first_row = free_names(df, *[f"k{i}" for i in range(len(keys))], "first")
-    in_files = (
-        df.groupBy(*[col(k).alias(n) for k, n in zip(keys, names)], F.col("_metadata.file_path").alias("path"))
-        .agg(F.min("_metadata.row_index").alias("row"))
-    )
+    in_files = first_rows(df, [col(k) for k in keys], names)
+    paths = df.select(F.col("_metadata.file_path").alias("path")) if has_row_index(df) else in_files.select("path")
     first = (
-        in_files.join(_numbered_files(df), "path")
+        in_files.join(_numbered_files(paths), "path")
         .groupBy(*names)
         .agg(F.min(F.shiftleft("file", _ROW_BITS) + F.col("row")).alias(first_row))
     )
@@ -124,11 +107,11 @@ def _by_first_appearance(
     return result.join(first, same).orderBy(first_row).select(*kept, *place)
 
 
-def _numbered_files(df: DataFrame) -> DataFrame:
+def _numbered_files(paths: DataFrame) -> DataFrame:
     """``path, file``: one row for each file, numbered by path; sent around if it is small."""
-    paths = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+    number = F.row_number().over(Window.orderBy("path")) - 1
     # A row a file: what the driver that lists the files holds anyway.
-    files = pinned(paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("file")))
+    files = pinned(paths.distinct().select("path", number.cast("bigint").alias("file")))
     count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("path") + 16), F.lit(0))).first()
     small = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return F.broadcast(files) if small else files

@@ -24,8 +24,8 @@ from framegauge.functions.quantiles import (
     rankable_expressions,
 )
 from framegauge.operators.distinct import duplicate_row_count
-from framegauge.operators.grouping import has_source_position
 from framegauge.schema import MISSING_IN_RULE, col, data_type, numeric_columns, order_key, require
+from framegauge.sources.positions import with_place
 
 # The texts of findings.
 NEGATIVE_TEXT = "Negative values found in '{}', which is configured as non-negative."
@@ -254,7 +254,7 @@ def quality_findings(
     """One row per broken rule, with a few of the offending values as text.
 
     All rules share one pass.  Examples are the first bad values in file order
-    where the source tells it (a direct Parquet read), else the smallest ones;
+    where the source tells it (a direct read of Parquet or CSV), else the smallest ones;
     unexpected categories are listed once each.
     """
     rules = _rules(
@@ -358,7 +358,7 @@ def _shown(df: DataFrame, rules: Sequence[_Rule], failing: Container[int], limit
     """
     listed = {i: r for i, r in enumerate(rules) if r.broken is None}
     tested = {i: r for i, r in enumerate(rules) if i in failing and r.column is not None} if limit else {}
-    by_file = bool(tested) and has_source_position(df)
+    placed = with_place(df) if tested else None
     # Values of different types are ordered in columns of their own.
     types = {i: data_type(df, r.column) for i, r in (listed | tested).items()}
 
@@ -377,11 +377,10 @@ def _shown(df: DataFrame, rules: Sequence[_Rule], failing: Container[int], limit
 
     bad, totals = [], []
     if tested:
-        position = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-        file, row = position if by_file else (None, None)
+        scanned, file, row = (placed[0], F.col(placed[1]), F.col(placed[2])) if placed else (df, None, None)
         entries = [F.when(r.broken, F.struct(*entry(i, col(r.column), file, row))) for i, r in tested.items()]
         present = F.filter(F.array(*entries), lambda e: e.isNotNull())
-        bad.append(df.select(F.inline(present)))
+        bad.append(scanned.select(F.inline(present)))
     for i, r in listed.items():
         unexpected = _unexpected_values(df, r)
         if limit:
