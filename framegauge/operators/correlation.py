@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.quantiles import one_row
+from framegauge.names import exact_names
 from framegauge.schema import col, select_numeric
 
 # Up to this width the matrix is summed pair by pair.
@@ -23,6 +24,7 @@ _PAIRWISE_COLUMNS = 16
 _KEPT_SHARE = 1e-3
 
 
+@exact_names("columns", texts=["column"])
 def correlation(
     df: DataFrame, columns: Sequence[str] | None = None, *, label: str = "column"
 ) -> DataFrame:
@@ -41,6 +43,7 @@ def correlation(
     return _entries(df, chosen).select(F.inline(F.array(*rows)))
 
 
+@exact_names("columns", texts=["column_a", "column_b"])
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The same numbers as rows ``column_a, column_b, correlation``."""
     chosen = select_numeric(df, columns, "Correlation requires")

@@ -17,6 +17,7 @@ from framegauge.functions.quantiles import (
     one_row_per_column,
     valid_value,
 )
+from framegauge.names import exact_names
 from framegauge.operators.distinct import distinct_counts
 from framegauge.schema import (
     MISSING_COLUMN,
@@ -35,6 +36,7 @@ _SCHEMA = (
 )
 
 
+@exact_names("columns", texts=["column"])
 def describe(
     df: DataFrame, columns: Sequence[str] | None = None, *, held_values: int = HELD_VALUES
 ) -> DataFrame:
@@ -61,6 +63,7 @@ def describe(
     )
 
 
+@exact_names("column", texts=["column"])
 def describe_numeric(df: DataFrame, column: str, *, held_values: int = HELD_VALUES) -> DataFrame:
     """The short form for one column; an empty column keeps only ``count``."""
     require(df, [column], MISSING_COLUMN, KeyError)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framegauge.names import exact_names
 from framegauge.schema import col, order_key
 from framegauge.storage import pinned
 
@@ -79,6 +80,7 @@ class ColumnValues:
         return top.unionByName(singles).orderBy(*order).limit(limit)
 
 
+@exact_names("columns", texts=["column"])
 def distinct_counts(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -101,6 +103,7 @@ def distinct_counts(
     return reduce(DataFrame.unionAll, branches)
 
 
+@exact_names()
 def duplicate_row_count(
     df: DataFrame, *, direct_rows: int = DIRECT_ROWS, rows: int | None = None
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from framegauge.functions.quantiles import (
     linear_quantiles,
     rankable_counts,
 )
+from framegauge.names import exact_names
 from framegauge.operators.distinct import ColumnValues
 from framegauge.schema import (
     MISSING_COLUMN,
@@ -39,6 +40,7 @@ _SUMMARY_OPERATIONS = [agg for agg in AGGREGATIONS if agg != "std"]
 _ROW_BITS = 40
 
 
+@exact_names("group_by", "metric")
 def aggregate(
     df: DataFrame,
     *,
@@ -117,6 +119,7 @@ def _numbered_files(paths: DataFrame) -> DataFrame:
     return F.broadcast(files) if small else files
 
 
+@exact_names("group_by", "metric")
 def top_groups(
     df: DataFrame,
     *,
@@ -143,6 +146,7 @@ def ranked(
     return result if limit is None else result.limit(limit)
 
 
+@exact_names("group_by", "metric")
 def grouped_summary(
     df: DataFrame, group_by: str, metric: str, operation: str = "mean"
 ) -> DataFrame:
@@ -168,6 +172,7 @@ def grouped_summary(
     return summary.orderBy(col(group_by).asc_nulls_first())
 
 
+@exact_names("column")
 def value_counts(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
     """The most frequent values, null included; ties go by value, nulls first."""
     require(df, [column], MISSING_COLUMN, KeyError)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from framegauge.functions.aggregates import largest, smallest
 from framegauge.functions.quantiles import HELD_VALUES
+from framegauge.names import exact_names
 from framegauge.operators.describe import quantile_rows
 from framegauge.operators.distinct import DIRECT_ROWS, ColumnValues, duplicate_row_count
 from framegauge.schema import NUMERIC, OTHER, TEMPORAL, col, columns_of, data_type, type_class
@@ -17,6 +18,7 @@ from framegauge.schema import NUMERIC, OTHER, TEMPORAL, col, columns_of, data_ty
 TOP_VALUES = 5
 
 
+@exact_names(texts=["name"])
 def profile_columns(
     df: DataFrame, *, held_values: int = HELD_VALUES, direct_rows: int = DIRECT_ROWS
 ) -> DataFrame:
@@ -107,6 +109,7 @@ def _column_row(df: DataFrame, name: str) -> list[Column]:
     ]
 
 
+@exact_names(texts=["name"])
 def profile_table(df: DataFrame) -> DataFrame:
     """:func:`profile_columns` with the totals of :func:`profile_summary` on every row."""
     totals = profile_summary(df).first()

@@ -23,6 +23,7 @@ from framegauge.functions.quantiles import (
     rankable_counts,
     rankable_expressions,
 )
+from framegauge.names import exact_names
 from framegauge.operators.distinct import duplicate_row_count
 from framegauge.schema import MISSING_IN_RULE, col, data_type, numeric_columns, order_key, require
 from framegauge.sources.positions import with_place
@@ -50,6 +51,7 @@ _FINDING_SCHEMA = (
 # --- statistical checks ------------------------------------------------------
 
 
+@exact_names(texts=["column"])
 def null_counts(df: DataFrame, *, only_missing: bool = False) -> DataFrame:
     """``column, row_count, null_count, null_pct`` for every column, in one pass."""
     rows = F.count(F.lit(1))
@@ -68,6 +70,7 @@ def null_counts(df: DataFrame, *, only_missing: bool = False) -> DataFrame:
     return counted.where("null_count > 0") if only_missing else counted
 
 
+@exact_names()
 def completeness(df: DataFrame) -> DataFrame:
     """``row_count, column_count, null_cells, completeness_pct`` in one row."""
     width = len(df.columns)
@@ -83,6 +86,7 @@ def completeness(df: DataFrame) -> DataFrame:
     )
 
 
+@exact_names(texts=["target"])
 def quality_checks(df: DataFrame, *, held_values: int = HELD_VALUES) -> DataFrame:
     """The checks that need no rules, as ``check, target, affected_rows, affected_pct``.
 
@@ -133,6 +137,7 @@ def _usable_quartiles(
     return {c: (q1, q3) for c, (q1, q3) in found.items() if q3 - q1 != 0}
 
 
+@exact_names("columns", texts=["column"])
 def iqr_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -241,6 +246,10 @@ def _comparable(df: DataFrame, column: str, bound: Any) -> tuple[Column, Column]
     return value, F.lit(bound).cast(dtype)
 
 
+@exact_names(
+    "non_negative_columns", "datetime_order_pairs", "expected_categories", "maximum_values", "date_ranges",
+    texts=["target", "message"],
+)
 def quality_findings(
     df: DataFrame,
     *,
@@ -297,6 +306,7 @@ def _findings(
     ]
 
 
+@exact_names("rules", texts=["target", "message", "warning"])
 def quality_table(
     df: DataFrame, *, example_limit: int = 5, held_values: int = HELD_VALUES, **rules: Any
 ) -> DataFrame:

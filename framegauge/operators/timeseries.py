@@ -11,9 +11,11 @@ from framegauge.functions.aggregates import (
 )
 from framegauge.functions.buckets import bucket_start, parse_frequency, required
 from framegauge.functions.quantiles import grouped_median
+from framegauge.names import exact_names
 from framegauge.schema import TEMPORAL, col, data_type, require, type_class
 
 
+@exact_names("datetime_column", "metric")
 def time_series(
     df: DataFrame,
     *,
