@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from framegauge.llm.chunks import ChunkEncoder, encode_texts, split_before_spaces
 from framegauge.llm.workers import slices, worker_state
 
-MAX_STATES = 80_000
+MAX_STATES = 160_000
 MAX_PAIRS = 400_000
 _NONE = -1
 
@@ -52,17 +52,20 @@ class BpeTransducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self._ranks, self._max_states = ranks, max_states
         self._bytes = {rank: token for token, rank in ranks.items()}
-        self._children: list[dict[int, int]] = [{}]
+        # The trie of token bytes: one table by (node, byte), the token that ends at a
+        # node, and whether the node goes on.
+        self._children: dict[int, int] = {}
         self._ends: list[int] = [_NONE]
+        self._goes_on = bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                following = self._children[node].get(byte)
+                following = self._children.get(node << 8 | byte)
                 if following is None:
-                    following = len(self._children)
-                    self._children[node][byte] = following
-                    self._children.append({})
+                    following = self._children[node << 8 | byte] = len(self._ends)
+                    self._goes_on[node] = 1
                     self._ends.append(_NONE)
+                    self._goes_on.append(0)
                 node = following
             self._ends[node] = rank
         self._pairs: dict[int, bool] = {}
@@ -119,7 +122,7 @@ class BpeTransducer:
 
     def _may_follow(self, last: int, token: int) -> bool:
         """Whether no merge crosses the border between the two tokens."""
-        key = (last + 1) * 0x100000000 + token
+        key = (last + 1) << 32 | token
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) > MAX_PAIRS:
@@ -149,15 +152,17 @@ class BpeTransducer:
         # Places stand in the order in which their unfinished tokens began, so equal
         # sets of places are equal tuples.
         places, ended = [], None
+        child, ends, goes_on, pairs = self._children.get, self._ends, self._goes_on, self._pairs
         for last, node, waiting in self._states[state]:
-            node = self._children[node].get(byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
-            if self._children[node]:
+            if goes_on[node]:
                 places.append((last, node, waiting))
-            token = self._ends[node]
-            if token != _NONE and ended is None and self._may_follow(last, token):
-                ended = (token, 0, (*waiting, token))
+            if ended is None and (token := ends[node]) != _NONE:
+                follows = pairs.get((last + 1) << 32 | token)
+                if follows or (follows is None and self._may_follow(last, token)):
+                    ended = (token, 0, (*waiting, token))
         places.append(ended)
         emitted = places[0][2]
         if emitted:
@@ -293,9 +298,38 @@ def decode_documents(
 ) -> DataFrame:
     """``id``, ``n_tokens``, digests of the ids and of the decoded bytes, and the text."""
     kind = encoded.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     decode = partial(_decode_batches, ranks_path=ranks_path, pattern=pattern, with_text=with_text)
-    return encoded.select("id", "ids").mapInArrow(decode, schema + ", text string" * with_text)
+    return encoded.select("id", "ids").mapInArrow(decode, _decoded_schema(kind, with_text))
+
+
+def round_trip(
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    with_text: bool = False,
+) -> DataFrame:
+    """:func:`decode_documents` of :func:`encode_documents`, by one worker for each task.
+
+    Two Python steps in one stage would run in two processes a task, each of which
+    builds the transducer and meets the words anew.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    both = partial(_round_trip_batches, ranks_path=ranks_path, pattern=pattern, with_text=with_text)
+    return rows.mapInArrow(both, _decoded_schema(kind, with_text))
+
+
+def _decoded_schema(kind: str, with_text: bool) -> str:
+    fixed = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return fixed + ", text string" * with_text
+
+
+def _round_trip_batches(
+    batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, with_text: bool
+) -> Iterator[pa.RecordBatch]:
+    return _decode_batches(_encode_batches(batches, ranks_path, pattern), ranks_path, pattern, with_text)
 
 
 def _decode_batches(

@@ -201,8 +201,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents with the transducer, then decode the ids."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_documents(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode_documents(encoded, ranks, public_tokenizers.PATTERN, with_text=False)
+    decoded = bpe.round_trip(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
     return decoded.withColumnRenamed("id", "doc_id")
 
 

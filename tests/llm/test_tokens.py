@@ -144,6 +144,22 @@ def test_bpe_documents(spark, odd, ranks):
         assert row.ids_sha256 == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_documents(odd.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
+    together = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN, with_text=True)
+    assert sorted(map(str, together.collect())) == sorted(map(str, decoded.collect()))
+    assert bpe.round_trip(odd.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_query_on_all_documents(spark, sf_dir, ranks):
+    encoding = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    found = {r.doc_id: r for r in catalogue.QUERIES["op7_bpe"](spark, sf_dir).collect()}
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(found) == len(documents)
+    for document in documents:
+        ids, row = encoding.encode_ordinary(document.text or ""), found[document.doc_id]
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest())
+        assert row.decoded_sha256 == hashlib.sha256((document.text or "").encode()).hexdigest()
 
 
 def _check_packing(rows, capacity):
