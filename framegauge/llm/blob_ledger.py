@@ -60,11 +60,8 @@ def find_spans(texts: DataFrame, key: str, text: str, rules: Sequence[Rule] = RU
 
     Rows of one ``key`` must have the same text; it is scanned once.
     """
-    hit = F.lit(False)
-    for rule in rules:
-        hit = hit | F.col(text).rlike(rule.pattern)
     # The places are running sums by key, which a repeated row would count again.
-    some = texts.where(hit).dropDuplicates([key])
+    some = texts.where(_matched(text, rules)).dropDuplicates([key])
     found = None
     for order, rule in enumerate(rules):
         pattern = F.lit(rule.pattern)
@@ -87,6 +84,14 @@ def find_spans(texts: DataFrame, key: str, text: str, rules: Sequence[Rule] = RU
     return found.drop("size")
 
 
+def _matched(text: str, rules: Sequence[Rule]) -> Column:
+    """Whether a pattern occurs in the text; without one there is no finding. False for null."""
+    hit = F.lit(False)
+    for rule in rules:
+        hit = hit | F.col(text).rlike(rule.pattern)
+    return F.coalesce(hit, F.lit(False))
+
+
 def update_ledger(
     spark: SparkSession,
     versions: DataFrame,
@@ -166,7 +171,8 @@ def redact(
 ) -> DataFrame:
     """The documents with every secret replaced by its kind in brackets.
 
-    A column ``n_chars`` of lengths follows the change.
+    A column ``n_chars`` of lengths follows the change.  Only texts in which a pattern occurs
+    meet the ledger; all others stay in their place.
     """
     versions = docs.select(
         F.col(id_column).alias("path"), F.lit(0).alias("version"), F.col(text_column).alias("content")
@@ -175,7 +181,8 @@ def redact(
     blob, findings, before, after = free_names(docs, "blob", "findings", "before", "after")
     found = pinned(findings_by_blob(spark, ledger))
     found = found.select(F.col("blob").alias(blob), F.col("findings").alias(findings))
-    rows = docs.select("*", blob_of(text_column).alias(blob), F.col(text_column).alias(before))
+    hit = _matched(text_column, RULES)
+    rows = docs.where(hit).select("*", blob_of(text_column).alias(blob), F.col(text_column).alias(before))
     rows = rows.join(found, blob, "left")
     # Under a name of its own: a lambda that reads the text must not meet the text it makes.
     cleaned = F.when(F.col(findings).isNotNull(), redacted(F.col(before), F.col(findings))).otherwise(F.col(before))
@@ -189,7 +196,7 @@ def redact(
         elif name == "n_chars":
             value = (value + longer).cast(docs.schema[name].dataType).alias(name)
         columns.append(value)
-    return rows.select(*columns)
+    return rows.select(*columns).union(docs.where(~hit))
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -211,9 +211,9 @@ def keep_one(
     rows = pinned(_with_bits(texts, shingle_words))
     placed = rows.join(components_of(rows), "bits")
     first = placed.groupBy("centre").agg(F.min(F.struct("id", "row")).alias("first"))
-    names = free_names(docs, "id", "row")
-    kept = first.select(*[F.col(f"first.{part}").alias(name) for part, name in zip(("id", "row"), names)])
-    marked = docs.select("*", id_of.alias(names[0]), row_hash.alias(names[1]))
-    same = (marked[names[1]] == kept[names[1]]) & marked[names[0]].eqNullSafe(kept[names[0]])
-    # Equal rows are combined within their task before they meet.
-    return marked.join(kept, same, "left_semi").dropDuplicates(names).select(*map(col, docs.columns))
+    # One key, in which a null id equals a null id: the rows are dealt by it once, for both
+    # steps.  Equal rows are combined within their task before they meet.
+    (key,) = free_names(docs, "key")
+    kept = first.select(F.col("first").alias(key))
+    marked = docs.select("*", F.struct(id_of.alias("id"), row_hash.alias("row")).alias(key))
+    return marked.dropDuplicates([key]).join(kept, key, "left_semi").select(*map(col, docs.columns))
