@@ -102,6 +102,8 @@ def _library_encoder(path: str, drops_spaces: bool) -> ChunkEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    # The store keeps what repeats; the library's own store would be searched and filled in vain.
+    tokenizer.model._resize_cache(0)
     merge, letters = tokenizer.model.tokenize, _byte_letters()
     space = letters[32]
     pieces = regex.compile(_WORD_PIECES if drops_spaces else _BYTE_LEVEL_PIECES).findall

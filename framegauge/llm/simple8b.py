@@ -47,6 +47,15 @@ PACKINGS = (
 ESCAPE = 15
 _MAGIC = b"S8B1"
 _POWERS = np.array([1 << k for k in range(64)], dtype=np.uint64)
+_SIZES = np.array([*[n for n, _ in PACKINGS], 1, 1], dtype=np.uint8)  # ids that a selector takes
+_SMALL_WIDTHS = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The number of bits of each id."""
+    if int(ids.max()) < len(_SMALL_WIDTHS):
+        return _SMALL_WIDTHS[ids]
+    return np.searchsorted(_POWERS, ids, side="right").astype(np.uint8)
 
 
 def encode(ids: np.ndarray) -> np.ndarray:
@@ -56,24 +65,24 @@ def encode(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     padded = np.zeros(count + 60, dtype=np.uint64)
     padded[:count] = ids
-    bits = np.searchsorted(_POWERS, padded, side="right")
-    chosen = np.full(count, ESCAPE, dtype=np.uint8)
-    taken = np.ones(count, dtype=np.int64)
-    narrowest, widest = int(bits[:count].min()), int(bits.max())
+    bits = _widths(padded)
+    chosen = np.zeros(count, dtype=np.uint8)
+    # Greatest width of the ``reach`` ids from each place on; two such windows make a longer one.
+    most, reach = bits, 1
     for selector, (n, width) in enumerate(PACKINGS):
-        if width < narrowest and n > 1 and count >= n:
+        while reach < n:
+            step = min(reach, n - reach)
+            most, reach = np.maximum(most[:-step], most[step:]), reach + step
+        fits = most[:count] <= width
+        if not fits.any():
             break
-        if width >= widest:
-            chosen[:], taken[:] = selector, n
-            continue
-        over = np.concatenate(([0], np.cumsum(bits > width, dtype=np.int32)))
-        fits = over[n : n + count] == over[:count]
-        chosen[fits], taken[fits] = selector, n
-    following = (np.arange(count) + taken).tolist()
+        np.maximum(chosen, fits * np.uint8(selector), out=chosen)
+    chosen[bits[:count] > PACKINGS[0][1]] = ESCAPE
+    taken = _SIZES[chosen].tobytes()
     starts, at = [], 0
     while at < count:
         starts.append(at)
-        at = following[at]
+        at += taken[at]
     starts = np.array(starts)
     selectors = chosen[starts]
     escaped = selectors == ESCAPE
@@ -82,9 +91,10 @@ def encode(ids: np.ndarray) -> np.ndarray:
     for selector, (n, width) in enumerate(PACKINGS):
         own = selectors == selector
         if own.any():
-            rows = padded[starts[own][:, None] + np.arange(n)]
-            shifted = rows << (np.arange(n, dtype=np.uint64) * np.uint64(width))
-            words[place[own]] = np.bitwise_or.reduce(shifted, axis=1) | np.uint64(selector << 60)
+            firsts, packed = starts[own], np.uint64(selector << 60)
+            for k in range(n):
+                packed = packed | padded[firsts + k] << np.uint64(k * width)
+            words[place[own]] = packed
     words[place[escaped]] = np.uint64(ESCAPE << 60)
     words[place[escaped] + 1] = padded[starts[escaped]]
     return words
