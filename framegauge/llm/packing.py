@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from framegauge.llm.chunks import encode_texts, library_encoder
-from framegauge.llm.workers import slices
+from framegauge.llm.workers import drop_state, slices
 from framegauge.schema import col, free_names
 from framegauge.storage import pinned
 
@@ -144,6 +144,7 @@ def _packer(capacity: int, level: int, last: bool, names: list[str]) -> Callable
 
 def _pack_group(table: pa.Table, capacity: int, level: int, last: bool, names: list[str]) -> pa.Table:
     """The rows of ``table`` (group, bin, then the columns of the pieces) with their places."""
+    drop_state()  # the pieces are cut, so no worker needs the tokenizer
     group_name, bin_name, open_name = names
     group = table.column(group_name)[0].as_py()
     lengths = table.column("length").to_pylist()

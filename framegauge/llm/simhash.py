@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from framegauge.llm.components import connected_components
-from framegauge.llm.workers import slices
+from framegauge.llm.workers import drop_state, slices
 from framegauge.schema import col, free_names
 from framegauge.storage import pinned
 
@@ -94,6 +94,7 @@ def _row_hash(docs: DataFrame) -> Column:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterator[pa.RecordBatch]:
+    drop_state()
     for batch in slices(batches):
         *kept, texts = batch.columns
         found = [fingerprint(text, shingle_words) for text in texts.to_pylist()]
@@ -157,6 +158,7 @@ def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def _cell_links(table: pa.Table) -> pa.Table:
+    drop_state()
     bits = np.unique(table.column("bits").to_numpy()).view(np.uint64)
     roots = np.arange(len(bits))
     counts = segment_counts(bits).astype(np.int16) if len(bits) > 2 else None

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegauge.llm.workers import ENTRY_BYTES, STORE_BYTES, slices, worker_state
+from framegauge.llm.workers import ENTRY_BYTES, STORE_BYTES, drop_state, slices, worker_state
 from framegauge.storage import pinned
 
 MAX_PER_CLASS = 15_000
@@ -298,6 +298,7 @@ def _stems_of(text: str | None) -> set[str]:
 def _count_stems(
     batches: Iterator[pa.RecordBatch], among: frozenset[str] | None
 ) -> Iterator[pa.RecordBatch]:
+    drop_state()
     counts: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -307,7 +308,7 @@ def _count_stems(
         counts.clear()
         return batch
 
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             stems = _stems_of(text)
             counts.update(stems if among is None else stems & among)
@@ -394,7 +395,7 @@ def _least_documents(all_toxic: int, all_clean: int) -> int:
 def _hit_rows(batches: Iterator[pa.RecordBatch], terms: tuple[tuple[str, bool], ...]) -> Iterator[pa.RecordBatch]:
     """The hits of each text of the sample, packed as numbers."""
     scanner = _scanner(terms)
-    for batch in batches:
+    for batch in slices(batches):
         found = [
             [(number * 3 + e) * 3 + _CONTEXTS.index(c) for e, number, c in scanner.hits(text)]
             for text in batch.column(0).to_pylist()

@@ -3,11 +3,14 @@
 Spark hands idle workers to any task, so a worker meets one operator after another.  It
 keeps the state of one operator only: the next operator's takes its place.  A state may
 hold a store of words met before, which is bounded in bytes and drops what was not used
-lately; that costs time and never changes a result.
+lately; that costs time and never changes a result.  Steps that keep nothing call
+``drop_state``, so that no worker carries what an earlier step has left through theirs.
+Freed memory goes back to the system: a worker lives as long as its executor has tasks.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -26,12 +29,21 @@ def worker_state(key: Hashable, build: Callable[[], Any]) -> Any:
     """The state that ``build`` makes, kept until another key is asked for."""
     global _key, _state
     if _key != key:
-        _key = _state = None  # the old state goes before the new one is built
+        drop_state()  # the old state goes before the new one is built
         _state = build()
         _key = key
     return _state
 
 
+def drop_state() -> None:
+    """Drop the state of an earlier operator and give its memory back."""
+    global _key, _state
+    if _key is not None:
+        _key = _state = None
+        gc.collect()  # states may refer to themselves
+        pa.default_memory_pool().release_unused()
+
+
 class Store(dict):
     """Values by key, made when first asked for; half of them may go when the bound is met.
 
@@ -66,7 +78,13 @@ class Store(dict):
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that few texts are Python objects at a time."""
+    """The batches in parts of few rows, so that few texts are Python objects at a time.
+
+    Arrow keeps the memory of batches that are done; it goes back after each, and at the end.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
