@@ -85,17 +85,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def library_encoder(path: str, drops_spaces: bool = False) -> ChunkEncoder:
+def library_encoder(path: str, drops_spaces: bool = False, most_bytes: int = STORE_BYTES) -> ChunkEncoder:
     """The encoder of a ``tokenizers`` file, kept by the worker; ids are those of the library as loaded.
 
     Plain chunks are cut into pieces here and each distinct piece goes to the library's
     model; all other chunks go through the library as a whole.  So does a whole text that
     holds an added token such as ``<|endoftext|>``, which the library finds before it cuts.
     """
-    return worker_state(("tokenizers", path, drops_spaces), lambda: _library_encoder(path, drops_spaces))
+    key = ("tokenizers", path, drops_spaces, most_bytes)
+    return worker_state(key, lambda: _library_encoder(path, drops_spaces, most_bytes))
 
 
-def _library_encoder(path: str, drops_spaces: bool) -> ChunkEncoder:
+def _library_encoder(path: str, drops_spaces: bool, most_bytes: int) -> ChunkEncoder:
     import regex
     from tokenizers import Tokenizer
 
@@ -116,9 +117,6 @@ def _library_encoder(path: str, drops_spaces: bool) -> ChunkEncoder:
         folded = text.lower()
         return any(token in folded for token in added)
 
-    def packed(shown: str) -> bytes:
-        return array("I", [token.id for token in merge(shown)]).tobytes()
-
     def encode_whole(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -129,16 +127,18 @@ def _library_encoder(path: str, drops_spaces: bool) -> ChunkEncoder:
             return encode_whole(chunk)
         if drops_spaces:
             chunk = word = word.lower()
-        if not word.isalpha():
+        is_word = word.isalpha()
+        if not is_word:
             parts = pieces(chunk)
             if len(parts) != 1 or parts[0] != chunk:
                 return b"".join(map(encoder.store.__getitem__, parts))
         # One piece, as most chunks are.
-        shown = word if plain_ascii and word.isalpha() else word.encode().decode("latin-1").translate(letters)
-        return packed(shown if len(word) == len(chunk) else space + shown)
+        shown = word if plain_ascii and is_word else word.encode().decode("latin-1").translate(letters)
+        tokens = merge(shown if len(word) == len(chunk) else space + shown)
+        return array("I", [token.id for token in tokens]).tobytes()
 
     split = split_at_spaces if drops_spaces else split_before_spaces
-    encoder = ChunkEncoder(encode, split, is_special=is_special, encode_whole=encode_whole)
+    encoder = ChunkEncoder(encode, split, most_bytes, is_special, encode_whole)
     return encoder
 
 

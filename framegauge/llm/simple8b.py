@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framegauge.llm.chunks import encode_texts, library_encoder
-from framegauge.llm.workers import slices
+from framegauge.llm.workers import STORE_BYTES, slices
 
 BLOCK_IDS = 65_536
+WORD_BYTES = 2 * STORE_BYTES  # what a worker keeps of words: new ones cost most of the time here
 FILE_IDS = 4_000_000  # a file is closed at this many ids; documents are not split
 
 # How many ids of how many bits share a word.
@@ -204,7 +205,7 @@ def _write_partition(
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
-    encoder = library_encoder(tokenizer)
+    encoder = library_encoder(tokenizer, most_bytes=WORD_BYTES)
     context = TaskContext.get()
     partition, attempt = context.partitionId(), context.taskAttemptId()
     pending: list[tuple[int | None, np.ndarray]] = []

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from framegauge.llm import packing, simhash, toxicity, workers
+from framegauge.llm import packing, simhash, simple8b, toxicity, workers
 
 TEXTS = pa.RecordBatch.from_pydict({"text": ["one two three four five", None, ""]})
 PIECES = pa.table(
@@ -24,3 +24,14 @@ def test_steps_without_a_state_carry_none(step):
     assert workers._state is None
     assert workers.worker_state("words of an earlier step", lambda: "built anew") == "built anew"
     workers.drop_state()
+
+
+def test_token_files_meet_each_of_many_words_once():
+    made = []
+    most_bytes = getattr(simple8b, "WORD_BYTES", workers.STORE_BYTES)
+    store = workers.Store(lambda word: made.append(word) or b"12345678", most_bytes)
+    words = [f" word{k:06d}" for k in range(550_000)]  # about twice what fits half of STORE_BYTES
+    for _ in range(2):
+        for word in words:
+            store[word]
+    assert len(made) == len(words)
