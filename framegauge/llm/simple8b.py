@@ -5,7 +5,7 @@ as fit at one width: 1 id of 60 bits, 2 of 30, ... 60 of 1 bit.  The encoder tak
 at each point the selector with most ids.  An id over 60 bits is an escape: a word
 with selector 15, then the id itself as a raw word.  Ids are coded in blocks of
 ``BLOCK_IDS``; the footer holds the place and the first id of each block, so that
-blocks are decoded apart, each with one vector operation per selector.
+blocks are written, read and decoded apart, each with one vector operation per selector.
 
 File: ``S8B1``, words of all blocks, footer (arrays of block word offsets, block
 id offsets, document ids, null flags of those, and id counts), footer sizes,
@@ -134,47 +134,62 @@ def file_bytes(documents: list[tuple[int | None, np.ndarray]], local_start: int)
 
     ``local_start`` counts the ids of earlier files of the same partition.
     """
-    ids = np.concatenate([ids for _, ids in documents]).astype(np.uint64)
-    blocks = [encode(ids[at : at + BLOCK_IDS]) for at in range(0, len(ids), BLOCK_IDS)]
-    word_offsets = np.array(list(accumulate([0, *map(len, blocks)])), dtype="<u8")
-    id_offsets = np.array([*range(0, len(ids), BLOCK_IDS), len(ids)], dtype="<u8")
-    footer = b"".join(
-        [
-            word_offsets.tobytes(),
-            id_offsets.tobytes(),
-            np.array([name or 0 for name, _ in documents], dtype="<i8").tobytes(),
-            np.array([name is None for name, _ in documents], dtype="u1").tobytes(),
-            np.array([len(ids) for _, ids in documents], dtype="<u8").tobytes(),
-        ]
-    )
-    sizes = struct.pack("<QQQ", len(blocks), len(documents), local_start)
-    return b"".join([_MAGIC, *[b.astype("<u8").tobytes() for b in blocks], footer, sizes, _MAGIC])
-
-
-def file_documents(content: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(document id, ids before it in its partition, its ids) of a file."""
-    if content[:4] != _MAGIC or content[-4:] != _MAGIC:
+    return b"".join(_file_parts(documents, local_start))
+
+
+def _file_parts(documents: list[tuple[int | None, np.ndarray]], local_start: int) -> Iterator[bytes]:
+    """A file block by block, so that its words are never held all together."""
+    ids = np.concatenate([ids for _, ids in documents])
+    sizes = []
+    yield _MAGIC
+    for at in range(0, len(ids), BLOCK_IDS):
+        words = encode(ids[at : at + BLOCK_IDS].astype(np.uint64))
+        sizes.append(len(words))
+        yield words.astype("<u8").tobytes()
+    yield np.array(list(accumulate([0, *sizes])), dtype="<u8").tobytes()
+    yield np.array([*range(0, len(ids), BLOCK_IDS), len(ids)], dtype="<u8").tobytes()
+    yield np.array([name or 0 for name, _ in documents], dtype="<i8").tobytes()
+    yield np.array([name is None for name, _ in documents], dtype="u1").tobytes()
+    yield np.array([len(ids) for _, ids in documents], dtype="<u8").tobytes()
+    yield struct.pack("<QQQ", len(sizes), len(documents), local_start) + _MAGIC
+
+
+def file_documents(content: bytes | pa.NativeFile) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(document id, ids before it in its partition, its ids) of a file, which is read block by block."""
+    file = pa.BufferReader(content) if isinstance(content, bytes) else content
+    size = file.size()
+    if size < len(_MAGIC) + 28 or file.read_at(4, 0) != _MAGIC or file.read_at(4, size - 4) != _MAGIC:
         raise ValueError("not a Simple-8b token file")
-    blocks, documents, start = struct.unpack("<QQQ", content[-28:-4])
-    at = len(content) - 28 - 16 * (blocks + 1) - 17 * documents
+    blocks, documents, start = struct.unpack("<QQQ", file.read_at(24, size - 28))
+    length = 16 * (blocks + 1) + 17 * documents
+    footer, at = file.read_at(length, size - 28 - length), 0
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
-        values = np.frombuffer(content, kind, n, at)
+        values = np.frombuffer(footer, kind, n, at)
         at += values.nbytes
         return values
 
-    word_offsets, id_offsets = take("<u8", blocks + 1), take("<u8", blocks + 1)
+    word_offsets, id_offsets = take("<u8", blocks + 1).tolist(), take("<u8", blocks + 1).tolist()
     names, nulls, counts = take("<i8", documents), take("u1", documents), take("<u8", documents)
-    words = np.frombuffer(content, "<u8", int(word_offsets[-1]), 4)
-    ids = np.empty(int(id_offsets[-1]), dtype=np.uint64)
-    for k in range(blocks):
-        first, last = int(id_offsets[k]), int(id_offsets[k + 1])
-        ids[first:last] = decode(words[int(word_offsets[k]) : int(word_offsets[k + 1])], last - first)
-    first = 0
+
+    def decoded() -> Iterator[np.ndarray]:
+        for k in range(blocks):
+            first, last = word_offsets[k : k + 2]
+            words = np.frombuffer(file.read_at(8 * (last - first), len(_MAGIC) + 8 * first), "<u8")
+            yield decode(words, id_offsets[k + 1] - id_offsets[k])
+
+    following, held = decoded(), np.empty(0, dtype=np.uint64)
     for name, null, n in zip(names.tolist(), nulls.tolist(), counts.tolist()):
-        yield None if null else name, start + first, ids[first : first + n]
-        first += n
+        parts, missing = [], n
+        while missing > len(held):
+            parts.append(held)
+            missing -= len(held)
+            held = next(following)
+        parts.append(held[:missing])
+        held = held[missing:]
+        yield None if null else name, start, np.concatenate(parts)
+        start += n
 
 
 def write_token_files(
@@ -216,7 +231,8 @@ def _write_partition(
         name = f"{root}/part-{partition:06d}-{files:05d}.s8b"
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{name}.{attempt}") as out:
-            out.write(file_bytes(pending, total - held))
+            for part in _file_parts(pending, total - held):
+                out.write(part)
         store.move(f"{name}.{attempt}", name)
         pending, held, files = [], 0, files + 1
 
@@ -245,18 +261,18 @@ def read_token_files(
     ``with_ids`` adds the ids themselves as an array.
     """
     if not starts or not _has_files(spark, folder):
-        files = spark.createDataFrame([], "path string, content binary")
+        files = spark.createDataFrame([], "path string")
     else:
         files = (
             spark.read.format("binaryFile")
             .option("pathGlobFilter", "*.s8b")
             .load(folder)
-            .select("path", "content")
+            .select("path")  # tasks read the blocks themselves: no file passes whole through the JVM
         )
     schema = "id long, start long, n_tokens long, ids_crc32 long"
     if with_ids:
         schema += ", ids array<long>"
-    return files.mapInArrow(partial(_read_files, starts=starts, with_ids=with_ids), schema)
+    return files.mapInArrow(partial(_read_files, folder=folder, starts=starts, with_ids=with_ids), schema)
 
 
 def _has_files(spark: SparkSession, folder: str) -> bool:
@@ -265,17 +281,21 @@ def _has_files(spark: SparkSession, folder: str) -> bool:
 
 
 def _read_files(
-    batches: Iterator[pa.RecordBatch], starts: list[int], with_ids: bool
+    batches: Iterator[pa.RecordBatch], folder: str, starts: list[int], with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
     for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1)):
-            base = starts[int(path.as_py().rsplit("/", 1)[1].split("-")[1])]
+        for path in batch.column(0).to_pylist():
+            file_name = path.rsplit("/", 1)[1]
+            base = starts[int(file_name.split("-")[1])]
             columns: list[list] = [[], [], [], [], []]
-            for name, first, ids in file_documents(content.as_py()):
-                small = ids.astype("<u4")
-                row = [name, base + first, len(ids), zlib.crc32(small.tobytes())]
-                for column, value in zip(columns, [*row, ids.tolist() if with_ids else None]):
-                    column.append(value)
+            with store.open_input_file(f"{root}/{file_name}") as file:
+                for name, first, ids in file_documents(file):
+                    row = [name, base + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())]
+                    for column, value in zip(columns, [*row, ids.tolist() if with_ids else None]):
+                        column.append(value)
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]]
             if with_ids:
                 arrays.append(pa.array(columns[4], pa.list_(pa.int64())))

@@ -3,6 +3,8 @@
 import time
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
 from framegauge.llm import simple8b
 
@@ -50,3 +52,34 @@ def test_packing_costs_little_more_than_unpacking():
 
     # About 9 times before windows of widths were shared, 3 times since.
     assert best(lambda: simple8b.encode(ids)) < 5 * best(lambda: simple8b.decode(words, len(ids)))
+
+
+def test_files_are_read_block_by_block(monkeypatch):
+    monkeypatch.setattr(simple8b, "BLOCK_IDS", 100)
+    dice = np.random.default_rng(7)
+    documents = [(k, dice.integers(0, 50_000, n).astype("<u4")) for k, n in enumerate([0, 99, 1, 1_050, 0, 7, 2_300])]
+    content = simple8b.file_bytes(documents, 11)
+    decoded = []
+    whole = simple8b.decode
+    monkeypatch.setattr(simple8b, "decode", lambda words, n: decoded.append(n) or whole(words, n))
+    # An open file serves, so that no step has to hold one whole.
+    found = simple8b.file_documents(pa.BufferReader(content))
+    start = 11
+    for name, ids in documents:
+        assert [*next(found)[:2]] == [name, start]
+        start += len(ids)
+        # Blocks are decoded no sooner than their documents are asked for.
+        assert sum(decoded) < start - 11 + 100
+    assert next(found, None) is None and sum(decoded) == start - 11
+    assert [ids.tolist() for _, _, ids in simple8b.file_documents(content)] == [ids.tolist() for _, ids in documents]
+
+
+def test_no_file_passes_whole_through_the_jvm(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(50)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/ids"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    starts = simple8b.write_token_files(docs, folder, tokenizer, end_id=2)
+    read = simple8b.read_token_files(spark, folder, starts)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" in plan and "content" not in plan
+    assert read.count() == 50
