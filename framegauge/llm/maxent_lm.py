@@ -30,6 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -56,6 +57,8 @@ END = b""  # no word is empty
 _LETTER_PAIRS = 128
 _BLOCK = 256  # rows of a table that travel together
 _HISTORY = 3
+_PIECE = 16  # slopes of a row that are added side by side with those of other rows
+_LARGEST, _LEAST = 80.0, 1e-30  # of a score and of a sum of exponentials, well within float32
 
 
 class Model(NamedTuple):
@@ -205,9 +208,56 @@ def word_rows(history: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return picked.astype(np.uint16)  # the first rows are the constants of the classes
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+def _exponentials(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of the scores less a shift by row, their sums and the shifts.
+
+    The shift, a row's greatest score, is taken only if some number would leave the range without.
+    """
+    if scores.max(initial=0) < _LARGEST:
+        exponentials = np.exp(scores)
+        sums = np.einsum("ij->i", exponentials)
+        if sums.min(initial=1) > _LEAST:
+            return exponentials, sums, np.zeros(len(scores), dtype=np.float32)
+    shifts = scores.max(axis=1)
+    exponentials = np.exp(scores - shifts[:, None])
+    return exponentials, np.einsum("ij->i", exponentials), shifts
+
+
+def _log_shares(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the softmax of each row at one choice."""
+    _, sums, shifts = _exponentials(scores)
+    return scores[np.arange(len(chosen)), chosen] - shifts - np.log(sums, dtype=np.float64)
+
+
+def _stretch_sums(values: np.ndarray, owners: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``values[owners]`` over the stretches that begin at ``firsts``.
+
+    Stretches are cut into pieces, the longest pieces first, and the n-th rows of all pieces that
+    have one are added at once; only long stretches have pieces to be added one by one.
+    """
+    sizes = np.diff(firsts, append=len(owners))
+    pieces = -(-sizes // _PIECE)
+    heads = np.cumsum(pieces) - pieces
+    skipped = (np.arange(int(pieces.sum())) - np.repeat(heads, pieces)) * _PIECE
+    lengths = np.minimum(np.repeat(sizes, pieces) - skipped, _PIECE).astype(np.int8)
+    by_length = np.argsort(-lengths, kind="stable")
+    starts = (np.repeat(firsts, pieces) + skipped)[by_length]
+    longer = np.cumsum(np.bincount(lengths, minlength=_PIECE + 1)[::-1])[::-1]  # pieces of n rows at least
+    sums = values.take(owners.take(starts), axis=0)
+    for n in range(1, _PIECE):
+        count = int(longer[n + 1])
+        if not count:
+            break
+        sums[:count] += values.take(owners.take(starts[:count] + n), axis=0)
+    place = np.empty_like(by_length)
+    place[by_length] = np.arange(len(by_length))
+    total = sums.take(place[heads], axis=0)
+    long = pieces > 1
+    if long.any():
+        of_long = np.flatnonzero(np.repeat(long, pieces))
+        found = np.cumsum(pieces[long]) - pieces[long]
+        total[long] = np.add.reduceat(sums.take(place[of_long], axis=0), found, axis=0)
+    return total
 
 
 def _scores(table: np.ndarray, constants: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
@@ -228,10 +278,8 @@ class _Steps:
         self.updates = np.zeros(len(table), dtype=np.float32)
 
     def learn(self, constants: np.ndarray | None, rows: np.ndarray, targets: np.ndarray) -> None:
-        slope = _scores(self.table, constants, rows)
-        slope -= slope.max(axis=1, keepdims=True)
-        np.exp(slope, out=slope)
-        slope /= slope.sum(axis=1, keepdims=True)
+        slope, sums, _ = _exponentials(_scores(self.table, constants, rows))
+        slope /= sums[:, None]
         slope[np.arange(len(targets)), targets] -= 1
         if constants is None:
             self._move(np.zeros(1, dtype=np.int64), slope.sum(axis=0, keepdims=True), len(targets))
@@ -241,14 +289,13 @@ class _Steps:
         order = np.argsort(flat, kind="stable")
         ranked = flat[order]
         firsts = np.flatnonzero(np.diff(ranked, prepend=ranked[0] + np.uint16(1)))
-        # Two neighbours are one complex number, which halves the steps of the sum.
-        pairs = slope.take(order // rows.shape[1], axis=0).view(np.complex64)
-        slopes = np.add.reduceat(pairs, firsts, axis=0).view(np.float32)
-        self._move(ranked[firsts], slopes, np.diff(np.append(firsts, len(ranked))))
+        slopes = _stretch_sums(slope, order // rows.shape[1], firsts)
+        self._move(ranked[firsts].astype(np.int64), slopes, np.diff(firsts, append=len(ranked)))
 
     def _move(self, at: np.ndarray, slopes: np.ndarray, updates: np.ndarray | int) -> None:
-        self._seen[at] += np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
-        self.table[at] -= (self._rate / np.sqrt(self._seen[at]))[:, None] * slopes
+        seen = self._seen[at] + np.einsum("ij,ij->i", slopes, slopes) / slopes.shape[1]
+        self._seen[at] = seen
+        self.table[at] -= (self._rate / np.sqrt(seen))[:, None] * slopes
         self.updates[at] += updates
 
     def changes(self) -> Iterator[tuple[int, bytes]]:
@@ -273,14 +320,14 @@ class _Reader:
 
     def numbers(self, words: list[bytes]) -> list[int]:
         """The number of each word and of the end after them."""
-        get, rest = self._numbers.get, self.rest
-        return [*[get(word, rest) for word in words], self._numbers[END]]
+        return [*map(self._numbers.get, words, repeat(self.rest)), self._numbers[END]]
 
     def tokens(self, texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the numbered texts, and the three before each."""
         before = [self._before] * _HISTORY
-        joined = np.array([k for numbers in texts for k in (*before, *numbers)], dtype=np.int64)
         sizes = np.array([len(numbers) for numbers in texts], dtype=np.int64)
+        parts = (part for numbers in texts for part in (before, numbers))
+        joined = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()) + _HISTORY * len(texts))
         is_token = np.ones(len(joined), dtype=bool)
         heads = np.cumsum(sizes + _HISTORY) - (sizes + _HISTORY)
         for k in range(_HISTORY):
@@ -298,13 +345,10 @@ def log_probabilities(
         part = slice(at, at + BATCH_TOKENS)
         own, past = numbers[part], history[:, part]
         classes = reader.classes[own]
-        row = np.arange(len(own))
-        scores = _scores(model.class_table, None, class_rows(past))
-        found[part] += _log_softmax(scores)[row, classes] / math.log(10)
+        found[part] += _log_shares(_scores(model.class_table, None, class_rows(past)), classes) / math.log(10)
         inner = np.flatnonzero(classes < CLASSES - 2)
         within = _scores(model.word_table, classes[inner], word_rows(past[:, inner], classes[inner]))
-        chosen = _log_softmax(within)[np.arange(len(inner)), reader.slots[own[inner]]]
-        found[at + inner] += chosen / math.log(10)
+        found[at + inner] += _log_shares(within, reader.slots[own[inner]]) / math.log(10)
     return found
 
 
@@ -479,16 +523,12 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[
     logs = np.log10((np.concatenate([model.counts, [model.texts, 0]]) + 1) / (model.tokens + model.distinct + 1))
     logs[reader.rest] = 0  # the join with the counts adds these; an end without training has log 0
     for batch in slices(batches, 100):
-        numbered, rare = [], []
-        for text in batch.column(1).to_pylist():
-            words = words_of(text)
-            numbers = reader.numbers(words)
-            numbered.append(numbers)
-            unlisted = Counter(w for w, k in zip(words, numbers) if k == reader.rest)
-            rare.append([{"word": w.decode(), "n": n} for w, n in unlisted.items()])
+        texts = [words_of(text) for text in batch.column(1).to_pylist()]
+        numbered = [reader.numbers(words) for words in texts]
         found, history = reader.tokens(numbered)
         owner = np.repeat(np.arange(len(numbered)), [len(numbers) for numbers in numbered])
         listed = found != reader.rest
+        rare = _unlisted(texts, listed, owner, tokens)
         scores = log_probabilities(model, reader, found, history)
 
         def summed(values: np.ndarray) -> np.ndarray:
@@ -500,6 +540,25 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[
             pa.array(summed(listed).astype(np.int64)),
             pa.array(summed(logs[found])),
             pa.array(summed(scores)),
-            pa.array(rare, tokens),
+            rare,
         ]
         yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _unlisted(texts: list[list[bytes]], listed: np.ndarray, owner: np.ndarray, kind: pa.ListType) -> pa.ListArray:
+    """The counts of the words of each text that are not listed; ``listed`` and ``owner`` go by token."""
+    tokens = [token for words in texts for token in (*words, END)]
+    places = np.flatnonzero(~listed)
+    ends = np.searchsorted(owner[places], np.arange(len(texts)), side="right").tolist()
+    words, counts, offsets, at = [], [], [0], 0
+    places = places.tolist()
+    for end in ends:
+        counted = Counter(map(tokens.__getitem__, places[at:end]))
+        counted.pop(END, None)  # the end of a text is no word
+        words += counted
+        counts += counted.values()
+        offsets.append(len(words))
+        at = end
+    arrays = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+    members = pa.StructArray.from_arrays(arrays, fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), members)
