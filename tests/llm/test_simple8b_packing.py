@@ -5,8 +5,10 @@ import time
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
 
-from framegauge.llm import simple8b
+from framegauge.llm import chunks, simple8b
 
 
 def greedy(ids):
@@ -83,3 +85,26 @@ def test_no_file_passes_whole_through_the_jvm(spark, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "binaryFile" in plan and "content" not in plan
     assert read.count() == 50
+
+
+@pytest.mark.parametrize("name, drops_spaces", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_texts_cut_together_have_the_ids_of_each(monkeypatch, name, drops_spaces):
+    monkeypatch.setattr(chunks, "_LONGEST_JOINED", 500)
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["", "one two, two.", "a\0b  c", "\0", " ", "x  y \n z", "<|endoftext|> a", "long one. " * 60, "é one two, 字🙂", "", "two"]
+    encoder = chunks._library_encoder(path, drops_spaces, 10_000)
+    for own in (texts, texts[:1], texts[2:3], []):
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in chunks.encode_texts(encoder, own)]
+        assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in own]
+
+
+def test_texts_cut_together_meet_a_chunk_once():
+    made = []
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = chunks._library_encoder(path, False, 10_000)
+    make = encoder.store._make
+    encoder.store._make = lambda chunk: made.append(chunk) or make(chunk)
+    word = "longer" * 20  # too long to be kept
+    list(chunks.encode_texts(encoder, [f"{k} {word} {word}" for k in range(50)]))
+    assert made.count(" " + word) == 1
